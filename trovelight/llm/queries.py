@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, line_bitmaps
+from .packing import pack_sequences
+from .quality import apply_cascade, plan_cascade
+from .secrets import secret_spans
+from .simhash import simhash_components
+from .tokens import section_token_counts, token_pieces, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +23,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    facts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = apply_cascade(docs, plan_cascade(docs), facts=facts)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *facts, base_failed.alias("base_failed"), "kept")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: tokens in all, lines with tokens attributed, the largest line's tokens, a digest of all."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = section_token_counts(docs, *vocabulary())
+    told = F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["start"], s["end"], s["n_tokens"])), ",")
+    return counts.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), F.coalesce(F.array_max(F.transform("sections", lambda s: s["n_tokens"])), F.lit(0).cast("long")).alias("max_section_tokens"), F.sha2(told, 256).alias("sections_sha256"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, *vocabulary(), capacity=2048, end_id=0)
+    told = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return pack_sequences(told, told.count(), tokens=2048)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), distance=4, shingle=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lined = apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
@@ -28,7 +70,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_simhash": op6_simhash,
     "op8_line_dedup": op8_line_dedup,
 }
 
@@ -51,4 +98,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.k IS NOT NULL) AS n_dropp
 FROM keyed LEFT JOIN common c ON c.k = keyed.k GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
+_OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+             coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 30 * word_chars OR (n_dup_lines >= 10 AND 2 * n_dup_lines > n_lines)
+            OR 2 * word_chars < 3 * n_words OR word_chars > 100 * n_words) AS kept
+FROM b
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
