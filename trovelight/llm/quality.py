@@ -7,6 +7,7 @@ all documents and stops at a document's first failed rule. The order changes the
 
 from __future__ import annotations
 
+import string
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -45,6 +46,15 @@ class TextFacts:
     def n_symbols(self) -> int:
         return len(self.data) - len(self.data.translate(None, SYMBOLS))
 
+    @cached_property
+    def n_upper(self) -> int:
+        """ASCII capitals."""
+        return len(self.data) - len(self.data.translate(None, string.ascii_uppercase.encode()))
+
+    @cached_property
+    def n_lower(self) -> int:
+        return len(self.data) - len(self.data.translate(None, string.ascii_lowercase.encode()))
+
     @cached_property
     def lines(self) -> list[bytes]:
         """Lines with a word."""
@@ -90,7 +100,8 @@ BASE_RULES = (
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
 )
 MORE_RULES = (
-    Rule("symbols", lambda t: 100 * t.n_symbols > 30 * t.word_chars),
+    Rule("symbols", lambda t: 4 * t.n_symbols > t.n_words),
+    Rule("shouting", lambda t: t.n_upper >= 50 and 2 * t.n_upper > t.n_upper + t.n_lower),
     Rule("repeated_lines", lambda t: t.n_dup_lines >= 10 and 2 * t.n_dup_lines > len(t.lines)),
     Rule("word_length", lambda t: 2 * t.word_chars < 3 * t.n_words or t.word_chars > 100 * t.n_words),
 )

@@ -107,11 +107,12 @@ lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
-             coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+             coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+             len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower
       FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 30 * word_chars OR (n_dup_lines >= 10 AND 2 * n_dup_lines > n_lines)
+       NOT (base_failed OR 4 * n_symbols > n_words OR (n_upper >= 50 AND n_upper > n_lower) OR (n_dup_lines >= 10 AND 2 * n_dup_lines > n_lines)
             OR 2 * word_chars < 3 * n_words OR word_chars > 100 * n_words) AS kept
 FROM b
 """
