@@ -15,6 +15,7 @@ from .quality import apply_cascade, plan_cascade
 from .secrets import secret_spans
 from .simhash import simhash_components
 from .tokens import section_token_counts, token_pieces, vocabulary
+from .warc import capture_histories
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +70,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lined.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept_text", 256).alias("kept_sha256"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = capture_histories(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op5_secret_scans": op5_secret_scans,
     "op6_simhash": op6_simhash,
     "op8_line_dedup": op8_line_dedup,
+    "op10_warc": op10_warc,
 }
 
 _OP4 = r"""
@@ -117,4 +124,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
+_OP10 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY h) AS latest,
+             list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1, 1) FOR k IN range(32)], 'string_agg', '') AS payload_digest
+      FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op10_warc": _OP10, "op1_quality_rules": _OP1, "op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
