@@ -11,9 +11,11 @@ from .common import materialize
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, line_bitmaps
 from .packing import pack_sequences
+from .pieces import decode_pieces, encode_pieces, model_path
 from .quality import apply_cascade, plan_cascade
 from .secrets import secret_spans
 from .simhash import simhash_components
+from .suffix import remove_repeats
 from .tokens import section_token_counts, token_pieces, vocabulary
 from .warc import capture_histories
 
@@ -64,12 +66,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lined = apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1))
     return lined.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept_text", 256).alias("kept_sha256"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its pieces under merge-dropout, a digest of their ids, and the digest of what they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode_pieces(encode_pieces(docs, model_path(), rate=0.1, seed=1), model_path())
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = capture_histories(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -82,7 +97,9 @@ QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_simhash": op6_simhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
 }
 
