@@ -78,15 +78,22 @@ def _ball(value, width: int, radius: int) -> F.Column:  # noqa: ANN001
     return F.transform(F.filter(literal, lambda m: value.bitwiseAND(m.bitwiseAND(-m)) == 0), lambda m: value.bitwiseXOR(m))
 
 
+def _entry(segment: int, value, probe: bool) -> F.Column:  # noqa: ANN001
+    return F.struct(value.bitwiseOR(F.lit(segment << 40)).alias("key"), F.lit(probe).alias("probe"))
+
+
+def _prober(segment: int):  # noqa: ANN202
+    # One parameter and no more: a second one would be given the place in the array.
+    return lambda x: _entry(segment, x, True)
+
+
 def links(distinct: DataFrame, n: int, distance: int = 4, block: int = 2048) -> DataFrame:
     """Edges (a, b) that connect exactly what links of at most distance bits connect. distinct: fp, each once; n rows."""
     count = segment_count(n, distance)
     entries = []
     for k, (shift, width, radius) in enumerate(segments(distance, count)):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        name = F.lit(k << 40)
-        entries.append(F.array(F.struct((value.bitwiseOR(name)).alias("key"), F.lit(False).alias("probe"))))
-        entries.append(F.transform(_ball(value, width, radius), lambda x, name=name: F.struct(x.bitwiseOR(name).alias("key"), F.lit(True).alias("probe"))))
+        entries += [F.array(_entry(k, value, False)), F.transform(_ball(value, width, radius), _prober(k))]
     rows = distinct.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", "e.key", "e.probe")
     spark = distinct.sparkSession
     # Table buckets of more than a block: the sketch names candidates (1000 at most), an exact count decides.
