@@ -29,7 +29,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row_hash", "pos")
 
 
-def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, heavy_keys: int = 1000, tracked: int = 20000) -> DataFrame:
+def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, heavy_keys: int = 1000) -> DataFrame:
     """Documents that lose lines: doc_id, row_hash (of the text), runs array<int>.
 
     runs are the lengths of alternating kept and dropped runs of lines, kept first; what follows the
@@ -40,7 +40,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     keys = materialize(line_keys(docs, id_col, text_col, min_chars), "line-keys")
-    top = keys.agg(F.expr(f"approx_top_k(h1, {heavy_keys}, {tracked})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("h1"))
+    top = keys.agg(F.expr(f"approx_top_k(h1, {heavy_keys}, {20 * heavy_keys})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("h1"))
     heavy = spark.createDataFrame([(r.h1,) for r in top.collect()], "h1 bigint")  # heavy_keys rows at most
     place = F.struct("doc_id", "row_hash", "pos")
     of_heavy = keys.join(F.broadcast(heavy), "h1", "left_semi")
