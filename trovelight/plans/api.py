@@ -108,7 +108,8 @@ def bundle(corpus: Corpus, queries: DataFrame, options: BundleOptions = PRESETS[
         weights = memory.learned_weights(memory.query_weights(corpus.log, corpus.feedback), now if now is not None else F.current_timestamp())
         keyed = queries.select("query_id", T.query_key("text").alias("query_norm")).join(weights, "query_norm")
         order = rank.learned_boost(order, keyed).select("query_id", "node_id", F.col("boosted").alias("rank"))
-    order = order.where(F.col("rank") <= options.limit)
+    # At most limit rows a query, read by three branches below.
+    order = order.where(F.col("rank") <= options.limit).persist()
     missed = queries.join(order.select("query_id").distinct(), "query_id", "left_anti")
     fallback = search.like_fallback(missed, corpus.leaves, options.limit)
     if options.exclude:
