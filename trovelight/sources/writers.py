@@ -31,16 +31,16 @@ def write_text_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 class SnapshotStore:
-    """Tables in versioned folders; _CURRENT names the live one. A build is complete before the pointer moves, so readers see the old or the new."""
+    """Tables in versioned folders; CURRENT names the live one. A build is complete before the pointer moves, so readers see the old or the new."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> str | None:
-        fs, pointer, _ = _fs(self.spark, f"{self.root}/_CURRENT")
+        fs, pointer, _ = _fs(self.spark, f"{self.root}/CURRENT")
         if not fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.root}/_CURRENT").first().value.strip()
+        return self.spark.read.text(f"{self.root}/CURRENT").first().value.strip()
 
     def read(self, table: str) -> DataFrame:
         version = self.current()
@@ -57,7 +57,7 @@ class SnapshotStore:
             df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
         if check is not None:
             check(lambda table: self.spark.read.parquet(f"{self.root}/{version}/{table}"))
-        write_text_file(self.spark, f"{self.root}/_CURRENT", version)
+        write_text_file(self.spark, f"{self.root}/CURRENT", version)
         for old in [*names, version][:-keep]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), True)
         return version
