@@ -202,6 +202,24 @@ def test_edge_types_and_policy():
     assert state["n"] == 3 and trace == ["go"] * 3
 
 
+def test_vacuum(spark, nodes):
+    some = nodes.withColumn("is_active", F.col("ordinal") > 2)
+    text = spark.createDataFrame([("n1", "a"), ("n5", "b"), ("zz", "c")], "node_key string, body string")
+    kept, counts = api.vacuum({"nodes": some, "edges": graph.structure_edges(corpus.sibling_links(some)).limit(0), "node_text": text})
+    assert {r.table: (r.before, r.after) for r in counts.collect()} == {"nodes": (8, 5), "edges": (0, 0), "node_text": (3, 1)}
+    lost = spark.createDataFrame([("n5", "gone", True)], "from_node_id string, to_node_id string, is_active boolean")
+    with pytest.raises(ValueError, match="edge_end gone"):
+        api.vacuum({"nodes": some, "edges": lost})
+    assert kept["nodes"].count() == 5
+
+
+def test_search_lines(spark):
+    docs = spark.createDataFrame([("f", "one two\nthree")], "ref_path string, text string")
+    assert api.search_lines(docs, query="three zero").count() == 1 and api.search_lines(docs, "^t").count() == 1
+    with pytest.raises(ValueError, match="pattern"):
+        api.search_lines(docs)
+
+
 def test_snapshots(spark, tmp_path):
     store = writers.SnapshotStore(spark, f"file://{tmp_path}/s")
     assert store.current() is None

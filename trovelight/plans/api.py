@@ -153,6 +153,33 @@ def get_node(nodes: DataFrame, ids: list[str], with_body: bool = True) -> DataFr
     return found if with_body else found.drop("body_md", "body_plain")
 
 
+def search_lines(docs: DataFrame, pattern: str = "", query: str = "", fixed: bool = False, per_file: int = 0) -> DataFrame:
+    """Exact line search: a pattern (regex, or fixed text with punctuation taken either way), or any word of a query."""
+    if bool(pattern) == bool(query):
+        raise ValueError("give a pattern or a query")
+    if query:
+        return grep.grep_any(docs, query.split(), per_file)
+    return grep.grep_tolerant(docs, pattern, per_file) if fixed else grep.grep(docs, pattern, per_file=per_file)
+
+
+def vacuum(tables: dict[str, DataFrame], keep_days: int | None = None, now: F.Column | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """docs, nodes, edges and aliases without inactive rows, node_text without orphans; and counts before and after.
+
+    Tables that break an invariant are refused.
+    """
+    broken = history.violations(tables["nodes"], tables["edges"]).limit(5).collect()
+    if broken:
+        raise ValueError("not consistent: " + ", ".join(f"{r['check']} {r.id}" for r in broken))
+    kept = {name: history.vacuum(t, keep_days, now) if name != "node_text" else t for name, t in tables.items()}
+    if "node_text" in kept:
+        kept["node_text"] = history.drop_orphans(kept["node_text"], kept["nodes"], "node_key")
+    counts = None
+    for name in tables:
+        row = tables[name].agg(F.lit(name).alias("table"), F.count("*").alias("before")).withColumn("after", kept[name].agg(F.count("*").alias("n")).scalar())
+        counts = row if counts is None else counts.unionByName(row)
+    return kept, counts
+
+
 def log_rows(spark: SparkSession, query_text: str, cmd: str, node_ids: list[str], duration_ms: int = 0, neighbors: int = -1) -> DataFrame:
     """One row to append to the query log."""
     schema = "query_id string, query_text string, cmd string, hits_count int, top_node_ids array<string>, duration_ms int, neighbors int"
