@@ -2,10 +2,9 @@
 
 The vocabulary of a merge-type model gives the merges: two neighbours join if their text is a piece, best
 score first, leftmost on a tie. While the agenda is worked off, each candidate merge is skipped if a hash
-keyed by seed, variant, text and place falls below the dropout rate. A unit (a run of spaces with the word
-behind it; no piece reaches across) takes one of a fixed number of variants by a hash of seed, document and
-place, so segmentations vary inside a document and between seeds, repeat exactly in a rerun, and can be
-remembered per unit. Rate 0 gives the model's own segmentation. Characters that are no piece become byte
+keyed by seed, variant, text and place falls below the dropout rate. A unit is a run of spaces with the word
+behind it; no piece reaches across. A document takes one of a fixed number of variants by a hash of seed and
+id, so segmentations vary between documents and seeds, repeat exactly in a rerun, and can be remembered per unit. Rate 0 gives the model's own segmentation. Characters that are no piece become byte
 pieces, and so does a literal U+2581, which would otherwise come back as a space.
 """
 
@@ -15,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, bound_batches
 
 SPACE = "▁"
 _RAW = "\udc81"  # no text holds a lone surrogate; it stands for a literal U+2581 while a text is cut
@@ -36,6 +36,13 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
     return public_tokenizers.path(name)
 
+#: Longer units are rare and are segmented one by one.
+LONG = 32
+
+
+def unit_key(unit: str, variant: int, seed: int) -> int:
+    return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 31 + variant) & 0xFFFFFFFF)
+
 
 class PieceModel:
     def __init__(self, path: str):
@@ -56,14 +63,32 @@ class PieceModel:
                 self.byte_id[value], self.raw[i] = i, bytes([value])
             elif not model.is_control(i) and not model.is_unknown(i):
                 self.raw[i] = self.pieces[i].replace(SPACE, " ").encode()
+        # For batches: ids of characters (beyond the vocabulary where they are no piece), and all joins of two symbols.
+        self.char_id = {c: self.ids[c] for c in self.ids if len(c) == 1}
+        for c in sorted({c for piece in self.ids for c in piece} - set(self.char_id)):
+            self.char_id[c] = n + len(self.char_id)
+        known = self.ids | self.char_id
+        self.order = np.zeros(n, np.int64)
+        self.piece_hash = np.zeros(n, np.uint64)
+        self.slot_key, self.slot_id = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int32)
+        for rank, piece in enumerate(sorted((p for p in self.ids), key=lambda p: self.rank[p])):
+            made = self.ids[piece]
+            self.order[made], self.piece_hash[made] = rank, self.mixed[piece]
+            for cut in range(1, len(piece)):
+                a, b = known.get(piece[:cut]), known.get(piece[cut:])
+                if a is not None and b is not None:
+                    key = a << 20 | b
+                    slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44
+                    while self.slot_key[slot] >= 0:
+                        slot = (slot + 1) & 0xFFFFF
+                    self.slot_key[slot], self.slot_id[slot] = key, made
         self.memo: dict[tuple, dict[str, tuple[int, ...]]] = {}
         self.held = 0
 
     def segment(self, unit: str, rate: float, key: int) -> tuple[int, ...]:
-        """Ids of one unit by agenda; key seeds the hash that skips merges."""
+        """Ids of one unit by agenda; key (see unit_key) seeds the hash that skips merges."""
         rank, places = self.rank, self.mixed
         limit = int(rate * 2**32)
-        key = xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), key & 0xFFFFFFFF)
         parts: list[str | None] = list(unit)
         n = len(parts)
         agenda = [(rank[pair], i, pair) for i, pair in enumerate(map(add, unit, unit[1:])) if pair in rank]
@@ -99,32 +124,125 @@ class PieceModel:
                     out.append(found)
         return tuple(out)
 
-    def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0, variants: int = 2, remember: int = 1_200_000) -> list[int]:
-        if not text:
-            return []
-        units = _UNIT.findall(SPACE + text.replace(SPACE, _RAW).replace(" ", SPACE))
-        if rate:
-            mixed = np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(str(document), seed))
-            chosen = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(variants)
-            picks = chosen.tolist()
-        else:
-            picks = [0] * len(units)
-        memos = [self.memo.setdefault((rate, seed, v), {}) for v in range(variants if rate else 1)]
-        out: list[int] = []
-        for unit, v in zip(units, picks, strict=True):
-            found = memos[v].get(unit)
-            if found is None:
-                if self.held >= remember:  # forget all: memory stays bounded, and the result is the same
-                    for memo in self.memo.values():
-                        memo.clear()
-                    self.held = 0
-                found = self.segment(unit, rate, xxhash.xxh64_intdigest(str(v), seed))
-                if len(unit) <= 64:
-                    memos[v][unit] = found
-                    self.held += 1
-            out += found
+    def segment_many(self, units: list[str], keys: np.ndarray, rate: float) -> list[tuple[int, ...]]:
+        """segment() of many units at once: each round pops one candidate of every unit's agenda.
+
+        keys holds the units' own hash seeds (see unit_key). Units of more than LONG characters go one by one.
+        """
+        out: list[tuple[int, ...]] = [()] * len(units)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        for low, high in ((1, 8), (9, 16), (17, LONG)):
+            rows = np.nonzero((lengths >= low) & (lengths <= high))[0]
+            for at in range(0, len(rows), 16384):
+                part = rows[at : at + 16384]
+                for r, ids in zip(part.tolist(), self._rounds([units[i] for i in part], lengths[part], keys[part], rate), strict=True):
+                    out[r] = ids
+        for r in np.nonzero(lengths > LONG)[0].tolist():
+            out[r] = self.segment(units[r], rate, int(keys[r]))
         return out
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of left and right joined, -1 where they don't join: a look-up by open addressing."""
+        wanted = left.astype(np.int64) << 20 | right
+        slot = (wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        found = np.full(len(wanted), -1, np.int32)
+        open_ = np.arange(len(wanted))
+        while len(open_):
+            there = self.slot_key[slot[open_]]
+            hit = there == wanted[open_]
+            found[open_[hit]] = self.slot_id[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+            slot[open_] = (slot[open_] + 1) & 0xFFFFF
+        return found
+
+    def _rounds(self, units: list[str], lengths: np.ndarray, keys: np.ndarray, rate: float) -> Iterator[tuple[int, ...]]:
+        n, wide = len(units), int(lengths.max())
+        none, limit = np.int64(1) << 62, np.uint64(int(rate * 2**32))
+        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(n), lengths)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbol = np.full((n, wide + 1), -1, np.int32)  # the last column stands for the end
+        distinct, back = np.unique(flat, return_inverse=True)
+        symbol[owner, place] = np.array([self.char_id.get(chr(c), -2) for c in distinct], np.int32)[back]
+        after = np.tile(np.arange(1, wide + 2), (n, 1)).astype(np.int16)
+        after[np.arange(n), lengths - 1] = wide
+        before = np.tile(np.arange(-1, wide), (n, 1)).astype(np.int16)
+        joined = np.full((n, wide), -1, np.int32)
+        agenda = np.full((n, wide), none, np.int64)
+
+        def offer(rows: np.ndarray, at: np.ndarray) -> None:
+            left, right = symbol[rows, at], symbol[rows, after[rows, at]]
+            made = np.full(len(rows), -1, np.int32)
+            some = np.nonzero((left >= 0) & (right >= 0))[0]
+            made[some] = self._pairs(left[some], right[some])
+            joined[rows, at] = made
+            agenda[rows, at] = np.where(made >= 0, self.order[made] * 64 + at, none)
+
+        inner = place + 1 < lengths[owner]
+        offer(owner[inner], place[inner])
+        rows = np.arange(n)
+        while len(rows):
+            at = agenda[rows].argmin(axis=1)
+            live = agenda[rows, at] < none
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                break
+            made = joined[rows, at]
+            hashed = ((self.piece_hash[made] ^ keys[rows].astype(np.uint64)) + at.astype(np.uint64)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+            skip = hashed < limit
+            agenda[rows[skip], at[skip]] = none
+            r, i, made = rows[~skip], at[~skip], made[~skip]
+            j = after[r, i].astype(np.int64)
+            k = after[r, j].astype(np.int64)
+            symbol[r, i], symbol[r, j] = made, -1
+            agenda[r, j] = none
+            after[r, i] = k
+            more = k < wide
+            before[r[more], k[more]] = i[more]
+            agenda[r, i] = none
+            offer(r[more], i[more])
+            h = before[r, i].astype(np.int64)
+            ahead = h >= 0
+            offer(r[ahead], h[ahead])
+        lines = symbol[:, :wide]
+        plain = (lines >= -1).all(axis=1) & (lines < len(self.pieces)).all(axis=1)
+        shown = lines >= 0
+        ends = np.cumsum(shown.sum(axis=1)).tolist()
+        ids = lines[shown].tolist()
+        begin = 0
+        for r, (end, good) in enumerate(zip(ends, plain.tolist(), strict=True)):
+            if good:
+                yield tuple(ids[begin:end])
+            else:  # characters that are no piece
+                spelt: list[int] = []
+                for ch, x in zip(units[r], lines[r].tolist(), strict=False):
+                    if 0 <= x < len(self.pieces):
+                        spelt.append(x)
+                    elif x != -1:
+                        spelt += [self.byte_id[b] for b in ch.replace(_RAW, SPACE).encode("utf-8", "replace")]
+                yield tuple(spelt)
+            begin = end
+
+    def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, variants: int = 2, remember: int = 300_000) -> list[list[int]]:
+        """Ids of each text. Seed and document choose one of the variants for a text's units."""
+        variants = variants if rate else 1
+        if self.held > remember:  # forget all: memory stays bounded, and the result is the same
+            self.memo.clear()
+            self.held = 0
+        memos = [self.memo.setdefault((rate, seed, v), {}) for v in range(variants)]
+        chosen = [xxhash.xxh64_intdigest(str(d), seed) % variants for d in documents]
+        cut = [_UNIT.findall(SPACE + t.replace(SPACE, _RAW).replace(" ", SPACE)) if t else [] for t in texts]
+        for v, memo in enumerate(memos):
+            wanted = sorted({u for units, c in zip(cut, chosen, strict=True) if c == v for u in set(units).difference(memo)})
+            if wanted:
+                keys = np.fromiter((unit_key(unit, v, seed) for unit in wanted), np.int64, len(wanted))
+                memo.update(zip(wanted, self.segment_many(wanted, keys, rate), strict=True))
+                self.held += len(wanted)
+        return [list(chain.from_iterable(map(memos[c].__getitem__, units))) for units, c in zip(cut, chosen, strict=True)]
+
+    def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0, variants: int = 2) -> list[int]:
+        return self.encode_many([text], [document], rate, seed, variants)[0]
+
     def decode(self, ids: list[int]) -> str:
         """The text whose encoding, at any rate and seed, is ids."""
         raw = self.raw
@@ -139,15 +257,16 @@ def piece_model(path: str) -> PieceModel:
 
 def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>; one row per row of docs. Null and empty texts have no ids. Other columns are ignored."""
+    bound_batches(docs.sparkSession, "2m")
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
-            texts = (x.decode("utf-8", "replace") for x in as_bytes(batch.column(1)))
-            ids = [model.encode(t, rate, seed, d or 0, variants) for d, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+            texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
+            ids = model.encode_many(texts, [d or 0 for d in batch.column(0).to_pylist()], rate, seed, variants)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
-            flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32))
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat).cast(fields.field("ids").type)], schema=fields)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id bigint, ids array<int>")
