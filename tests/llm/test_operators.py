@@ -280,7 +280,7 @@ def test_segments_cover():
             assert any(bin(bits >> shift & (1 << width) - 1).count("1") <= radius for shift, width, radius in parts)
 
 
-@pytest.mark.parametrize(("length", "options"), [(40, {}), (25, {"bucket_rows": 9, "heavy_grams": 3})])
+@pytest.mark.parametrize(("length", "options"), [(40, {}), (25, {"bucket_rows": 9, "crowd": 2, "heavy_grams": 3})])
 def test_remove_repeats(docs, rows, none, length, options):
     data = [(i, (t or "").encode()[:4000]) for i, t in rows]
     spark = docs.sparkSession

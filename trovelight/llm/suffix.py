@@ -11,9 +11,9 @@ places, so two windows can only be equal if their anchors' grams are.
 2. What is left, one row per distinct context of a gram found in several, takes its context's bytes along.
    Sampled splitters range-partition these suffixes by leading bytes; each bucket sorts them locally and
    compares the windows of equal grams.
-3. A gram at the edge of a bucket may go on in the next, and a frequent one fills several buckets. Their
-   windows are compared across boundaries: cells of neighbouring windows by the bytes they share, then,
-   where these occur twice, single windows, by counts that are combined map-side.
+3. A gram with very many contexts fills several buckets. Its windows are compared across boundaries: cells
+   of neighbouring windows by the bytes they share, then, where these occur twice, single windows, by
+   counts that are combined map-side.
 
 Strings are compared by 64-bit hashes of their bytes inside the same gram, cell or context.
 """
@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, bound_batches, materialize
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
@@ -148,7 +149,10 @@ def _marks(rows: DataFrame, heavy_grams: int) -> DataFrame:
     classes = frequent.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     several = F.broadcast(classes.groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a != b").select(F.col("h").alias("several_h")))
     classes = classes.join(several, F.col("h") == F.col("several_h"), "left").select(F.col("h").alias("class_h"), F.col("ctx").alias("class_ctx"), "n", "first", F.col("several_h").isNotNull().alias("several"))
-    joined = frequent.join(classes, (F.col("h") == F.col("class_h")) & (F.col("ctx") == F.col("class_ctx")))
+    # One class may hold most of them, so each class meets its rows in several places.
+    classes = classes.withColumn("class_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    salt = F.pmod(F.xxhash64("doc_id", "key", "pos"), F.lit(16)).cast("int")
+    joined = frequent.withColumn("salt", salt).join(classes, (F.col("h") == F.col("class_h")) & (F.col("ctx") == F.col("class_ctx")) & (F.col("salt") == F.col("class_salt")))
     split = joined.select("h", "doc_id", "key", "pos", "low", "high", (F.col("n") > 1).alias("twice"), (F.col("several") & place.eqNullSafe(F.col("first"))).alias("asks"))
     return light.select(*columns).unionByName(split.select(*columns)).where("twice or asks")
 
@@ -175,106 +179,129 @@ def _unpack(column: pa.Array) -> Iterator[bytes]:
 
 def _contexts(docs: DataFrame, asks: DataFrame, length: int, gram: int) -> DataFrame:
     """Each asking anchor with its leading bytes and its context's bytes."""
-    fields = pa.schema([("lead", pa.binary()), ("h", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("bytes", pa.binary())])
+    fields = pa.schema([("lead", pa.binary()), ("h", pa.int64()), ("part", pa.int64()), ("crowded", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("bytes", pa.binary())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, key, data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpack(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                rows += [(data[x["pos"] : x["pos"] + 8], x["h"], doc_id, key, x["pos"], x["low"], data[x["low"] : x["high"]]) for x in items]
+                rows += [(data[x["pos"] : x["pos"] + 8], x["h"], x["part"], x["crowded"], doc_id, key, x["pos"], x["low"], data[x["low"] : x["high"]]) for x in items]
             for at in range(0, len(rows), 10000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 10000], strict=True), fields, strict=True)], schema=fields)
 
-    lists = asks.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "low", "high", "h")).alias("items"))
-    return _with_texts(docs, lists, "inner").mapInArrow(take, "lead binary, h bigint, doc_id bigint, key bigint, pos int, low int, bytes binary")
+    lists = asks.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "low", "high", "h", "part", "crowded")).alias("items"))
+    return _with_texts(docs, lists, "inner").mapInArrow(take, "lead binary, h bigint, part bigint, crowded boolean, doc_id bigint, key bigint, pos int, low int, bytes binary")
 
 
-def _compare(length: int, gram: int, cell: int, edges: bool):  # noqa: ANN202
-    """A bucket's suffixes to settled runs of windows (cell rows null) and, for grams at its edges, to cells."""
+def _compare(length: int, gram: int, cell: int):  # noqa: ANN202
+    """A bucket's suffixes to settled runs of windows (core null) and, for crowded grams, to cells."""
     reach = length - gram
+    wide = reach + length
     fields = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("core", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        h = table["h"].to_numpy()
-        pos, low = table["pos"].to_numpy().astype(np.int64), table["low"].to_numpy().astype(np.int64)
-        left = pos - low
+    def measured(table: pa.Table, crowded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(pos, valid, hash) of the window that begins o bytes ahead of the anchor, for o = 0 .. reach; the cells' cores if crowded."""
+        pos = table["pos"].to_numpy().astype(np.int64)
+        left = pos - table["low"].to_numpy()
         texts = table["bytes"].to_pylist()
-        right = np.fromiter(map(len, texts), np.int64, len(texts)) - left
-        group = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-        at_edge = (group == 0) | (group == group[-1]) if edges else np.zeros(len(h), bool)
-        wide = reach + length
-        for part in np.split(np.arange(len(h)), _cuts(group, 4096)):
-            n = len(part)
-            block = np.zeros((n, wide), np.uint8)
-            for i, r in enumerate(part):  # the anchor stands in column reach
-                block[i, reach - left[r] : reach + right[r]] = np.frombuffer(texts[r], np.uint8)
-            POWERS.grow(wide + 1)
-            sums = np.zeros((n, wide + 1), np.uint64)
+        n = len(texts)
+        right = np.fromiter(map(len, texts), np.int64, n) - left
+        valid = (left[:, None] >= np.arange(reach + 1)) & (right[:, None] >= length - np.arange(reach + 1))
+        values = np.empty((n, reach + 1), np.uint64)
+        cores = [np.empty(n, np.uint64) for _ in range(0, reach + 1, cell)] if crowded else []
+        POWERS.grow(wide + 1)
+        begin = reach - np.arange(reach + 1)
+        for at in range(0, n, 512):
+            some = slice(at, min(at + 512, n))
+            block = np.zeros((some.stop - at, wide), np.uint8)
+            for i in range(at, some.stop):  # the anchor stands in column reach
+                block[i - at, reach - left[i] : reach + right[i]] = np.frombuffer(texts[i], np.uint8)
+            sums = np.zeros((some.stop - at, wide + 1), np.uint64)
             np.cumsum(BYTE_CODES[block] * POWERS.up[:wide], axis=1, out=sums[:, 1:])
-            salt = mix(group[part].astype(np.uint64) + np.uint64(1))
-            name = mix(h[part].view(np.uint64))  # across buckets a window is told by gram, place and bytes
-            repeated = np.zeros((n, reach + 1), bool)
-            valid = np.zeros((n, reach + 1), bool)
-            values = np.zeros((n, reach + 1), np.uint64)
-            for o in range(reach + 1):  # the window that begins o bytes ahead of the anchor
-                ok = (left[part] >= o) & (right[part] >= length - o)
-                a = reach - o
-                value = mix((sums[:, a + length] - sums[:, a]) * POWERS.down[a])
-                valid[:, o], values[:, o] = ok, value ^ mix(name + np.uint64(o))
-                some = np.nonzero(ok)[0]
-                order = some[np.argsort((value ^ salt)[some], kind="stable")]
-                ranked = (value ^ salt)[order]
-                twin = np.zeros(len(order), bool)
-                twin[1:] = ranked[1:] == ranked[:-1]
-                twin[:-1] |= ranked[1:] == ranked[:-1]
-                repeated[order, o] = twin
-            inner = ~at_edge[part]
-            rows = []
-            padded = np.zeros((n, reach + 3), np.int8)
-            padded[:, 1:-1] = repeated & inner[:, None]
-            change = np.diff(padded, axis=1)
-            opens, closes = np.nonzero(change == 1), np.nonzero(change == -1)
-            for i, first, last in zip(opens[0], opens[1], closes[1] - 1, strict=True):  # windows o = first .. last
-                rows.append((part[i], pos[part[i]] - last, pos[part[i]] - first + length, None, None))
-            for first in range(0, reach + 1, cell) if edges else ():
+            values[some] = mix((sums[:, begin + length] - sums[:, begin]) * POWERS.down[begin])
+            for core, first in zip(cores, range(0, reach + 1, cell), strict=False):
                 last = min(first + cell - 1, reach)
-                core = mix((sums[:, reach - last + length] - sums[:, reach - first]) * POWERS.down[reach - first]) ^ mix(name + np.uint64(first))
-                some = valid[:, first : last + 1].any(axis=1) & ~inner
-                for i in np.nonzero(some)[0]:
-                    seen = [int(v) if ok else None for v, ok in zip(values[i, first : last + 1].view(np.int64), valid[i, first : last + 1], strict=True)]
-                    rows.append((part[i], pos[part[i]] - first, 0, int(core[i : i + 1].view(np.int64)[0]), seen))
-            if rows:
-                index, start, end, core, seen = zip(*rows, strict=True)
-                take = pa.array(index, pa.int64())
-                yield pa.RecordBatch.from_arrays([table["doc_id"].take(take).combine_chunks(), table["key"].take(take).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(core, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], schema=fields)
+                core[some] = mix((sums[:, reach - last + length] - sums[:, reach - first]) * POWERS.down[reach - first])
+        return pos, valid, values, cores
+
+    def settled(table: pa.Table) -> Iterator[tuple]:
+        """Runs of repeated windows in whole groups of equal grams."""
+        pos, valid, values, _ = measured(table, False)
+        salt = mix(table["h"].to_numpy().view(np.uint64))
+        padded = np.zeros((len(pos), reach + 3), np.int8)
+        for o in range(reach + 1):
+            some = np.nonzero(valid[:, o])[0]
+            value = values[some, o] ^ salt[some]
+            order = np.argsort(value, kind="stable")
+            same = value[order][1:] == value[order][:-1]
+            twin = np.zeros(len(some), bool)
+            twin[1:] = same
+            twin[:-1] |= same
+            padded[some[order], o + 1] = twin
+        change = np.diff(padded, axis=1)
+        opens, closes = np.nonzero(change == 1), np.nonzero(change == -1)
+        for i, first, last in zip(opens[0], opens[1], closes[1] - 1, strict=True):  # windows o = first .. last
+            yield i, pos[i] - last, pos[i] - first + length, None, None
+
+    def cells(table: pa.Table) -> Iterator[tuple]:
+        """Windows of crowded grams, told by gram, place and bytes, in cells with a hash of the bytes that a cell's windows share."""
+        pos, valid, values, cores = measured(table, True)
+        name = mix(table["h"].to_numpy().view(np.uint64))
+        told = (values ^ mix(name[:, None] + np.arange(reach + 1, dtype=np.uint64))).view(np.int64)
+        for core, first in zip(cores, range(0, reach + 1, cell), strict=True):
+            last = min(first + cell - 1, reach)
+            own = (core ^ mix(name + np.uint64(first))).view(np.int64)
+            for i in np.nonzero(valid[:, first : last + 1].any(axis=1))[0]:
+                seen = [v if ok else None for v, ok in zip(told[i, first : last + 1].tolist(), valid[i, first : last + 1].tolist(), strict=True)]
+                yield i, pos[i] - first, 0, int(own[i]), seen
+
+    def out(table: pa.Table, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        found = list(rows)
+        for at in range(0, len(found), 20000):
+            index, start, end, core, seen = zip(*found[at : at + 20000], strict=True)
+            take = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([table["doc_id"].take(take).combine_chunks(), table["key"].take(take).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(core, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], schema=fields)
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # whole groups, and the one that is still open at the end
+        for batch in batches:
+            crowded = batch.column("crowded")
+            if crowded.true_count:
+                some = pa.Table.from_batches([batch.filter(crowded)])
+                yield from out(some, cells(some))
+                batch = batch.filter(pc.invert(crowded))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 1024:
+                table = pa.Table.from_batches(held)
+                h = table["h"].to_numpy()
+                other = np.nonzero(h != h[-1])[0]
+                if len(other):
+                    open_at = int(other[-1]) + 1
+                    yield from out(table[:open_at], settled(table[:open_at]))
+                    held = table[open_at:].to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from out(table, settled(table))
 
+    return run
 
-def _cuts(group: np.ndarray, most: int) -> list[int]:
-    """Where to cut rows so that no group is split and parts have about most rows."""
-    out, last = [], 0
-    starts = np.nonzero(np.diff(group))[0] + 1
-    for s in starts:
-        if s - last >= most:
-            out.append(int(s))
-            last = s
-    return out
 
+def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, cell: int = 20, bucket_rows: int = 4096, crowd: int = 32768, heavy_grams: int = 1000) -> DataFrame:
+    """docs (doc_id, key, text) to runs (doc_id, key, start, end) of bytes that a repeated string covers; runs may overlap.
 
-def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, cell: int = 20, bucket_rows: int = 4096, heavy_grams: int = 1000) -> DataFrame:
-    """docs (doc_id, key, text) to runs (doc_id, key, start, end) of bytes that a repeated string covers; runs may overlap."""
+    A gram with more than crowd different contexts is dealt out over several buckets.
+    """
     gram = gram or max(1, length // 2)
     marks = materialize(_marks(anchor_rows(docs, length, gram), heavy_grams), "marks")
     settled = marks.where(F.col("twice") & (F.col("high") - F.col("low") >= length)).select("doc_id", "key", F.col("low").alias("start"), F.col("high").alias("end"))
     asks = marks.where("asks")
     buckets = max(1, -(-asks.count() // bucket_rows))
-    suffixes = _contexts(docs, asks, length, gram).repartitionByRange(buckets, "lead", "h", "doc_id", "key", "pos").sortWithinPartitions("lead", "h", "doc_id", "key", "pos")
-    compared = materialize(suffixes.mapInArrow(_compare(length, gram, cell, buckets > 1), "doc_id bigint, key bigint, start int, end int, core bigint, windows array<bigint>"), "compared")
+    crowds = asks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("h").alias("crowd_h"), F.ceil(F.col("n") / crowd).alias("parts"))
+    dealt = asks.join(crowds, F.col("h") == F.col("crowd_h"), "left").withColumns({"crowded": F.col("parts").isNotNull(), "part": F.coalesce(F.pmod(F.xxhash64("doc_id", "key", "pos"), F.col("parts")), F.lit(0).cast("long"))})
+    suffixes = _contexts(docs, dealt, length, gram).repartitionByRange(buckets, "lead", "h", "part").sortWithinPartitions("lead", "h", "part", "doc_id", "key", "pos")
+    compared = materialize(suffixes.mapInArrow(_compare(length, gram, cell), "doc_id bigint, key bigint, start int, end int, core bigint, windows array<bigint>"), "compared")
     local = compared.where("core is null").select("doc_id", "key", "start", "end")
     cells = compared.where("core is not null")
     shared = cells.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("shared"))
@@ -290,6 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches stay inside a document; one document may repeat itself, and copies of a row repeat each other.
     Rows that share id and text are told apart only in that each counts as a place. Null text is empty.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     runs = repeated_runs(own, length, gram, **options)
