@@ -11,14 +11,14 @@ pieces, and so does a literal U+2581, which would otherwise come back as a space
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ class PieceModel:
         self.rank = {self.pieces[i]: -model.get_score(i) for i in plain}
         self.mixed = {piece: xxhash.xxh32_intdigest(piece) for piece in self.rank}
         self.byte_id = [0] * 256
-        self.raw: list[bytes | None] = [None] * n
+        self.raw = np.full(n, b"", object)
         for i in range(n):
             if model.is_byte(i):
                 value = int(self.pieces[i][3:5], 16)
@@ -82,7 +82,7 @@ class PieceModel:
                     while self.slot_key[slot] >= 0:
                         slot = (slot + 1) & 0xFFFFF
                     self.slot_key[slot], self.slot_id[slot] = key, made
-        self.memo: dict[tuple, dict[str, tuple[int, ...]]] = {}
+        self.memo: dict[tuple, dict[str, bytes]] = {}
         self.held = 0
 
     def segment(self, unit: str, rate: float, key: int) -> tuple[int, ...]:
@@ -124,12 +124,12 @@ class PieceModel:
                     out.append(found)
         return tuple(out)
 
-    def segment_many(self, units: list[str], keys: np.ndarray, rate: float) -> list[tuple[int, ...]]:
-        """segment() of many units at once: each round pops one candidate of every unit's agenda.
+    def segment_many(self, units: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+        """segment() of many units at once, as int32: each round pops one candidate of every unit's agenda.
 
         keys holds the units' own hash seeds (see unit_key). Units of more than LONG characters go one by one.
         """
-        out: list[tuple[int, ...]] = [()] * len(units)
+        out = [b""] * len(units)
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         for low, high in ((1, 8), (9, 16), (17, LONG)):
             rows = np.nonzero((lengths >= low) & (lengths <= high))[0]
@@ -138,7 +138,7 @@ class PieceModel:
                 for r, ids in zip(part.tolist(), self._rounds([units[i] for i in part], lengths[part], keys[part], rate), strict=True):
                     out[r] = ids
         for r in np.nonzero(lengths > LONG)[0].tolist():
-            out[r] = self.segment(units[r], rate, int(keys[r]))
+            out[r] = np.array(self.segment(units[r], rate, int(keys[r])), "<i4").tobytes()
         return out
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ class PieceModel:
             slot[open_] = (slot[open_] + 1) & 0xFFFFF
         return found
 
-    def _rounds(self, units: list[str], lengths: np.ndarray, keys: np.ndarray, rate: float) -> Iterator[tuple[int, ...]]:
+    def _rounds(self, units: list[str], lengths: np.ndarray, keys: np.ndarray, rate: float) -> Iterator[bytes]:
         n, wide = len(units), int(lengths.max())
         none, limit = np.int64(1) << 62, np.uint64(int(rate * 2**32))
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -207,12 +207,12 @@ class PieceModel:
         lines = symbol[:, :wide]
         plain = (lines >= -1).all(axis=1) & (lines < len(self.pieces)).all(axis=1)
         shown = lines >= 0
-        ends = np.cumsum(shown.sum(axis=1)).tolist()
-        ids = lines[shown].tolist()
+        ends = (4 * np.cumsum(shown.sum(axis=1))).tolist()
+        ids = lines[shown].astype("<i4").tobytes()
         begin = 0
         for r, (end, good) in enumerate(zip(ends, plain.tolist(), strict=True)):
             if good:
-                yield tuple(ids[begin:end])
+                yield ids[begin:end]
             else:  # characters that are no piece
                 spelt: list[int] = []
                 for ch, x in zip(units[r], lines[r].tolist(), strict=False):
@@ -220,10 +220,10 @@ class PieceModel:
                         spelt.append(x)
                     elif x != -1:
                         spelt += [self.byte_id[b] for b in ch.replace(_RAW, SPACE).encode("utf-8", "replace")]
-                yield tuple(spelt)
+                yield np.array(spelt, "<i4").tobytes()
             begin = end
 
-    def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, variants: int = 2, remember: int = 300_000) -> list[list[int]]:
+    def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, variants: int = 2, remember: int = 300_000) -> list[np.ndarray]:
         """Ids of each text. Seed and document choose one of the variants for a text's units."""
         variants = variants if rate else 1
         if self.held > remember:  # forget all: memory stays bounded, and the result is the same
@@ -238,16 +238,14 @@ class PieceModel:
                 keys = np.fromiter((unit_key(unit, v, seed) for unit in wanted), np.int64, len(wanted))
                 memo.update(zip(wanted, self.segment_many(wanted, keys, rate), strict=True))
                 self.held += len(wanted)
-        return [list(chain.from_iterable(map(memos[c].__getitem__, units))) for units, c in zip(cut, chosen, strict=True)]
+        return [np.frombuffer(b"".join(map(memos[c].__getitem__, units)), "<i4") for units, c in zip(cut, chosen, strict=True)]
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0, variants: int = 2) -> list[int]:
-        return self.encode_many([text], [document], rate, seed, variants)[0]
+        return self.encode_many([text], [document], rate, seed, variants)[0].tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text whose encoding, at any rate and seed, is ids."""
-        raw = self.raw
-        data = b"".join([raw[i] or b"" for i in ids])
-        return data[1:].decode("utf-8", "replace") if ids else ""
+        return b"".join(self.raw[np.asarray(ids, np.int64)].tolist())[1:].decode("utf-8", "replace") if len(ids) else ""
 
 
 @lru_cache(maxsize=2)
@@ -266,7 +264,7 @@ def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0,
             texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
             ids = model.encode_many(texts, [d or 0 for d in batch.column(0).to_pylist()], rate, seed, variants)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat).cast(fields.field("ids").type)], schema=fields)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id bigint, ids array<int>")
@@ -279,7 +277,11 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
         for batch in batches:
-            texts = [model.decode(x or []) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            if not len(lists):
+                continue
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            texts = [model.decode(x) for x in np.split(flat, ends[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(fields.field("ids").type), pa.array(texts, pa.string())], schema=fields)
 
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, ids array<int>, text string")
