@@ -299,6 +299,8 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, c
     asks = marks.where("asks")
     buckets = max(1, -(-asks.count() // bucket_rows))
     crowds = asks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("h").alias("crowd_h"), F.ceil(F.col("n") / crowd).alias("parts"))
+    if crowds.limit(100_001).count() <= 100_000:  # else the planner joins them as it can
+        crowds = F.broadcast(crowds)
     dealt = asks.join(crowds, F.col("h") == F.col("crowd_h"), "left").withColumns({"crowded": F.col("parts").isNotNull(), "part": F.coalesce(F.pmod(F.xxhash64("doc_id", "key", "pos"), F.col("parts")), F.lit(0).cast("long"))})
     suffixes = _contexts(docs, dealt, length, gram).repartitionByRange(buckets, "lead", "h", "part").sortWithinPartitions("lead", "h", "part", "doc_id", "key", "pos")
     compared = materialize(suffixes.mapInArrow(_compare(length, gram, cell), "doc_id bigint, key bigint, start int, end int, core bigint, windows array<bigint>"), "compared")
