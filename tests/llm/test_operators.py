@@ -316,3 +316,40 @@ def test_pieces(docs, rows, none):
     back = decode_pieces(encode_pieces(docs, model_path(), 0.2, 5), model_path())
     assert Counter((repr(r.doc_id), r.text) for r in back.collect()) == Counter((repr(i), t or "") for i, t in rows)
     assert decode_pieces(encode_pieces(none, model_path()), model_path()).count() == 0
+
+
+def test_dropout_by_occurrence(spark):
+    """Each occurrence of a word has its own segmentation, with the odds of merge-dropout, alike in any batch."""
+    model, rate = PieceModel(model_path()), 0.3
+    word = "▁information"
+    text = " ".join(["information"] * 3000)
+    seen = Counter()
+    for ids in (model.encode(text, rate, 1, 5), model.encode(text, rate, 1, 6)):
+        parts, now = [], []
+        for i in ids:
+            if model.pieces[i].startswith("▁") and now:
+                parts.append(tuple(now))
+                now = []
+            now.append(i)
+        parts.append(tuple(now))
+        assert len(parts) == 3000 and len(set(parts)) > 20
+        seen.update(parts)
+    r = random.Random(4)
+
+    class Coin:
+        def __contains__(self, _):
+            return r.random() < rate
+
+    want = Counter(model.segment(word, Coin()) for _ in range(6000))
+    for ids, n in want.most_common(5):
+        assert abs(n - seen[ids]) < 6 * (2 * n) ** 0.5
+    assert model.encode(text, rate, 1, 5) != model.encode(text, rate, 1, 6)
+    texts = [text[:500], "x" * 80 + " " + text[:300], "", "naïve ▁ 日本語 " * 9]
+    many = model.encode_many(texts, [1, 2, 3, 4], rate, 9)
+    assert [x.tolist() for x in many] == [PieceModel(model_path()).encode(t, rate, 9, d) for d, t in enumerate(texts, 1)]
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    one, two = (r.ids for r in encode_pieces(df, model_path(), 0.1, 1).orderBy("doc_id").collect())
+    assert one != two and one == model.encode(text, 0.1, 1, 1)
+    for skips in ((), (0,), (0, 2), (1, 3), (2,)):
+        node = model.remember([word], [bytes(skips)])[0]
+        assert np.frombuffer(model.made[node], "<i4").tolist() == list(model.segment(word, skips))

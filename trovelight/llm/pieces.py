@@ -1,19 +1,22 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 The vocabulary of a merge-type model gives the merges: two neighbours join if their text is a piece, best
-score first, leftmost on a tie. While the agenda is worked off, each candidate merge is skipped if a hash
-keyed by seed, variant, text and place falls below the dropout rate. A unit is a run of spaces with the word
-behind it; no piece reaches across. A document takes one of a fixed number of variants by a hash of seed and
-id, so segmentations vary between documents and seeds, repeat exactly in a rerun, and can be remembered per unit. Rate 0 gives the model's own segmentation. Characters that are no piece become byte
-pieces, and so does a literal U+2581, which would otherwise come back as a space.
+score first, leftmost on a tie. While the agenda is worked off, each candidate merge is skipped with the
+dropout rate. A unit is a run of spaces with the word behind it; no piece reaches across. A hash keyed by seed,
+document and the unit's place in it decides which of its candidates are skipped (as the gaps between skips,
+which are geometric), so every occurrence of a word is segmented by itself, and alike in a rerun. What is
+remembered are results by unit and skipped candidates, which any occurrence may meet; the decisions never are.
+Rate 0 gives the model's own segmentation. Characters that are no piece become byte pieces, and so does a
+literal U+2581, which would otherwise come back as a space.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -38,10 +41,26 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 #: Longer units are rare and are segmented one by one.
 LONG = 32
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def unit_key(unit: str, variant: int, seed: int) -> int:
-    return xxhash.xxh32_intdigest(unit.encode("utf-8", "surrogatepass"), (seed * 31 + variant) & 0xFFFFFFFF)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def unit_keys(document: int, seed: int, n: int) -> np.ndarray:
+    """The hash seeds of the n units of a document, by place."""
+    return _mix(np.arange(n, dtype=np.uint64) * _GOLDEN + np.uint64(xxhash.xxh64_intdigest(str(document), seed & 0xFFFFFFFFFFFFFFFF)))
+
+
+def skip_gaps(keys: np.ndarray, nth: int | np.ndarray, rate: float) -> np.ndarray:
+    """Candidates that are not skipped ahead of the nth skip and behind the one before: a hash of key and nth."""
+    if rate >= 1:
+        return np.zeros(np.broadcast(keys, nth).shape, np.int64)
+    share = ((_mix(keys + _GOLDEN * np.asarray(nth + 1, np.uint64)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return np.minimum(np.log(share) / np.log1p(-rate), 2.0**31).astype(np.int64)
 
 
 class PieceModel:
@@ -54,7 +73,6 @@ class PieceModel:
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.rank = {self.pieces[i]: -model.get_score(i) for i in plain}
-        self.mixed = {piece: xxhash.xxh32_intdigest(piece) for piece in self.rank}
         self.byte_id = [0] * 256
         self.raw = np.full(n, b"", object)
         for i in range(n):
@@ -69,11 +87,10 @@ class PieceModel:
             self.char_id[c] = n + len(self.char_id)
         known = self.ids | self.char_id
         self.order = np.zeros(n, np.int64)
-        self.piece_hash = np.zeros(n, np.uint64)
         self.slot_key, self.slot_id = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int32)
         for rank, piece in enumerate(sorted((p for p in self.ids), key=lambda p: self.rank[p])):
             made = self.ids[piece]
-            self.order[made], self.piece_hash[made] = rank, self.mixed[piece]
+            self.order[made] = rank
             for cut in range(1, len(piece)):
                 a, b = known.get(piece[:cut]), known.get(piece[cut:])
                 if a is not None and b is not None:
@@ -82,13 +99,19 @@ class PieceModel:
                     while self.slot_key[slot] >= 0:
                         slot = (slot + 1) & 0xFFFFF
                     self.slot_key[slot], self.slot_id[slot] = key, made
-        self.memo: dict[tuple, dict[str, bytes]] = {}
-        self.held = 0
-
-    def segment(self, unit: str, rate: float, key: int) -> tuple[int, ...]:
-        """Ids of one unit by agenda; key (see unit_key) seeds the hash that skips merges."""
-        rank, places = self.rank, self.mixed
-        limit = int(rate * 2**32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered: results (nodes) by unit and skipped candidates. Node 0 stands for long units."""
+        self.units, self.skips = [""], [b""]
+        self.made: list[bytes] = [b""]
+        self.popped = np.zeros(1 << 16, np.int64)
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}  # by node << 8 | the next candidate that is skipped
+
+    def segment(self, unit: str, skips: Collection[int] = ()) -> tuple[int, ...]:
+        """Ids of one unit by agenda; skips are the candidates to skip, by their number in the order of the agenda."""
+        rank, nth = self.rank, -1
         parts: list[str | None] = list(unit)
         n = len(parts)
         agenda = [(rank[pair], i, pair) for i, pair in enumerate(map(add, unit, unit[1:])) if pair in rank]
@@ -100,7 +123,8 @@ class PieceModel:
                 left, j = parts[i], after[i]
                 if left is None or j >= n or left + parts[j] != pair:
                     continue  # one of the two has merged otherwise since
-                if limit and ((places[pair] ^ key) + i) * 0x9E3779B1 & 0xFFFFFFFF < limit:
+                nth += 1
+                if nth in skips:
                     continue
                 parts[i], parts[j] = pair, None
                 after[i] = k = after[j]
@@ -124,22 +148,25 @@ class PieceModel:
                     out.append(found)
         return tuple(out)
 
-    def segment_many(self, units: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
-        """segment() of many units at once, as int32: each round pops one candidate of every unit's agenda.
-
-        keys holds the units' own hash seeds (see unit_key). Units of more than LONG characters go one by one.
-        """
-        out = [b""] * len(units)
+    def remember(self, units: list[str], skips: list[bytes]) -> range:
+        """Nodes of units of at most LONG characters and their skipped candidates: segment() of many units at once."""
+        first = len(self.made)
+        nodes = range(first, first + len(units))
+        self.units += units
+        self.skips += skips
+        self.made += [b""] * len(units)
+        if len(self.made) > len(self.popped):
+            self.popped = np.resize(self.popped, 2 * len(self.made))
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         for low, high in ((1, 8), (9, 16), (17, LONG)):
             rows = np.nonzero((lengths >= low) & (lengths <= high))[0]
             for at in range(0, len(rows), 16384):
                 part = rows[at : at + 16384]
-                for r, ids in zip(part.tolist(), self._rounds([units[i] for i in part], lengths[part], keys[part], rate), strict=True):
-                    out[r] = ids
-        for r in np.nonzero(lengths > LONG)[0].tolist():
-            out[r] = np.array(self.segment(units[r], rate, int(keys[r])), "<i4").tobytes()
-        return out
+                chosen = part.tolist()
+                self.popped[first + part], lines = self._rounds([units[i] for i in chosen], lengths[part], [skips[i] for i in chosen])
+                for r, ids in zip(chosen, lines, strict=True):
+                    self.made[first + r] = ids
+        return nodes
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of left and right joined, -1 where they don't join: a look-up by open addressing."""
@@ -155,9 +182,14 @@ class PieceModel:
             slot[open_] = (slot[open_] + 1) & 0xFFFFF
         return found
 
-    def _rounds(self, units: list[str], lengths: np.ndarray, keys: np.ndarray, rate: float) -> Iterator[bytes]:
+    def _rounds(self, units: list[str], lengths: np.ndarray, skips: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """Candidates worked off and ids as int32 of each unit. Each round pops one candidate of every agenda."""
         n, wide = len(units), int(lengths.max())
-        none, limit = np.int64(1) << 62, np.uint64(int(rate * 2**32))
+        none = np.int64(1) << 62
+        flat = np.frombuffer(b"".join(skips), np.uint8)
+        skipped = np.zeros((n, 2 + int(flat.max(initial=0))), bool)  # none in the last column
+        skipped[np.repeat(np.arange(n), np.fromiter(map(len, skips), np.int64, n)), flat] = True
+        popped, nth = np.zeros(n, np.int64), 0
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(n), lengths)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -188,8 +220,9 @@ class PieceModel:
             if not len(rows):
                 break
             made = joined[rows, at]
-            hashed = ((self.piece_hash[made] ^ keys[rows].astype(np.uint64)) + at.astype(np.uint64)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
-            skip = hashed < limit
+            skip = skipped[rows, min(nth, skipped.shape[1] - 1)]
+            nth += 1
+            popped[rows] = nth
             agenda[rows[skip], at[skip]] = none
             r, i, made = rows[~skip], at[~skip], made[~skip]
             j = after[r, i].astype(np.int64)
@@ -204,44 +237,55 @@ class PieceModel:
             h = before[r, i].astype(np.int64)
             ahead = h >= 0
             offer(r[ahead], h[ahead])
-        lines = symbol[:, :wide]
+        return popped, self._spell(units, symbol[:, :wide])
+
+    def _spell(self, units: list[str], lines: np.ndarray) -> list[bytes]:
         plain = (lines >= -1).all(axis=1) & (lines < len(self.pieces)).all(axis=1)
         shown = lines >= 0
         ends = (4 * np.cumsum(shown.sum(axis=1))).tolist()
         ids = lines[shown].astype("<i4").tobytes()
-        begin = 0
-        for r, (end, good) in enumerate(zip(ends, plain.tolist(), strict=True)):
-            if good:
-                yield ids[begin:end]
-            else:  # characters that are no piece
-                spelt: list[int] = []
-                for ch, x in zip(units[r], lines[r].tolist(), strict=False):
-                    if 0 <= x < len(self.pieces):
-                        spelt.append(x)
-                    elif x != -1:
-                        spelt += [self.byte_id[b] for b in ch.replace(_RAW, SPACE).encode("utf-8", "replace")]
-                yield np.array(spelt, "<i4").tobytes()
-            begin = end
-
-    def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, variants: int = 2, remember: int = 300_000) -> list[np.ndarray]:
-        """Ids of each text. Seed and document choose one of the variants for a text's units."""
-        variants = variants if rate else 1
-        if self.held > remember:  # forget all: memory stays bounded, and the result is the same
-            self.memo.clear()
-            self.held = 0
-        memos = [self.memo.setdefault((rate, seed, v), {}) for v in range(variants)]
-        chosen = [xxhash.xxh64_intdigest(str(d), seed) % variants for d in documents]
-        cut = [_UNIT.findall(SPACE + t.replace(SPACE, _RAW).replace(" ", SPACE)) if t else [] for t in texts]
-        for v, memo in enumerate(memos):
-            wanted = sorted({u for units, c in zip(cut, chosen, strict=True) if c == v for u in set(units).difference(memo)})
-            if wanted:
-                keys = np.fromiter((unit_key(unit, v, seed) for unit in wanted), np.int64, len(wanted))
-                memo.update(zip(wanted, self.segment_many(wanted, keys, rate), strict=True))
-                self.held += len(wanted)
-        return [np.frombuffer(b"".join(map(memos[c].__getitem__, units)), "<i4") for units, c in zip(cut, chosen, strict=True)]
+        out = [ids[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
+        for r in np.nonzero(~plain)[0].tolist():  # characters that are no piece
+            spelt: list[int] = []
+            for ch, x in zip(units[r], lines[r].tolist(), strict=False):
+                if 0 <= x < len(self.pieces):
+                    spelt.append(x)
+                elif x != -1:
+                    spelt += [self.byte_id[b] for b in ch.replace(_RAW, SPACE).encode("utf-8", "replace")]
+            out[r] = np.array(spelt, "<i4").tobytes()
+        return out
 
-    def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0, variants: int = 2) -> list[int]:
-        return self.encode_many([text], [document], rate, seed, variants)[0].tolist()
+    def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, remember: int = 600_000) -> list[np.ndarray]:
+        """Ids of each text. Seed, document and place decide the skipped merges of each unit."""
+        if len(self.made) > remember:  # memory stays bounded, and the result is the same
+            self.forget()
+        cut = [_UNIT.findall(SPACE + t.replace(SPACE, _RAW).replace(" ", SPACE)) if t else [] for t in texts]
+        units = list(chain.from_iterable(cut))
+        wanted = [u for u in set(units).difference(self.root) if len(u) <= LONG]
+        self.root.update(zip(wanted, self.remember(wanted, [b""] * len(wanted)), strict=True))
+        node = np.fromiter(map(self.root.get, units, repeat(0)), np.int64, len(units))
+        keys = np.concatenate([unit_keys(d, seed, len(c)) for d, c in zip(documents, cut, strict=True)]) if cut else np.zeros(0, np.uint64)
+        at, nth = np.full(len(units), -1, np.int64), 0
+        still = np.nonzero(node)[0] if rate > 0 else np.zeros(0, np.int64)
+        while len(still):  # on to the node of the next skip, where there is one
+            at[still] += 1 + skip_gaps(keys[still], nth, rate)
+            nth += 1
+            still = still[at[still] < self.popped[node[still]]]
+            steps, back = np.unique(node[still] << 8 | at[still], return_inverse=True)
+            steps = steps.tolist()
+            new = [s for s in steps if s not in self.child]
+            skips = [self.skips[s >> 8] + bytes((s & 255,)) for s in new]
+            self.child.update(zip(new, self.remember([self.units[s >> 8] for s in new], skips), strict=True))
+            node[still] = np.fromiter(map(self.child.__getitem__, steps), np.int64, len(steps))[back]
+        parts = list(map(self.made.__getitem__, node.tolist()))
+        for i in np.nonzero(node == 0)[0].tolist():
+            skips = np.cumsum(1 + skip_gaps(keys[i], np.arange(3 * len(units[i])), rate)) - 1 if rate > 0 else np.zeros(0, np.int64)
+            parts[i] = np.array(self.segment(units[i], set(skips.tolist())), "<i4").tobytes()
+        ends = np.cumsum([len(c) for c in cut]).tolist()
+        return [np.frombuffer(b"".join(parts[end - len(c) : end]), "<i4") for c, end in zip(cut, ends, strict=True)]
+
+    def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0) -> list[int]:
+        return self.encode_many([text], [document], rate, seed)[0].tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text whose encoding, at any rate and seed, is ids."""
@@ -253,7 +297,7 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>; one row per row of docs. Null and empty texts have no ids. Other columns are ignored."""
     bound_batches(docs.sparkSession, "2m")
     fields = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -262,7 +306,7 @@ def encode_pieces(docs: DataFrame, path: str, rate: float = 0.1, seed: int = 0,
         model = piece_model(path)
         for batch in batches:
             texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]
-            ids = model.encode_many(texts, [d or 0 for d in batch.column(0).to_pylist()], rate, seed, variants)
+            ids = model.encode_many(texts, [d or 0 for d in batch.column(0).to_pylist()], rate, seed)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat).cast(fields.field("ids").type)], schema=fields)
