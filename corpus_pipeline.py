@@ -35,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go, from all of them; documents stay."""
-    return _with_text(apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1)), F.col("_kept_text"), docs.columns)
+    """Lines found in ten documents or more go, but for their first occurrence; documents stay."""
+    return _with_text(apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True)), F.col("_kept_text"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """corpus_pipeline.run() against a plain Python version of its stages."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -65,3 +66,17 @@ def test_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_one_of_many_copies_is_packed(spark, bpe, tmp_path):
+    """Twelve copies of a text, and of another in lines: one copy's text of each reaches the sequences."""
+    r = random.Random(8)
+    prose = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(90)) for _ in range(2)]
+    prose[1] = prose[1].replace(" ", "\n", 3)
+    rows = [(12 * k + i, t, "en", "s", len(t)) for k, t in enumerate(prose) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter()
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[p.doc_id] += p.length
+    for k, t in enumerate(prose):
+        assert got[12 * k] == len(bpe.encode(t, add_special_tokens=False).ids) + 1
