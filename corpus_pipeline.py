@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from trovelight.llm.common import materialize
 from trovelight.llm.line_dedup import apply_bitmaps, line_bitmaps
+from trovelight.llm.near_dedup import near_components
 from trovelight.llm.packing import pack_sequences
 from trovelight.llm.quality import kept_documents, plan_cascade
 from trovelight.llm.secrets import redact_secrets
-from trovelight.llm.simhash import simhash_components
 from trovelight.llm.tokens import token_pieces, vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, parameters as in op6, the one with the smallest doc_id stays."""
-    found = simhash_components(docs, distance=4, shingle=4, seed=42)
+    """Of documents linked by a similarity of 0.8 or more of their 5-word shingles, the one with the smallest doc_id stays."""
+    found = near_components(docs, shingle=5, tenths=8, seed=42)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from trovelight.llm.near_dedup import shingle_set
 from trovelight.llm.quality import RULES, TextFacts
 from trovelight.llm.secrets import RULES as SECRETS
 from trovelight.llm.secrets import Scanner
@@ -80,3 +81,27 @@ def test_one_of_many_copies_is_packed(spark, bpe, tmp_path):
         got[p.doc_id] += p.length
     for k, t in enumerate(prose):
         assert got[12 * k] == len(bpe.encode(t, add_special_tokens=False).ids) + 1
+
+
+def test_near_copies_of_five_words(spark):
+    """Links are those of exact 5-word similarity 0.8 or more, also where fingerprints of 64 bits are far apart."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = ["", None, " \n", "one two", "One  TWO"]
+    for _ in range(25):
+        base = [word() for _ in range(120)]
+        for changes in (0, 1, 2, 2, 3, 6):
+            w = list(base)
+            for k in r.sample(range(120), changes):
+                w[k] = word()
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [set(shingle_set((t or "").encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if z == y else z for z in root]
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
