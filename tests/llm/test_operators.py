@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from trovelight.llm.quality import RULES, TextFacts, apply_cascade, kept_documen
 from trovelight.llm.secrets import RULES as SECRET_RULES
 from trovelight.llm.secrets import Scanner, redact_secrets, secret_spans
 from trovelight.llm.simhash import segments, simhash, simhash_components
-from trovelight.llm.suffix import remove_repeats
+from trovelight.llm.suffix import multikey_quicksort, remove_repeats
 from trovelight.llm.tokens import LINES, attribute, section_spans, section_token_counts, token_pieces, vocabulary
 
 #: Names that the operators use for themselves.
@@ -280,26 +281,75 @@ def test_segments_cover():
             assert any(bin(bits >> shift & (1 << width) - 1).count("1") <= radius for shift, width, radius in parts)
 
 
-@pytest.mark.parametrize(("length", "options"), [(40, {}), (25, {"bucket_rows": 9, "crowd": 2, "heavy_grams": 3})])
-def test_remove_repeats(docs, rows, none, length, options):
-    data = [(i, (t or "").encode()[:4000]) for i, t in rows]
-    spark = docs.sparkSession
-    short = spark.createDataFrame([(i, d.decode("utf-8", "ignore")) for i, d in data], "doc_id long, text string")
-    data = [(i, d.decode("utf-8", "ignore").encode()) for i, d in data]
+def brute_repeats(data, length):
+    """(id, bytes, kept bytes, removed runs) of each (id, bytes)."""
     counts = Counter(d[k : k + length] for _, d in data for k in range(len(d) - length + 1))
-    want = []
+    out = []
     for i, d in data:
         gone = bytearray(len(d))
         for k in range(len(d) - length + 1):
             if counts[d[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
         runs = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
-        want.append((repr(i), len(d), bytes(x for x, g in zip(d, gone, strict=True) if not g), runs))
-    got = [(repr(r.doc_id), r.n_bytes, bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in remove_repeats(short, length=length, **options).collect()]
-    assert sorted(got) == sorted(want)
+        out.append((repr(i), len(d), bytes(x for x, g in zip(d, gone, strict=True) if not g), runs))
+    return sorted(out)
+
+
+def removed(df, **options):
+    return sorted((repr(r.doc_id), r.n_bytes, bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in remove_repeats(df, **options).collect())
+
+
+@pytest.mark.parametrize(("length", "options"), [(40, {}), (25, {"bucket_rows": 9, "heavy_grams": 3}), (400, {}), (400, {"bucket_rows": 5}), (7, {"bucket_rows": 20})])
+def test_remove_repeats(docs, rows, none, length, options):
+    data = [(i, (t or "").encode()[:4000].decode("utf-8", "ignore")) for i, t in rows]
+    short = docs.sparkSession.createDataFrame(data, "doc_id long, text string")
+    assert removed(short, length=length, **options) == brute_repeats([(i, t.encode()) for i, t in data], length)
     assert remove_repeats(none, length=length).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [4, 30, 8192])
+def test_repeats_across_boundaries(spark, bucket_rows):
+    """Passages with many contexts each, near copies, periodic and binary-like texts, over buckets small and large."""
+    r = random.Random(17)
+    passage = "".join(r.choice("abcdefg \0") for _ in range(130))
+    base = words(r, 200)
+    texts = []
+    for k in range(60):
+        a, b = sorted((r.randrange(131), r.randrange(131)))
+        texts.append("".join(r.choice("xyz\0") for _ in range(r.randrange(50))) + passage[a:b] + "".join(r.choice("xyz\0") for _ in range(r.randrange(50))))
+        texts.append("".join(r.choice("xy") for _ in range(r.randrange(30))) + passage)
+        texts.append(passage + "".join(r.choice("xy") for _ in range(r.randrange(30))))
+        near = list(base)
+        for _ in range(r.randrange(12)):
+            near[r.randrange(len(near))] = r.choice("abc")
+        texts.append("".join(near))
+    texts += ["ab" * 100, "ab" * 90 + "c", "\0" * 70, "\0" * 61 + "q"]
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert removed(df, length=60, bucket_rows=bucket_rows) == brute_repeats([(i, t.encode()) for i, t in data], 60)
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(3)
+    for n, high in ((0, 2), (1, 2), (500, 2), (3000, 3), (400, 1 << 62)):
+        x = r.integers(0, high, (n, 5)).astype(np.uint64)
+        order = multikey_quicksort(x)
+        assert sorted(order.tolist()) == list(range(n))
+        assert x[order].tolist() == sorted(x.tolist())
+
+
+def test_anchors_by_parts(spark, monkeypatch):
+    from trovelight.llm import suffix
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(1, 1, words(r, 400)), (2, 2, "ab" * 300), (3, 3, "short")], "doc_id long, key long, text string")
+    want = sorted(suffix.anchor_rows(df, 40, 20).collect())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "key": [1, 2, 3], "text": [x.text for x in df.orderBy("doc_id").collect()]})
+    monkeypatch.setattr(suffix, "PART", 64)
+    got = [tuple(x.values()) for out in suffix.anchor_finder(40, 20)(iter([batch])) for x in out.to_pylist()]
+    assert sorted(got) == [tuple(x) for x in want]
+
+
 def test_pieces(docs, rows, none):
     import sentencepiece
 

@@ -3,36 +3,46 @@
 A byte goes if a string of `length` bytes that covers it starts somewhere else too. A suffix for every
 byte would take many times the corpus in shuffled rows, so suffixes start at anchors chosen by content:
 in each window of `length` bytes the gram with the least hash. Equal windows have equal anchors at equal
-places, so two windows can only be equal if their anchors' grams are.
+places, so two windows can only be equal if their anchors' grams are. The window that begins o bytes ahead
+of an anchor is told by the o bytes ahead of it, its gram, and the length - gram - o bytes behind the gram.
 
 1. Anchors with their gram's hash and the hash of the context that all windows of the anchor span are
    brought together by gram. A context found twice settles all its windows. A gram in one context only
    settles them the other way.
-2. What is left, one row per distinct context of a gram found in several, takes its context's bytes along.
-   Sampled splitters range-partition these suffixes by leading bytes; each bucket sorts them locally and
-   compares the windows of equal grams.
-3. A gram with very many contexts fills several buckets. Its windows are compared across boundaries: cells
-   of neighbouring windows by the bytes they share, then, where these occur twice, single windows, by
-   counts that are combined map-side.
-
-Strings are compared by 64-bit hashes of their bytes inside the same gram, cell or context.
+2. What is left, one suffix per distinct context, is range-partitioned by sampled splitters: by leading
+   bytes, then the gram, then the bytes behind it; equal suffixes may fall to either side. A bucket sorts
+   its suffixes by multikey quicksort. Common prefixes of neighbours give the classes of each depth;
+   the bytes ahead of the anchors are sorted and compared in the same way. A window whose two classes
+   lie inside the bucket is settled.
+3. Rows of the grams at a bucket's edges are compared across boundaries: a window whose class behind the
+   gram reaches the edge is looked up in a second partitioning, by the bytes ahead. What reaches an edge
+   there too is shared with both edges, so it falls into few classes; one of each class and bucket is
+   counted, by the digest of its bytes.
+
+Grams and contexts are told by 64-bit hashes of their bytes, all else by the bytes or 128-bit digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bound_batches, materialize
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
+#: Bytes of a text that are hashed at a time, which bounds a worker's arrays.
+PART = 1 << 20
+#: Bytes that tell the order of two suffixes of a gram between buckets; equal ones are dealt by hash.
+ORDERED = 64
+#: Segments of at most so many rows are sorted by comparison, as multikey quicksort does with its small ones.
+SMALL = 24
 
 
 class Powers:
@@ -108,27 +118,35 @@ def context_hashes(sums: np.ndarray, at: np.ndarray, gram: int, length: int) ->
     return hashes(sums, low, high) ^ shape, low, high
 
 
-def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """docs has doc_id, key (of the row) and text: one row (h, ctx, doc_id, key, pos, low, high) per anchor."""
+def anchor_finder(length: int, gram: int):  # noqa: ANN201
+    """A mapInArrow function from (doc_id, key, text) to anchor_rows()."""
     fields = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
+    reach = length - gram
+
+    def of_text(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        """(h, ctx, pos, low, high) of a text's anchors, a part of it at a time; parts overlap by what their contexts span."""
+        for first in range(0, len(data) - gram + 1 if len(data) >= length else 0, PART):
+            begin = max(0, first - reach)
+            sums = prefix_sums(data[begin : first + PART + length])
+            at = anchors(sums, gram, length)
+            at = at[(at >= first - begin) & (at < first - begin + PART)]
+            ctx, low, high = context_hashes(sums, at, gram, length)
+            yield hashes(sums, at, at + gram).view(np.int64), ctx.view(np.int64), at + begin, low + begin, high + begin
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list] = [[] for _ in range(6)]
-            counts = []
-            for data in as_bytes(batch.column(2)):
-                sums = prefix_sums(data) if len(data) >= length else np.zeros(1, np.uint64)
-                at = anchors(sums, gram, length)
-                counts.append(len(at))
-                if len(at):
-                    ctx, low, high = context_hashes(sums, at, gram, length)
-                    for column, x in zip(found, (hashes(sums, at, at + gram).view(np.int64), ctx.view(np.int64), at, low, high), strict=False):
-                        column.append(x)
-            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-            h, ctx, at, low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found[:5])
+            parts = [(i, part) for i, data in enumerate(as_bytes(batch.column(2))) for part in of_text(data)]
+            owner = pa.array(np.repeat([i for i, _ in parts], [len(part[0]) for _, part in parts]).astype(np.int64))
+            h, ctx, at, low, high = (np.concatenate([part[k] for _, part in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], schema=fields)
 
-    return docs.select("doc_id", "key", "text").mapInArrow(find, "h bigint, ctx bigint, doc_id bigint, key bigint, pos int, low int, high int")
+    return find
+
+
+def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """docs has doc_id, key (of the row) and text: one row (h, ctx, doc_id, key, pos, low, high) per anchor."""
+    return docs.select("doc_id", "key", "text").mapInArrow(anchor_finder(length, gram), "h bigint, ctx bigint, doc_id bigint, key bigint, pos int, low int, high int")
 
 
 def _marks(rows: DataFrame, heavy_grams: int) -> DataFrame:
@@ -177,147 +195,207 @@ def _unpack(column: pa.Array) -> Iterator[bytes]:
         yield reader.decompress(x)
 
 
-def _contexts(docs: DataFrame, asks: DataFrame, length: int, gram: int) -> DataFrame:
-    """Each asking anchor with its leading bytes and its context's bytes."""
-    fields = pa.schema([("lead", pa.binary()), ("h", pa.int64()), ("part", pa.int64()), ("crowded", pa.bool_()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int32()), ("bytes", pa.binary())])
+def _contexts(docs: DataFrame, asks: DataFrame, gram: int) -> DataFrame:
+    """Each asking anchor with its leading bytes, the bytes ahead of it (backwards) and those behind its gram."""
+    fields = pa.schema([("lead", pa.binary()), ("h", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
+    lead = min(8, gram)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, key, data, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpack(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                rows += [(data[x["pos"] : x["pos"] + 8], x["h"], x["part"], x["crowded"], doc_id, key, x["pos"], x["low"], data[x["low"] : x["high"]]) for x in items]
+                for x in items:
+                    at = x["pos"]
+                    rows.append((data[at : at + lead], x["h"], data[x["low"] : at][::-1], data[at + gram : x["high"]], doc_id, key, at))
             for at in range(0, len(rows), 10000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[at : at + 10000], strict=True), fields, strict=True)], schema=fields)
 
-    lists = asks.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "low", "high", "h", "part", "crowded")).alias("items"))
-    return _with_texts(docs, lists, "inner").mapInArrow(take, "lead binary, h bigint, part bigint, crowded boolean, doc_id bigint, key bigint, pos int, low int, bytes binary")
-
-
-def _compare(length: int, gram: int, cell: int):  # noqa: ANN202
-    """A bucket's suffixes to settled runs of windows (core null) and, for crowded grams, to cells."""
-    reach = length - gram
-    wide = reach + length
-    fields = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("core", pa.int64()), ("windows", pa.list_(pa.int64()))])
-
-    def measured(table: pa.Table, crowded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(pos, valid, hash) of the window that begins o bytes ahead of the anchor, for o = 0 .. reach; the cells' cores if crowded."""
-        pos = table["pos"].to_numpy().astype(np.int64)
-        left = pos - table["low"].to_numpy()
-        texts = table["bytes"].to_pylist()
+    lists = asks.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "low", "high", "h")).alias("items"))
+    return _with_texts(docs, lists, "inner").mapInArrow(take, "lead binary, h bigint, ahead binary, behind binary, doc_id bigint, key bigint, pos int")
+
+
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of words (unsigned, the most telling first): three-way partitions by one word after the other."""
+    order = np.arange(len(words))
+    width = words.shape[1]
+    open_ = [(0, len(words), 0)]
+    while open_:
+        first, end, depth = open_.pop()
+        rows = order[first:end]
+        if end - first < 2 or depth == width:
+            continue
+        if end - first <= SMALL:
+            tails = words[rows, depth:].astype(">u8")  # bytes in the order of the numbers
+            order[first:end] = rows[sorted(range(end - first), key=[x.tobytes() for x in tails].__getitem__)]
+            continue
+        word = words[rows, depth]
+        pivot = np.sort(word[[0, (end - first) // 2, -1]])[1]
+        less, more = word < pivot, word > pivot
+        parts = rows[less], rows[~(less | more)], rows[more]
+        order[first:end] = np.concatenate(parts)
+        at = first
+        for part, deeper in zip(parts, (0, 1, 0), strict=True):
+            open_.append((at, at + len(part), depth + deeper))
+            at += len(part)
+    return order
+
+
+class Side:
+    """Strings on one side of the anchors, in the order of their grams, with the common prefixes of neighbours."""
+
+    def __init__(self, gram: np.ndarray, texts: list[bytes], reach: int):
+        """gram holds words that tell the grams; strings of different grams share nothing (-1)."""
         n = len(texts)
-        right = np.fromiter(map(len, texts), np.int64, n) - left
-        valid = (left[:, None] >= np.arange(reach + 1)) & (right[:, None] >= length - np.arange(reach + 1))
-        values = np.empty((n, reach + 1), np.uint64)
-        cores = [np.empty(n, np.uint64) for _ in range(0, reach + 1, cell)] if crowded else []
-        POWERS.grow(wide + 1)
-        begin = reach - np.arange(reach + 1)
-        for at in range(0, n, 512):
-            some = slice(at, min(at + 512, n))
-            block = np.zeros((some.stop - at, wide), np.uint8)
-            for i in range(at, some.stop):  # the anchor stands in column reach
-                block[i - at, reach - left[i] : reach + right[i]] = np.frombuffer(texts[i], np.uint8)
-            sums = np.zeros((some.stop - at, wide + 1), np.uint64)
-            np.cumsum(BYTE_CODES[block] * POWERS.up[:wide], axis=1, out=sums[:, 1:])
-            values[some] = mix((sums[:, begin + length] - sums[:, begin]) * POWERS.down[begin])
-            for core, first in zip(cores, range(0, reach + 1, cell), strict=False):
-                last = min(first + cell - 1, reach)
-                core[some] = mix((sums[:, reach - last + length] - sums[:, reach - first]) * POWERS.down[reach - first])
-        return pos, valid, values, cores
-
-    def settled(table: pa.Table) -> Iterator[tuple]:
-        """Runs of repeated windows in whole groups of equal grams."""
-        pos, valid, values, _ = measured(table, False)
-        salt = mix(table["h"].to_numpy().view(np.uint64))
-        padded = np.zeros((len(pos), reach + 3), np.int8)
-        for o in range(reach + 1):
-            some = np.nonzero(valid[:, o])[0]
-            value = values[some, o] ^ salt[some]
-            order = np.argsort(value, kind="stable")
-            same = value[order][1:] == value[order][:-1]
-            twin = np.zeros(len(some), bool)
-            twin[1:] = same
-            twin[:-1] |= same
-            padded[some[order], o + 1] = twin
-        change = np.diff(padded, axis=1)
-        opens, closes = np.nonzero(change == 1), np.nonzero(change == -1)
-        for i, first, last in zip(opens[0], opens[1], closes[1] - 1, strict=True):  # windows o = first .. last
-            yield i, pos[i] - last, pos[i] - first + length, None, None
-
-    def cells(table: pa.Table) -> Iterator[tuple]:
-        """Windows of crowded grams, told by gram, place and bytes, in cells with a hash of the bytes that a cell's windows share."""
-        pos, valid, values, cores = measured(table, True)
-        name = mix(table["h"].to_numpy().view(np.uint64))
-        told = (values ^ mix(name[:, None] + np.arange(reach + 1, dtype=np.uint64))).view(np.int64)
-        for core, first in zip(cores, range(0, reach + 1, cell), strict=True):
-            last = min(first + cell - 1, reach)
-            own = (core ^ mix(name + np.uint64(first))).view(np.int64)
-            for i in np.nonzero(valid[:, first : last + 1].any(axis=1))[0]:
-                seen = [v if ok else None for v, ok in zip(told[i, first : last + 1].tolist(), valid[i, first : last + 1].tolist(), strict=True)]
-                yield i, pos[i] - first, 0, int(own[i]), seen
-
-    def out(table: pa.Table, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        found = list(rows)
-        for at in range(0, len(found), 20000):
-            index, start, end, core, seen = zip(*found[at : at + 20000], strict=True)
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([table["doc_id"].take(take).combine_chunks(), table["key"].take(take).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(core, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], schema=fields)
+        self.sizes = np.fromiter(map(len, texts), np.int64, n)
+        self.bytes = np.frombuffer(b"".join(x.ljust(reach, b"\0") for x in texts), np.uint8).reshape(n, reach)
+        room = -(-reach // 8) * 8
+        padded = np.zeros((n, room), np.uint8)
+        padded[:, :reach] = self.bytes
+        words = np.concatenate([gram, padded.view(">u8").astype(np.uint64), self.sizes[:, None].astype(np.uint64)], axis=1)
+        self.order = multikey_quicksort(words)
+        self.gram = gram
+        self.lcp = np.full(n, -1, np.int64)  # of each place in the order with the one before it
+        if n > 1:
+            self.lcp[1:] = self.shared(self.order[1:], self.order[:-1])
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that strings a and b begin with in common, -1 if their grams differ."""
+        differ = self.bytes[a] != self.bytes[b]
+        found = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
+        found = np.minimum(found, np.minimum(self.sizes[a], self.sizes[b]))
+        return np.where((self.gram[a] == self.gram[b]).all(axis=1), found, -1)
+
+    def most(self) -> np.ndarray:
+        """The longest prefix that each string has in common with another one."""
+        found = np.empty(len(self.order), np.int64)
+        found[self.order] = np.maximum(self.lcp, np.append(self.lcp[1:], -1))
+        return found
+
+    def classes(self, depth: int) -> np.ndarray:
+        """A number for each string, equal for strings that share depth bytes."""
+        found = np.empty(len(self.order), np.int64)
+        found[self.order] = np.cumsum(self.lcp < depth)
+        return found
+
+    def to_edge(self, reach: int) -> np.ndarray:
+        """Bytes that each string shares with the first or last one, and so at most with what other buckets hold; reach if their order isn't told further."""
+        every = np.arange(len(self.order))
+        found = np.maximum(self.shared(every, np.full(len(every), self.order[0])), self.shared(every, np.full(len(every), self.order[-1])))
+        return np.where(found >= ORDERED, reach, found)
+
+
+def _numbers(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Words that tell a row's gram, in the order of Spark's columns: lead as its bytes, h as a signed number."""
+    found = []
+    for name in names:
+        if name == "lead":
+            found.append(np.frombuffer(b"".join(x.ljust(8, b"\0") for x in table[name].to_pylist()), ">u8").astype(np.uint64))
+        else:
+            found.append(table[name].to_numpy().view(np.uint64) ^ np.uint64(1 << 63))
+    return np.stack(found, axis=1)
+
+
+RUN_TYPE = "doc_id bigint, key bigint, start int, end int, lead binary, h bigint, ahead binary, behind binary, pos int, since int, told binary"
+_RUN = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("lead", pa.binary()), ("h", pa.int64()), ("ahead", pa.binary()), ("behind", pa.binary()), ("pos", pa.int32()), ("since", pa.int32()), ("told", pa.binary())])
+
+
+def _emit(table: pa.Table, rows: np.ndarray, **columns: pa.Array | np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of table by number with the given columns of _RUN; the others are null, but for those of table named in `also`."""
+    also = columns.pop("also", ())
+    for at in range(0, len(rows), 20000):
+        some = pa.array(rows[at : at + 20000], pa.int64())
+        out = []
+        for f in _RUN:
+            if f.name in columns:
+                out.append(pa.array(columns[f.name][at : at + 20000], f.type))
+            elif f.name in ("doc_id", "key", *also):
+                out.append(table[f.name].take(some).combine_chunks().cast(f.type))
+            else:
+                out.append(pa.nulls(len(some), f.type))
+        yield pa.RecordBatch.from_arrays(out, schema=_RUN)
+
+
+def _compare(length: int, gram: int, across: bool):  # noqa: ANN202
+    """A bucket's suffixes to settled runs (start, end) and to what reaches its edges.
+
+    The first time these are rows for the second partitioning, with the first window that is open (since).
+    Across boundaries (the second time) they are one window (start, told) of each class.
+    """
+    reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # whole groups, and the one that is still open at the end
-        for batch in batches:
-            crowded = batch.column("crowded")
-            if crowded.true_count:
-                some = pa.Table.from_batches([batch.filter(crowded)])
-                yield from out(some, cells(some))
-                batch = batch.filter(pc.invert(crowded))
-            if not batch.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        n = table.num_rows
+        ahead_texts, behind_texts = table["ahead"].to_pylist(), table["behind"].to_pylist()
+        names = _numbers(table, ("h",) if across else ("lead", "h"))
+        ahead, behind = Side(names, ahead_texts, reach), Side(names, behind_texts, reach)
+        h, pos = table["h"].to_numpy(), table["pos"].to_numpy().astype(np.int64)
+        since = table["since"].to_numpy().astype(np.int64) if across else np.zeros(n, np.int64)
+        edge = (ahead if across else behind).to_edge(reach)
+        most_ahead, most_behind = ahead.most(), behind.most()
+        twins = np.zeros((n, reach + 3), np.int8)  # column o + 1: the window that begins o bytes ahead
+        for o in range(reach + 1):
+            mine = since <= o
+            some = np.nonzero(mine & (most_ahead >= o) & (most_behind >= reach - o))[0]
+            if not across and len(some) < 2:
                 continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 1024:
-                table = pa.Table.from_batches(held)
-                h = table["h"].to_numpy()
-                other = np.nonzero(h != h[-1])[0]
-                if len(other):
-                    open_at = int(other[-1]) + 1
-                    yield from out(table[:open_at], settled(table[:open_at]))
-                    held = table[open_at:].to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from out(table, settled(table))
+            left, right = ahead.classes(o), behind.classes(reach - o)
+            name = right * (n + 1) + left
+            value = np.sort(name[some])
+            twice = value[1:][value[1:] == value[:-1]]
+            if len(twice):
+                at = np.minimum(np.searchsorted(twice, name[some]), len(twice) - 1)
+                twins[some, o + 1] = twice[at] == name[some]
+            if across:
+                open_ = np.nonzero(mine & (ahead.sizes >= o) & (behind.sizes >= reach - o) & (edge >= o))[0]
+                one = open_[np.unique(name[open_], return_index=True)[1]]
+                told = [blake2b(b"%d %d " % (o, h[i]) + ahead_texts[i][:o][::-1] + behind_texts[i][: reach - o], digest_size=16).digest() for i in one]
+                yield from _emit(table, one, start=pos[one] - o, told=told)
+        change = np.diff(twins, axis=1)
+        opens, closes = np.nonzero(change == 1), np.nonzero(change == -1)
+        yield from _emit(table, opens[0], start=pos[opens[0]] - (closes[1] - 1), end=pos[opens[0]] - opens[1] + length)
+        if not across:
+            since = np.maximum(reach - edge, reach - behind.sizes)
+            open_ = np.nonzero((edge >= 0) & (since <= ahead.sizes))[0]
+            yield from _emit(table, open_, since=since[open_], also=("lead", "h", "ahead", "behind", "pos"))
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, cell: int = 20, bucket_rows: int = 4096, crowd: int = 32768, heavy_grams: int = 1000) -> DataFrame:
-    """docs (doc_id, key, text) to runs (doc_id, key, start, end) of bytes that a repeated string covers; runs may overlap.
-
-    A gram with more than crowd different contexts is dealt out over several buckets.
-    """
-    gram = gram or max(1, length // 2)
+def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, bucket_rows: int = 8192, heavy_grams: int = 1000) -> DataFrame:
+    """docs (doc_id, key, text) to runs (doc_id, key, start, end) of bytes that a repeated string covers; runs may overlap."""
+    gram = gram or length // 2
+    if not 0 < gram < length:
+        raise ValueError("grams are shorter than the strings, and not empty")
     marks = materialize(_marks(anchor_rows(docs, length, gram), heavy_grams), "marks")
     settled = marks.where(F.col("twice") & (F.col("high") - F.col("low") >= length)).select("doc_id", "key", F.col("low").alias("start"), F.col("high").alias("end"))
     asks = marks.where("asks")
-    buckets = max(1, -(-asks.count() // bucket_rows))
-    crowds = asks.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(F.col("h").alias("crowd_h"), F.ceil(F.col("n") / crowd).alias("parts"))
-    if crowds.limit(100_001).count() <= 100_000:  # else the planner joins them as it can
-        crowds = F.broadcast(crowds)
-    dealt = asks.join(crowds, F.col("h") == F.col("crowd_h"), "left").withColumns({"crowded": F.col("parts").isNotNull(), "part": F.coalesce(F.pmod(F.xxhash64("doc_id", "key", "pos"), F.col("parts")), F.lit(0).cast("long"))})
-    suffixes = _contexts(docs, dealt, length, gram).repartitionByRange(buckets, "lead", "h", "part").sortWithinPartitions("lead", "h", "part", "doc_id", "key", "pos")
-    compared = materialize(suffixes.mapInArrow(_compare(length, gram, cell), "doc_id bigint, key bigint, start int, end int, core bigint, windows array<bigint>"), "compared")
-    local = compared.where("core is null").select("doc_id", "key", "start", "end")
-    cells = compared.where("core is not null")
-    shared = cells.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("shared"))
-    windows = materialize(cells.join(shared, F.col("core") == F.col("shared")).select("doc_id", "key", "start", F.posexplode("windows").alias("o", "window")).where("window is not null").select("doc_id", "key", (F.col("start") - F.col("o")).alias("start"), "window"), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("again"))
-    across = windows.join(again, F.col("window") == F.col("again")).select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
-    return settled.unionByName(local).unionByName(across)
+    tie = F.xxhash64("doc_id", "key", "pos")
+
+    def dealt(rows: DataFrame, n: int, *by: Column) -> DataFrame:
+        return rows.repartitionByRange(max(1, -(-n // bucket_rows)), *by, tie)
+
+    suffixes = dealt(_contexts(docs, asks, gram), asks.count(), F.col("lead"), F.col("h"), F.substring("behind", 1, ORDERED))
+    compared = materialize(suffixes.mapInArrow(_compare(length, gram, False), RUN_TYPE), "compared")
+    edges = compared.where("since is not null")
+    turned = dealt(edges, edges.count(), F.col("h"), F.substring("ahead", 1, ORDERED))
+    across = materialize(turned.mapInArrow(_compare(length, gram, True), RUN_TYPE), "across")
+    windows = across.where("told is not null").select("doc_id", "key", "start", "told")
+    again = windows.groupBy("told").agg(F.count("*").alias("n")).where("n > 1").select(F.col("told").alias("again"))
+    shared = windows.join(again, F.col("told") == F.col("again")).select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
+    runs = [x.where("end is not null").select("doc_id", "key", "start", "end") for x in (compared, across)]
+    return settled.unionByName(runs[0]).unionByName(runs[1]).unionByName(shared)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, **options: int) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, kept binary, spans array<struct<start, end>> (maximal removed runs of bytes).
 
     Matches stay inside a document; one document may repeat itself, and copies of a row repeat each other.
-    Rows that share id and text are told apart only in that each counts as a place. Null text is empty.
+    Rows that share id and text are told apart only in that each counts as a place. Null text is empty; a null id
+    stays null. An empty table gives no rows. Long texts are hashed a part at a time. Other columns are not looked at.
     """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
