@@ -54,7 +54,7 @@ def test_no_pages(pages):
 def test_files_are_archives(spark, pages, tmp_path):
     write_archives(pages, f"file://{tmp_path}/w")
     n = 0
-    for f in (tmp_path / "w").glob("part-*"):
+    for f in (tmp_path / "w").rglob("part-*"):
         content = f.read_bytes()
         plain = gzip.decompress(content)
         assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n")
@@ -64,6 +64,34 @@ def test_files_are_archives(spark, pages, tmp_path):
     assert n == pages.count()
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    """Pages of several MB, small ones and one hot payload: no archive holds more payload than asked, or it holds one record."""
+    r = random.Random(6)
+    big = ["".join(r.choice("abc<>") for _ in range(1000)) * n for n in (3000, 3100, 700, 600, 650)]
+    rows = [(k, f"http://x.org/{k}", t) for k, t in enumerate([*big, *(["hot"] * 300), *(f"page {k}" * 50 for k in range(300))])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    write_archives(df, f"file://{tmp_path}/w", archive_bytes=1_500_000)
+    sizes = []
+    for f in (tmp_path / "w").rglob("part-*"):
+        blocks = [len(block) for _, _, block in parse_records(f.read_bytes())]
+        sizes += blocks
+        assert len(blocks) == 1 or sum(blocks) < 1_700_000
+    assert len(sizes) == len(rows)
+    found = capture_histories(df, archive_bytes=1_500_000).collect()
+    assert sorted((x.page_id, x.payload_bytes) for x in found) == [(i, len(t)) for i, _, t in rows]
+    assert sum(x.record_type == "revisit" for x in found) == 299
+
+
+def test_merge_keeps_runs_apart(spark):
+    from trovelight.llm.warc import INDEX_TYPE, merge_runs
+
+    r = random.Random(2)
+    rows = [(f"run{r.randrange(9)}", f"k{r.randrange(5)}", f"t{r.randrange(4)}", r.choice([None, r.randrange(50)]), k, 1, "response", 1, "d", None) for k in range(3000)]
+    df = spark.createDataFrame(rows, INDEX_TYPE).repartition(7)
+    found = [(x.url_key, x.time, x.page_id is None, x.page_id or 0, x.run, x.offset) for x in merge_runs(df, 500).collect()]
+    assert len(found) == 3000 and found == sorted(found)
+
+
 def test_broken_archive():
     with pytest.raises(ValueError, match="inside"):
         list(parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,12 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize
 
 _RECORD = "urn:trovelight:page:"
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # of Spark's conv
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Archives hold about so many payload bytes at most (one record may be larger).
+ARCHIVE_BYTES = 64 << 20
+#: Payload sizes that are written together, so that a count of records bounds an archive's bytes.
+SIZE_CLASSES = (0, 32 << 10, 512 << 10, 8 << 20, 64 << 20)
 
 
 def url_key(url: str) -> str:
@@ -37,30 +43,41 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
-def base32_sha1(payload) -> F.Column:  # noqa: ANN001
-    """SHA-1 of payload in upper-case base32, as WARC headers have it."""
-    digest = F.sha1(payload)
-    parts = []
-    for k in range(0, 40, 10):
-        bits = F.conv(F.substring(digest, k + 1, 10), 16, 10).cast("long")
-        parts += [F.substring(F.lit(_ALPHABET), F.shiftright(bits, shift).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for shift in range(35, -1, -5)]
-    return F.concat(*parts)
+def base32(digest) -> F.Column:  # noqa: ANN001
+    """Upper-case base32, as WARC headers have it, of a SHA-1 digest (20 bytes)."""
+    told = F.hex(digest)
+    parts = [F.lpad(F.conv(F.substring(told, k + 1, 10), 16, 32), 8, "0") for k in range(0, 40, 10)]
+    return F.translate(F.concat(*parts), _DIGITS, _ALPHABET)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_revisit_bytes: int = 0, max_records: int = 20000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, max_records: int = 20000) -> None:
     """Write one WARC record per row of pages, in archives of at most max_records.
 
     Of records with equal payloads of at least min_revisit_bytes bytes the one with the largest id is a
     response and the others, rows without an id among them, are revisits of it; if none has an id, all
-    are responses. Null payloads are empty, null URLs too. Without time_col, capture times are id seconds
-    after 1970. White space and control characters in a URL come percent-encoded.
+    are responses. Repeated rows are records each. Null payloads are empty, null URLs too. Without time_col,
+    capture times are id seconds after 1970. White space and control characters in a URL come
+    percent-encoded. Large payloads are written apart, fewer to an archive, so an archive holds
+    archive_bytes of payload at most, or one record. No pages give an empty folder of archives.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    size = F.octet_length(payload)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), size.alias("size"), (F.col(time_col) if time_col else F.timestamp_seconds(F.coalesce(F.col(id_col), F.lit(0)))).alias("at"))
-    slim = rows.where(F.col("size") >= min_revisit_bytes).select("id", "digest")
-    latest = slim.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "refers_to")
-    revisits = slim.join(latest, F.col("digest") == F.col("d")).where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("rid"), "d", "refers_to").distinct()
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"), (F.col(time_col) if time_col else F.timestamp_seconds(F.coalesce(F.col(id_col), F.lit(0)))).alias("at"))
+    slim = materialize(rows.select("id", "digest", "size"), "digests")
+    same = slim.where(F.col("size") >= min_revisit_bytes)
+    latest = same.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "refers_to")
+    revisits = same.join(latest, F.col("digest") == F.col("d")).where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("rid"), "d", "refers_to").distinct()
+    largest = slim.agg(*[F.max(F.when(F.col("size").between(low, high - 1), F.col("size"))).alias(str(low)) for low, high in _classes()]).first()
+    for low, high in _classes():
+        if largest[str(low)] is not None or low == 0:
+            most = max(1, min(max_records, archive_bytes // max(largest[str(low)] or 1, 1)))
+            _write_class(rows.where(F.col("size").between(low, high - 1)), revisits, f"{path}/size-from={low}", most)
+
+
+def _classes() -> list[tuple[int, int]]:
+    return list(zip(SIZE_CLASSES, [*SIZE_CLASSES[1:], 1 << 62], strict=True))
+
+
+def _write_class(rows: DataFrame, revisits: DataFrame, path: str, max_records: int) -> None:
     marked = rows.join(revisits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("d")), "left")
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
@@ -74,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("WARC-Record-ID", F.concat(F.lit(f"<{_RECORD}"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
         line("WARC-Date", stamp),
         line("WARC-Target-URI", target),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit(f"<{_RECORD}"), F.col("refers_to"), F.lit(">"))))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response"),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -149,7 +166,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=_order)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(INDEX_FIELDS), INDEX_FIELDS, strict=True)], schema=INDEX_FIELDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("run"), "content").mapInArrow(index, INDEX_TYPE)
 
 
@@ -192,17 +209,21 @@ class LoserTree:
 
 
 def merge_runs(index: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
-    """index in global order: partitions in order, and rows in each, by URL key, time, id, run and offset."""
+    """index in global order: partitions in order, and rows in each, by URL key, time, id, run and offset.
+
+    Each partition gets its share of the runs one after the other, every one in order (Spark's sorter, which
+    spills, puts the blocks of a shuffle in turn), and holds them as Arrow columns; the loser tree reads them
+    a slice at a time. Rows without an id come last of their time. No rows give none.
+    """
     n = index.count()
     names = INDEX_FIELDS.names
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in names), strict=True):
-                runs.setdefault(row[0], []).append(row)
-        for rows in runs.values():
-            rows.sort(key=_order)  # sorted already unless a shuffle block came out of turn
+        table = pa.Table.from_batches(list(batches), INDEX_FIELDS)
+        if not table.num_rows:
+            return
+        code = table["run"].combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(np.nonzero(np.diff(code))[0] + 1).tolist(), len(code)]
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -210,7 +231,7 @@ def merge_runs(index: DataFrame, rows_per_partition: int = 250_000) -> DataFrame
             out.clear()
             return made
 
-        for row in LoserTree([iter(x) for x in runs.values()], _order) if runs else ():
+        for row in LoserTree([_slices(table, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)], _order):
             out.append(row)
             if len(out) == 8192:
                 yield flush()
@@ -218,10 +239,17 @@ def merge_runs(index: DataFrame, rows_per_partition: int = 250_000) -> DataFrame
             yield flush()
 
     parts = max(1, -(-n // rows_per_partition), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = index.select(*names).repartitionByRange(parts, "url_key", "time", F.col("page_id").asc_nulls_last(), "run", "offset")
+    by = ["url_key", "time", F.col("page_id").asc_nulls_last()]
+    dealt = index.select(*names).repartitionByRange(parts, *by, "run", "offset").sortWithinPartitions("run", *by, "offset")
     return dealt.mapInArrow(merge, INDEX_TYPE)
 
 
+def _slices(table: pa.Table, first: int, end: int, step: int = 1024) -> Iterator[tuple]:
+    for at in range(first, end, step):
+        part = table.slice(at, min(step, end - at))
+        yield from zip(*(part[name].to_pylist() for name in INDEX_FIELDS.names), strict=True)
+
+
 def capture_histories(pages: DataFrame, path: str | None = None, **options: object) -> DataFrame:
     """Write pages as archives, read them back, and give their capture index in global order (see merge_runs)."""
     spark = pages.sparkSession
