@@ -69,6 +69,14 @@ def arrow_map(work: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Call
     return run
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name with as many underscores ahead of it as df's columns need, so that it is none of theirs."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lower_ascii(column) -> F.Column:  # noqa: ANN001
     """A-Z to a-z and nothing else; F.lower would change other letters too."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -70,11 +70,11 @@ def _runs(at) -> F.Column:  # noqa: ANN001
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with three more columns: _n_lines, _n_dropped, _kept_text (lines kept, joined by LF).
+    """docs with three more columns: _n_lines, _n_dropped, _kept_text (lines kept, joined by LF), in place of any of these names.
 
     Every row of docs comes back once. The bitmaps are the hashed side of the join, so texts are moved but not sorted.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped", "_kept_text") or c == text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
     right = bitmaps.select(F.col("doc_id").alias("_rid"), F.col("row_hash").alias("_rhash"), "runs").hint("shuffle_hash")

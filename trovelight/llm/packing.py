@@ -19,6 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
+
+#: Weights of op3 and the pipeline. Limits on documents and attention cost can't bind within a sequence's
+#: tokens there, so these two only choose among sequences that a piece would fill alike.
+PACKING_WEIGHTS = (1.0, 1e-9, 1e-9)
+
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: float, score: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item. Every item must fit an empty sequence. Ties go to the earliest bin.
@@ -64,18 +71,21 @@ def pack_sequences(pieces: DataFrame, n_items: int, tokens: int = 2048, document
 
     pieces has doc_id, piece, length and any payload, which travels along. n_items is the number of its
     rows; it sets the number of shards. Without a limit for documents or attention that dimension never
-    binds before tokens do. Equal rows are packed as separate items. Sequences of different shards differ
-    in id. Items as long as a sequence need no search and no shuffle.
+    binds before tokens do. Equal rows are packed as separate items, and so are rows without an id; no
+    items give no sequences. Sequences of different shards differ in id. Items as long as a sequence need
+    no search and no shuffle. Payload columns called sequence_id or offset are replaced.
     """
+    mark = unused(pieces, "shard")
+    pieces = pieces.drop("sequence_id", "offset")
     documents = documents or tokens
     attention = attention or float(tokens) ** 2
     shards = max(1, math.ceil(n_items / shard_items))
-    ids = F.struct(F.coalesce("doc_id", F.lit(-1)), "piece")
     alone = (F.col("length") >= tokens) & F.lit(documents >= 1 and attention >= tokens**2)
     # A whole sequence takes an id of its own: odd numbers, while shards use even ones.
     whole = pieces.where(alone).select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    rest = pieces.where(~alone).withColumn("shard", F.pmod(F.xxhash64(ids), F.lit(shards)).cast("int"))
+    schema = T.StructType([*pieces.schema.fields, T.StructField(mark, T.IntegerType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # The row's number spreads what has one id or none; the rows are a table's, so it is the same in a rerun of a task.
+    rest = pieces.where(~alone).withColumn(mark, F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -85,15 +95,15 @@ def pack_sequences(pieces: DataFrame, n_items: int, tokens: int = 2048, document
             order = np.lexsort([table["length"].to_numpy(), table["piece"].to_numpy(), pc.fill_null(table["doc_id"], -1).to_numpy()])
             table = table.take(pa.array(order))
             where, offset = best_fit(table["length"].to_numpy(), tokens, documents, attention, score, weights)
-            shard = table["shard"][0].as_py()
+            shard = table[mark][0].as_py()
             table = table.append_column("sequence_id", pa.array(((shard << 32) + where) * 2, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
             yield from table.to_batches(max_chunksize=8192)
 
         for batch in batches:  # sorted by shard, so each shard is one run
-            shard = batch.column("shard").to_numpy()
+            shard = batch.column(mark).to_numpy()
             cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and b > a and held[-1].column("shard")[0].as_py() != shard[a]:
+                if held and b > a and held[-1].column(mark)[0].as_py() != shard[a]:
                     yield from settle(pa.Table.from_batches(held))
                     held = []
                 if b > a:
@@ -101,5 +111,5 @@ def pack_sequences(pieces: DataFrame, n_items: int, tokens: int = 2048, document
         if held:
             yield from settle(pa.Table.from_batches(held))
 
-    packed = rest.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(pack, schema).drop("shard")
+    packed = rest.repartition(F.col(mark)).sortWithinPartitions(mark).mapInArrow(pack, schema).drop(mark)
     return packed.unionByName(whole.select(*packed.columns))

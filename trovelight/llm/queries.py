@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .exact_dedup import exact_dedup
 from .line_dedup import apply_bitmaps, line_bitmaps
-from .packing import pack_sequences
+from .packing import PACKING_WEIGHTS, pack_sequences
 from .pieces import decode_pieces, encode_pieces, model_path
 from .quality import apply_cascade, plan_cascade
 from .secrets import secret_spans
@@ -46,7 +46,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = token_pieces(docs, *vocabulary(), capacity=2048, end_id=0)
     told = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack_sequences(told, told.count(), tokens=2048)
+    return pack_sequences(told, told.count(), tokens=2048, weights=PACKING_WEIGHTS)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ BASE_RULES = (
     SecretRule("hex", "[0-9a-f]{32,}"),
 )
 MORE_RULES = (
-    SecretRule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    # The key goes with its header lines, its base64 lines and its end; where the end is missing, the first word of the line behind it may go along.
+    SecretRule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----(\r?\n(Proc-Type|DEK-Info):[^\r\n]*)*(\r?\n)?(\r?\n[A-Za-z0-9+/=]+)*(\r?\n-----END ([A-Z]+ )*PRIVATE KEY-----)?"),
     SecretRule("code_host", "gh[pousr]_[A-Za-z0-9]{20,}"),
     SecretRule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
@@ -94,8 +96,10 @@ class Scanner:
                     free[k] = end = self.longest(k, data, at)
                     if rule.accept is None or rule.accept(data[at:end]):
                         out.append((at, end, k))
-        if not data.isascii():
-            out = [(len(data[:a].decode("utf-8", "replace")), len(data[:b].decode("utf-8", "replace")), k) for a, b, k in out]
+        if out and not data.isascii():
+            # Code points ahead of a byte: bytes ahead of it that don't continue one.
+            ahead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            out = [(int(ahead[a]), int(ahead[b]), k) for a, b, k in out]
         return sorted(out, key=lambda x: (x[0], x[2]))
 
 

@@ -23,16 +23,27 @@ from .common import as_bytes
 
 
 @lru_cache(maxsize=4)
-def byte_bpe(ranks_path: str, pattern: str):  # noqa: ANN201
-    """The encoder and, by id, the byte length of each token. Special strings in a text are ordinary text."""
+def byte_bpe(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()):  # noqa: ANN201
+    """(encode, lengths): bytes to a list of ids, and the byte length of each token by id. Special strings in a text are one id each."""
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-    for token, rank in ranks.items():
+    lengths = np.zeros(max([*ranks.values(), *(i for _, i in specials)]) + 1, dtype=np.int64)
+    for token, rank in [*ranks.items(), *((s.encode(), i) for s, i in specials)]:
         lengths[rank] = len(token)
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
+    encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
+    names = [s.encode() for s, _ in specials]
+
+    def encode(data: bytes) -> list[int]:
+        text = data.decode("utf-8", "replace")
+        return encoder.encode(text, allowed_special="all") if any(s in data for s in names) else encoder.encode_ordinary(text)
+
+    return encode, lengths
+
+
+#: Fixed value: the special string of the 50k vocabulary and its id.
+SPECIALS = (("<|endoftext|>", 50256),)
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -71,7 +82,7 @@ def attribute(token_lengths: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return np.bincount(owner, minlength=len(sections))
 
 
-def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separator: bytes = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separator: bytes = LINES, id_col: str = "doc_id", text_col: str = "text", specials: tuple[tuple[str, int], ...] = SPECIALS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, sections array<struct<start, end, n_tokens>>.
 
     start and end are code points, end exclusive. The sections' tokens sum to n_tokens; a text of
@@ -81,11 +92,11 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separat
     fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("sections", kind)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lengths = byte_bpe(ranks_path, pattern)
+        encode, lengths = byte_bpe(ranks_path, pattern, specials)
         for batch in batches:
             totals, places, offsets = [], [], [0]
             for data in as_bytes(batch.column(1)):
-                ids = np.array(encoder.encode_ordinary(data.decode("utf-8", "replace")), dtype=np.int64)
+                ids = np.array(encode(data), dtype=np.int64)
                 spans = section_spans(data, separator)
                 counts = attribute(lengths[ids], spans)
                 if not data.isascii() and len(spans):
@@ -104,20 +115,22 @@ def section_token_counts(docs: DataFrame, ranks_path: str, pattern: str, separat
     return chosen.mapInArrow(count, "doc_id bigint, n_tokens bigint, sections array<struct<start: bigint, end: bigint, n_tokens: bigint>>")
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", specials: tuple[tuple[str, int], ...] = SPECIALS) -> DataFrame:
     """Documents as pieces of at most capacity ids: doc_id, piece, start, length, ids (little-endian uint32 bytes).
 
     A document is its ids and then end_id. One that is longer than capacity is cut into pieces of
     capacity ids, all but the first, which takes the remainder. Null and empty texts are end_id alone.
+    Every row is a document of its own, also where ids are null or repeat. Other columns are not looked at;
+    an empty table gives no pieces. A worker holds one text's ids at a time beside a batch's pieces.
     """
     fields = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = byte_bpe(ranks_path, pattern)
+        encode, _ = byte_bpe(ranks_path, pattern, specials)
         for batch in batches:
             rows = []
             for doc_id, data in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = np.array([*encoder.encode_ordinary(data.decode("utf-8", "replace")), end_id], dtype="<u4")
+                ids = np.array([*encode(data), end_id], dtype="<u4")
                 start, stop = 0, len(ids) % capacity or capacity
                 for piece in range(-(-len(ids) // capacity)):
                     rows.append((doc_id, piece, start, stop - start, ids[start:stop].tobytes()))
