@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from trovelight.llm.common import materialize
 from trovelight.llm.line_dedup import apply_bitmaps, line_bitmaps
-from trovelight.llm.near_dedup import near_components
-from trovelight.llm.packing import pack_sequences
+from trovelight.llm.near_dedup import near_representatives
+from trovelight.llm.packing import PACKING_WEIGHTS, pack_sequences
 from trovelight.llm.quality import kept_documents, plan_cascade
 from trovelight.llm.secrets import redact_secrets
 from trovelight.llm.tokens import token_pieces, vocabulary
@@ -23,39 +23,58 @@ from trovelight.llm.tokens import token_pieces, vocabulary
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _with_text(docs: DataFrame, text: F.Column, names: list[str]) -> DataFrame:
-    """The columns names of docs with another text and its length in n_chars."""
-    changed = docs.withColumn("text", text)
-    return changed.withColumn("n_chars", F.char_length("text").cast("long")).select(*names)
+def _with_lengths(docs: DataFrame) -> DataFrame:
+    """docs with n_chars as its texts are now, if it has that column."""
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some quality rule rejects go."""
+    """Documents that some quality rule rejects go.
+
+    A null or empty text has too few words, so its row goes. Repeated rows are judged alike; ids and other
+    columns are not looked at and stay as they are. An empty table stays empty. Texts are read whole.
+    """
     return kept_documents(docs, plan_cascade(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go, but for their first occurrence; documents stay."""
-    return _with_text(apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True)), F.col("_kept_text"), docs.columns)
+    """Lines found in ten documents or more go, but for their first occurrence by doc_id and position; documents stay.
+
+    Rows with equal id and text are one document and lose the same lines; rows without an id are documents by
+    their text and come first. A null text becomes an empty one. An empty table stays empty. Columns stay, whatever
+    their names; n_chars is counted again.
+    """
+    stripped = docs.drop("_kept_text", "_n_lines", "_n_dropped")
+    lined = apply_bitmaps(stripped, line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True))
+    kept = [F.col("_kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in stripped.columns]
+    return _with_lengths(lined.select(*kept))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their 5-word shingles, the one with the smallest doc_id stays."""
-    found = near_components(docs, shingle=5, tenths=8, seed=42)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """Of documents linked by a similarity of 0.8 or more of their 5-word shingles, the one with the smallest doc_id stays.
+
+    Rows are told by id and text, so a row never takes along another with its id, or another without one. A
+    row without an id stays only if no row of its group has one; ties go by a hash of the text. Of rows
+    with equal id and text one stays. Texts without words (null, empty) are one group. An empty table stays empty;
+    texts are shingled whole; columns stay, whatever their names.
+    """
+    return near_representatives(docs, shingle=5, tenths=8, seed=42)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; documents stay."""
-    return _with_text(redact_secrets(docs), F.col("text"), docs.columns)
+    """Secrets are masked; every row stays, with its columns, and a null text stays null. n_chars is counted again."""
+    return _with_lengths(redact_secrets(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence of at most 2048 tokens and their place in it."""
+    """Pieces of documents with their sequence of at most 2048 tokens and their place in it.
+
+    Every row is a document, also where ids repeat or are null; a null or empty text is its end token alone.
+    An empty table gives no pieces. Of other columns only the id is returned.
+    """
     pieces = token_pieces(docs, *vocabulary(), capacity=2048, end_id=0)
     told = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack_sequences(told, told.count(), tokens=2048)
+    return pack_sequences(told, told.count(), tokens=2048, weights=PACKING_WEIGHTS)
 
 
 STAGES: list[tuple[str, Stage]] = [
