@@ -39,8 +39,6 @@ _ODD = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
 #: Bytes of a text that are hashed at a time, which bounds a worker's arrays.
 PART = 1 << 20
-#: Bytes that tell the order of two suffixes of a gram between buckets; equal ones are dealt by hash.
-ORDERED = 64
 #: Segments of at most so many rows are sorted by comparison, as multikey quicksort does with its small ones.
 SMALL = 24
 
@@ -277,11 +275,10 @@ class Side:
         found[self.order] = np.cumsum(self.lcp < depth)
         return found
 
-    def to_edge(self, reach: int) -> np.ndarray:
-        """Bytes that each string shares with the first or last one, and so at most with what other buckets hold; reach if their order isn't told further."""
+    def to_edge(self) -> np.ndarray:
+        """Bytes that each string shares with the first or last one, and so at most with what other buckets hold."""
         every = np.arange(len(self.order))
-        found = np.maximum(self.shared(every, np.full(len(every), self.order[0])), self.shared(every, np.full(len(every), self.order[-1])))
-        return np.where(found >= ORDERED, reach, found)
+        return np.maximum(self.shared(every, np.full(len(every), self.order[0])), self.shared(every, np.full(len(every), self.order[-1])))
 
 
 def _numbers(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
@@ -334,7 +331,7 @@ def _compare(length: int, gram: int, across: bool):  # noqa: ANN202
         ahead, behind = Side(names, ahead_texts, reach), Side(names, behind_texts, reach)
         h, pos = table["h"].to_numpy(), table["pos"].to_numpy().astype(np.int64)
         since = table["since"].to_numpy().astype(np.int64) if across else np.zeros(n, np.int64)
-        edge = (ahead if across else behind).to_edge(reach)
+        edge = (ahead if across else behind).to_edge()
         most_ahead, most_behind = ahead.most(), behind.most()
         twins = np.zeros((n, reach + 3), np.int8)  # column o + 1: the window that begins o bytes ahead
         for o in range(reach + 1):
@@ -370,7 +367,9 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, b
     gram = gram or length // 2
     if not 0 < gram < length:
         raise ValueError("grams are shorter than the strings, and not empty")
-    marks = materialize(_marks(anchor_rows(docs, length, gram), heavy_grams), "marks")
+    # Splitters are sampled from whole suffixes, so fewer of them for each bucket go to the driver than Spark's 100.
+    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 20)
+    marks = materialize(_marks(materialize(anchor_rows(docs, length, gram), "anchors"), heavy_grams), "marks")
     settled = marks.where(F.col("twice") & (F.col("high") - F.col("low") >= length)).select("doc_id", "key", F.col("low").alias("start"), F.col("high").alias("end"))
     asks = marks.where("asks")
     tie = F.xxhash64("doc_id", "key", "pos")
@@ -378,10 +377,10 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, b
     def dealt(rows: DataFrame, n: int, *by: Column) -> DataFrame:
         return rows.repartitionByRange(max(1, -(-n // bucket_rows)), *by, tie)
 
-    suffixes = dealt(_contexts(docs, asks, gram), asks.count(), F.col("lead"), F.col("h"), F.substring("behind", 1, ORDERED))
+    suffixes = dealt(_contexts(docs, asks, gram), asks.count(), F.col("lead"), F.col("h"), F.col("behind"))
     compared = materialize(suffixes.mapInArrow(_compare(length, gram, False), RUN_TYPE), "compared")
     edges = compared.where("since is not null")
-    turned = dealt(edges, edges.count(), F.col("h"), F.substring("ahead", 1, ORDERED))
+    turned = dealt(edges, edges.count(), F.col("h"), F.col("ahead"))
     across = materialize(turned.mapInArrow(_compare(length, gram, True), RUN_TYPE), "across")
     windows = across.where("told is not null").select("doc_id", "key", "start", "told")
     again = windows.groupBy("told").agg(F.count("*").alias("n")).where("n > 1").select(F.col("told").alias("again"))
