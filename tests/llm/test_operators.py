@@ -403,3 +403,37 @@ def test_dropout_by_occurrence(spark):
     for skips in ((), (0,), (0, 2), (1, 3), (2,)):
         node = model.remember([word], [bytes(skips)])[0]
         assert np.frombuffer(model.made[node], "<i4").tolist() == list(model.segment(word, skips))
+
+
+def plain_merges(model, unit, skips):
+    """Merge-dropout spelled out: of all neighbours that join, the best and leftmost one that was not skipped, again and again."""
+    parts, dead, nth = [(k, k + 1) for k in range(len(unit))], set(), -1
+    while True:
+        options = [(model.rank[unit[a:c]], a, k, (a, b, c)) for k, ((a, b), (_, c)) in enumerate(zip(parts, parts[1:], strict=False)) if unit[a:c] in model.rank and (a, b, c) not in dead]
+        if not options:
+            break
+        _, a, k, name = min(options)
+        nth += 1
+        if nth in skips:
+            dead.add(name)
+        else:
+            parts[k : k + 2] = [(a, name[2])]
+    out = []
+    for a, b in parts:
+        piece = unit[a:b]
+        out += [model.ids[piece]] if piece in model.ids else [model.byte_id[x] for x in piece.encode()]
+    return tuple(out)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_merges_of_many_units(rate):
+    """Units segmented at once, one by one by agenda, and by a plain loop give the same ids under the same skips."""
+    model, r = PieceModel(model_path()), random.Random(int(100 * rate))
+    real = ["▁international", "▁organisation", "▁the", "▁unbelievably", "ing", "▁▁▁x", "▁straße", "▁日本語", "▁a" * 9, "▁information" * 2, "▁\U0001f642é"]
+    units = [*real, *("▁" + "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 24))) for _ in range(300))] * 3
+    skips = [tuple(k for k in range(60) if r.random() < rate) for _ in units]
+    want = [plain_merges(model, u, set(s)) for u, s in zip(units, skips, strict=True)]
+    assert [model.segment(u, set(s)) for u, s in zip(units, skips, strict=True)] == want
+    short = [(u, bytes(s)) for u, s in zip(units, skips, strict=True) if len(u) <= 32]
+    nodes = model.remember([u for u, _ in short], [s for _, s in short])
+    assert [tuple(np.frombuffer(model.made[k], "<i4").tolist()) for k in nodes] == [w for u, w in zip(units, want, strict=True) if len(u) <= 32]
