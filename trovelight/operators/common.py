@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_own_dir: list[str] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path below spark.checkpoint.dir, which all machines see; a local master without it gets a folder that goes with the process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="trovelight-"))
+            atexit.register(shutil.rmtree, _own_dir[0], True)
+        found = f"file://{_own_dir[0]}"
+    return f"{found.rstrip('/')}/trovelight/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the scratch folder and read back: what is built on it reads it instead of making it again."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A broadcast hint if df has most_rows at most, counted no further than that; else df, for the planner to join as it can."""

@@ -1,17 +1,30 @@
-"""The token index: postings with positions, lengths, and corpus statistics."""
+"""The token index: a row per term and node with its frequency and positions, lengths, and corpus statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def postings(nodes: DataFrame, key: str = "node_key", body: str = "body_plain") -> DataFrame:
-    """(node_key, term, pos): one row per term occurrence."""
-    terms = T.index_terms(T.fts_tokens(body))
-    return nodes.select(F.col(key).alias("node_key"), F.posexplode(terms).alias("pos", "term")).select("node_key", "term", "pos")
+    """(node_key, term, tf, at, dl): occurrences of a term in a node, their positions, and the node's terms in all.
+
+    A node's terms are folded inside its row (sorted, then cut into runs), so nothing is shuffled.
+    """
+    terms = F.transform(T.index_terms(T.fts_tokens(body)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    placed = nodes.select(F.col(key).alias("node_key"), F.array_sort(terms).alias("s")).where(F.size("s") > 0)
+    s = F.col("s")
+    opens = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+    cut = placed.select("node_key", "s", opens.alias("opens"))
+
+    def run(first, k):  # noqa: ANN001, ANN202
+        n = F.coalesce(F.get(F.col("opens"), k + 1), F.size(s)) - first
+        return F.struct(F.get(s, first)["term"].alias("term"), n.alias("tf"), F.transform(F.slice(s, first + 1, n), lambda x: x["pos"]).alias("at"))
+
+    runs = cut.select("node_key", F.size(s).cast("long").alias("dl"), F.explode(F.transform("opens", run)).alias("x"))
+    return runs.select("node_key", "x.term", F.col("x.tf").cast("long").alias("tf"), "x.at", "dl")
 
 
 def doc_stats(nodes: DataFrame, key: str = "node_key", body: str = "body_plain") -> DataFrame:
@@ -21,18 +34,26 @@ def doc_stats(nodes: DataFrame, key: str = "node_key", body: str = "body_plain")
 
 def token_stats(posts: DataFrame) -> DataFrame:
     """(term, df, cf): nodes with a term, and its occurrences."""
-    per_node = posts.groupBy("term", "node_key").agg(F.count("*").alias("tf"))
-    return per_node.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def build_index(nodes: DataFrame, path: str, partitions: int = 64, key: str = "node_key", body: str = "body_plain") -> None:
-    """Write postings, partitioned by hash of term and sorted by term, and doc_stats: later queries read only their terms' files."""
+    """Write postings, by hash of term and sorted by term, and doc_stats: later queries read only their terms' row groups.
+
+    A frequent term fills several files of its shard, so its postings are no single task's.
+    """
     posts = postings(nodes, key, body).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int"))
-    posts.repartition(partitions, "shard").sortWithinPartitions("shard", "term", "node_key", "pos").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    spread = posts.repartitionByRange("shard", "term", "node_key")
+    spread.sortWithinPartitions("shard", "term", "node_key").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     doc_stats(nodes, key, body).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
-def read_postings(spark, path: str, terms: list[str], partitions: int = 64) -> DataFrame:  # noqa: ANN001
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, doc_stats) of an index that build_index() wrote, as search.scores() takes them."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str], partitions: int = 64) -> DataFrame:
     """Postings of terms alone: their shards are pruned to, and the term filter reaches the scan."""
     shards = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int")).distinct().collect()]
     return spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(shards) & F.col("term").isin(terms))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import corpus, graph, grep, history, index, memory, rank, render, search
+from ..operators.common import scratch_path
 from ..sources import readers, writers
 from . import api
 from .oracles import ORACLES
@@ -119,9 +120,16 @@ def keywords_greedy(spark: SparkSession, sf: str) -> DataFrame:
 # --- search --------------------------------------------------------------------
 
 
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The index of documents, built once for a query and read by each of its steps."""
+    path = scratch_path(spark, "index")
+    index.build_index(_nodes(spark, sf), path)
+    return index.read_index(spark, path)
+
+
 def _topk(spark: SparkSession, sf: str, mode: str, must: bool, limit: int = 20) -> DataFrame:
     nodes, asked = _nodes(spark, sf), _queries(spark, sf, mode, must)
-    found = search.scores(search.compile_queries(asked), index.postings(nodes), index.doc_stats(nodes))
+    found = search.scores(search.compile_queries(asked), *_indexed(spark, sf))
     return search.ranked(found, nodes, asked, limit).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -142,8 +150,7 @@ def bm25_must_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def search_cascade_level(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _nodes(spark, sf)
-    found = search.cascade(_queries(spark, sf, "and", True), index.postings(nodes), index.doc_stats(nodes))
+    found = search.cascade(_queries(spark, sf, "and", True), *_indexed(spark, sf))
     return found.groupBy("query_id").agg(F.first("level").cast("long").alias("level"), F.count("*").alias("n_hits"))
 
 

@@ -42,10 +42,10 @@ q AS (SELECT item_id, {optional} AS o, {required} AS r, coalesce({_tokens('text'
 ph AS (SELECT item_id, unnest(o) AS term, false AS req FROM q UNION ALL SELECT item_id, unnest(r), true FROM q),
 need AS (SELECT item_id, count(*) FILTER (req) AS nr, count(*) FILTER (NOT req) AS no FROM ph GROUP BY item_id),
 sc AS (SELECT ph.item_id, tf.doc_id, count(*) FILTER (req) AS hr, count(*) FILTER (NOT req) AS ho,
-              -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), CASE WHEN (n - df + 0.5) / (df + 0.5) > 1 THEN 0 ELSE 1e-6 END) * (0.4 * f * 2.2) / (0.4 * f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+              -sum(round(greatest(ln((n - df + 0.5) / (df + 0.5)), CASE WHEN (n - df + 0.5) / (df + 0.5) > 1 THEN 0 ELSE 1e-6 END) * (0.4 * f * 2.2) / (0.4 * f + 1.2 * (0.25 + 0.75 * dl / avgdl)) * 1125899906842624)::BIGINT) / 1125899906842624.0 AS score
        FROM ph JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
 good AS (SELECT sc.* FROM sc JOIN need USING (item_id) WHERE hr = nr AND (no = 0 OR ho > 0)),
-rk AS (SELECT good.item_id AS query_id, good.doc_id, score, row_number() OVER (PARTITION BY good.item_id ORDER BY round(score, 12),
+rk AS (SELECT good.item_id AS query_id, good.doc_id, score, row_number() OVER (PARTITION BY good.item_id ORDER BY score,
          CASE WHEN first <> '' AND contains(lower(lang), first) THEN 0 ELSE 1 END, CASE WHEN first <> '' AND contains(lower(source), first) THEN 0 ELSE 1 END, good.doc_id) AS rank
        FROM good JOIN dl USING (doc_id) JOIN q ON q.item_id = good.item_id)
 {tail}"""
