@@ -116,10 +116,11 @@ def test_inferred_headings(spark, text, md):
     assert one(spark, T.inferred_headings("t"), t=text) == md
 
 
-def test_keywords():
-    assert A.keywords_of("beam beam column column column the the", 8, 2) == ["column", "beam"]
-    assert A.keywords_of("混凝土混凝土混凝土", 3, 2)[:2] == ["混凝土", "混凝土混凝土"]
-    assert A.keywords_of("once", 8, 2) == []
+def test_keywords(spark):
+    assert one(spark, T.keywords("t", 8, 2), t="beam beam column column column the the") == ["column", "beam"]
+    assert one(spark, T.keywords("t", 3, 2), t="混凝土混凝土混凝土")[:2] == ["混凝土", "混凝土混凝土"]
+    assert one(spark, T.keywords("t", 8, 2), t="once") == [] == one(spark, T.keywords("t", 8, 2), t="")
+    assert one(spark, T.keywords("t", 2, 2), t="aa aa bb bb cc cc cc") == ["cc", "aa"]
 
 
 def test_smallest_window():

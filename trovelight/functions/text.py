@@ -5,7 +5,7 @@ Offsets and lengths are code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +57,40 @@ def index_terms(tokens: Column | str) -> Column:
     return F.filter(F.flatten(F.transform(_col(tokens), lambda t: F.split(t, "_"))), lambda t: t != "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also where use names it inside functions over arrays."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(tokens: Column) -> Column:
+    """An array of (token, n) for each distinct token, by token."""
+
+    def of_sorted(s: Column) -> Column:
+        opens = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda o: lambda a, k: F.struct(F.get(s, a).alias("token"), (F.coalesce(F.get(o, k + 1), F.size(s)) - a).alias("n"))
+        return F.when(F.size(s) > 0, _let(opens, lambda o: F.transform(o, run(o)))).otherwise(F.array().cast("array<struct<token: string, n: int>>"))
+
+    return _let(F.array_sort(tokens), of_sorted)
+
+
+def keywords(text: Column | str, top_k: int = 8, min_freq: int = 2) -> Column:
+    """Frequent CJK substrings of 2 to 6 characters and words; one inside a longer one chosen before is left out."""
+    t = F.coalesce(_col(text), F.lit(""))
+    runs = F.regexp_extract_all(t, F.lit(f"[{_CJK}]{{2,}}"), F.lit(0))
+    of_length = lambda r, n: F.when(F.char_length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - n + 1, F.lit(1))), lambda i: F.substring(r, i, n))).otherwise(empty_strings())
+    grams = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda n: of_length(r, n)))))
+    words = F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]{2,}"), F.lit(0)), F.lower)
+    found = F.concat(F.filter(grams, lambda g: ~g.isin(*sorted(K.CJK_STOP_WORDS))), F.filter(words, lambda w: ~w.isin(*sorted(K.ENGLISH_STOP_WORDS))))
+    frequent = F.filter(counted(found), lambda x: x["n"] >= min_freq)
+    order = F.array_sort(F.transform(frequent, lambda x: F.struct((-x["n"]).alias("n"), (-F.char_length(x["token"])).alias("size"), x["token"].alias("token"))))
+
+    def pick(chosen: Column, x: Column) -> Column:
+        inside = F.exists(chosen, lambda c: (F.char_length(c) > -x["size"]) & c.contains(x["token"]))
+        return F.when((F.size(chosen) >= top_k) | inside, chosen).otherwise(F.concat(chosen, F.array(x["token"])))
+
+    return F.aggregate(order, empty_strings(), pick)
+
+
 def query_terms(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(_col(text), F.lit("")), r"\s+"), lambda t: t != "")
 
@@ -196,7 +230,9 @@ def slug(text: Column | str, most: int = 48) -> Column:
 
 
 def title_keywords(title: Column | str) -> Column:
-    parts = F.split(F.trim(_col(title)), r"[\s、/，,；;：:（）()《》\"'\-]+|以及|与|及|和")
+    marks = "".join("\\" + c if ord(c) < 128 else c for c in K.TITLE_MARKS)
+    words = "|".join(sorted(K.TITLE_WORDS, key=len, reverse=True))
+    parts = F.split(F.trim(_col(title)), rf"[\s{marks}]+|{words}")
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.char_length(p) >= 2))
 
 
@@ -305,14 +341,15 @@ def inferred_headings(text: Column | str) -> Column:
     def head(line: Column, i: Column) -> Column:
         bare = F.trim(line)
         alone = ((i == 0) | (F.trim(F.get(under, i - 1)) == "")) & ((i == F.size(under) - 1) | (F.trim(F.get(under, i + 1)) == ""))
-        number = F.regexp_extract(bare, r"^(\d+(?:\.\d+)+)\s+\S", 1)
+        number = F.regexp_extract(bare, K.NUMBERED_PATTERN, 1)
         depth = F.least(F.size(F.split(number, r"\.")), F.lit(6))
-        item = bare.rlike(r"^[-*•·]\s|^\d+\.\s")
+        item = bare.rlike(K.ITEM_PATTERN)
+        chapter = bare.rlike("|".join(f"(?:{p})" for p in K.CHAPTER_PATTERNS))
         return (
             F.when((bare == "") | bare.startswith("#") | ~alone, line)
-            .when(bare.rlike(r"(?i)^Chapter\s+") | bare.rlike(r"^第[一二三四五六七八九十百千万\d]+[章节篇部]"), F.concat(F.lit("# "), bare))
+            .when(chapter, F.concat(F.lit("# "), bare))
             .when(number != "", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), bare))
-            .when((F.char_length(bare) < 60) & ~item, F.concat(F.lit("### "), bare))
+            .when((F.char_length(bare) < K.SHORT_HEADING) & ~item, F.concat(F.lit("### "), bare))
             .otherwise(line)
         )
 

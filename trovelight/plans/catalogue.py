@@ -114,7 +114,7 @@ def keyword_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def keywords_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", A.keywords()("text").alias("keywords"))
+    return _read(spark, sf, "documents").select("doc_id", T.keywords("text").alias("keywords"))
 
 
 # --- search --------------------------------------------------------------------
