@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import sqlite3
 import zipfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trovelight.functions import arrow as A
 from trovelight.functions import constants as K
-from trovelight.operators import corpus, graph, grep, history, index, memory, rank, render, search
+from trovelight.operators import corpus, export, graph, grep, history, index, memory, rank, render, search
 from trovelight.plans import api
 from trovelight.sources import readers, writers
 
@@ -222,12 +223,144 @@ def test_search_lines(spark):
 
 def test_snapshots(spark, tmp_path):
     store = writers.SnapshotStore(spark, f"file://{tmp_path}/s")
-    assert store.current() is None
-    store.publish({"t": spark.range(3)})
-    store.publish({"t": spark.range(5)})
-    with pytest.raises(RuntimeError):
+    assert store.current() is None and not store.has("t")
+    store.publish({"t": spark.range(3), "u": spark.range(1)})
+    store.publish({"t": spark.range(5)}, keep_others=True)
+    with pytest.raises(RuntimeError, match="no"):
         store.publish({"t": spark.range(9)}, check=lambda read: (_ for _ in ()).throw(RuntimeError("no")))
-    assert store.read("t").count() == 5
+    assert store.read("t").count() == 5 and store.read("u").count() == 1
+    for n in (6, 7):
+        store.publish({"t": spark.range(n)}, keep_others=True)
+    assert store.read("t").count() == 7 and store.read("u").count() == 1
+    assert len(list((tmp_path / "s" / "pointers").glob("0*"))) == 2
+
+
+def test_snapshot_of_another_publisher(spark, tmp_path):
+    """Of two publishers with one base the second is refused, and what the first wrote stays."""
+    store = writers.SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.publish({"t": spark.range(3)})
+    other = writers.SnapshotStore(spark, f"file://{tmp_path}/s")
+    with pytest.raises(RuntimeError, match="newer"):
+        store.publish({"t": spark.range(9)}, check=lambda read: other.publish({"t": spark.range(4)}))
+    assert store.read("t").count() == 4
+    assert not writers.create_text_file(spark, f"file://{tmp_path}/s/pointers/00000001", "x")
+
+
+def test_fold_in_blocks(spark):
+    """A fold in blocks is the plain loop, whatever the block."""
+    r = random.Random(3)
+    rows = [("q", k, float(r.choice([1, 2, -3, -3, 5, 0]))) for k in range(400)] + [("p", 1, -2.0)]
+    df = spark.createDataFrame(rows, "query_norm string, seq long, delta double").withColumn("ts", F.timestamp_seconds("seq"))
+    want = 0.0
+    for _, _, d in rows[:400]:
+        want = min(want + d, 20.0) if d >= 0 else max(want + d, -10.0)
+    for block in (1, 7, 1000):
+        got = {x.query_norm: (x.weight, x.pos_count, x.neg_count) for x in memory.fold_weights(df, ["query_norm"], ["ts", "seq"], block=block).collect()}
+        assert got == {"q": (want, sum(d > 0 for _, _, d in rows[:400]), sum(d < 0 for _, _, d in rows[:400])), "p": (-2.0, 0, 1)}
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 23, 200])
+def test_ranks_of_equal_texts(spark, partitions):
+    """Copies of a text keep the order of their ids, however the rows are dealt."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    bodies = [" ".join(r.choice(words) for _ in range(25)) for _ in range(12)] * 6
+    nodes = spark.createDataFrame([(f"n{i:03d}", f"n{i:03d}", i, 1, "", "", b) for i, b in enumerate(bodies)], "node_key string, node_id string, doc_id int, ordinal int, title string, heading_path string, body_plain string").repartition(7)
+    asked = ask(spark, (" ".join(words[:20]), "or", ()), (" ".join(words[5:9]), "or", ("w1",)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = search.ranked(search.scores(search.compile_queries(asked), index.postings(nodes), index.doc_stats(nodes)), nodes, asked, 30).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for q in (0, 1):
+        order = [(x.score, x.doc_id) for x in found if x.query_id == q]
+        assert order == sorted(order) and len({s for s, _ in order}) <= 12
+    assert len([x for x in found if x.query_id == 0]) == 30
+
+
+def test_probing_finds_what_scanning_finds(spark, nodes):
+    """A query with a rare required term looks the others up by node; the scores are those of the scan."""
+    posts, stats = index.postings(nodes), index.doc_stats(nodes)
+    both = ask(spark, ("concrete beam steel", "or", ("mix",)), ("concrete beam steel", "or", ()))
+    found = {(x.query_id, x.node_key): x.score for x in search.scores(search.compile_queries(both), posts, stats).collect()}
+    alone = {x.node_key: x.score for x in search.scores(search.compile_queries(ask(spark, ("mix", "or", ()))), posts, stats).collect()}
+    assert [k for q, k in found if q == 0] == ["n1"]
+    assert math.isclose(found[0, "n1"], found[1, "n1"] + alone["n1"], rel_tol=1e-9)
+
+
+def test_index_on_disk(spark, nodes, tmp_path):
+    index.build_index(nodes, f"file://{tmp_path}/i", partitions=4)
+    posts, stats = index.read_index(spark, f"file://{tmp_path}/i")
+    assert stats.count() == 8
+    asked = ask(spark, ("foo_bar", "or", ()), ("concrete beam", "and", ()))
+    mine = lambda p, s: sorted((x.query_id, x.node_key, x.score) for x in search.scores(search.compile_queries(asked), p, s).collect())
+    assert mine(posts, stats) == mine(index.postings(nodes), index.doc_stats(nodes))
+    few = index.read_postings(spark, f"file://{tmp_path}/i", ["beam", "zebra"], 4)
+    assert {(x.node_key, x.tf) for x in few.collect()} == {("n0", 1), ("n2", 1), ("n5", 1), ("n7", 2)}
+
+
+def test_answer_with_cache(spark, nodes):
+    """The second answer comes from the cache until it is too old; the log gets a row per query."""
+    now = lambda s: F.timestamp_seconds(F.lit(s))
+    cache = spark.createDataFrame([], api.CACHE_SCHEMA)
+    corpus_ = api.Corpus(nodes)
+    asked = ask(spark, ("concrete beam", "or", ()), ("steel", "or", ()))
+    one = api.answer(corpus_, asked, api.preset("quick"), cache, now(1000))
+    first = {x.query_id: x.markdown for x in one.bundles.collect()}
+    assert one.log.count() == 2 and {x.cmd for x in one.log.collect()} == {"bundle"}
+    two = api.answer(corpus_, asked, api.preset("quick"), one.cache, now(1200))
+    assert {x.query_id: x.markdown for x in two.bundles.collect()} == first and two.bundles.where("cached").count() == 2
+    late = api.answer(corpus_, asked, api.preset("quick"), one.cache, now(1400))
+    other = api.answer(corpus_, asked, api.preset("standard"), one.cache, now(1200))
+    assert late.bundles.where("cached").count() == 0 == other.bundles.where("cached").count()
+    assert other.cache.count() == 4
+
+
+def test_history_verb(spark):
+    log = spark.createDataFrame([("a", "Steel beam", 3, 10), ("b", "concrete", 1, 20)], "query_id string, query_text string, hits_count int, s long").withColumn("timestamp", F.timestamp_seconds("s"))
+    rows, md = api.history(log, "STEEL")
+    assert [x.query_id for x in rows.collect()] == ["a"]
+    assert "`a` Steel beam (3)" in md.first().markdown
+
+
+def test_bodies_from_files_are_guarded(spark):
+    nodes = lambda path: spark.createDataFrame([("n", path, "", True)], "node_id string, ref_path string, body_md string, is_leaf boolean")
+    files = spark.createDataFrame([("a/b.md", "---\nid: 1\n---\n\ntext \n\n")], "ref_path string, md string")
+    assert export.bodies_from_files(nodes("a/b.md"), files).first().body_md == "text\n"
+    for bad, said in (("../b.md", "outside"), ("/b.md", "outside"), ("c.md", "missing"), ("", "without")):
+        with pytest.raises(Exception, match=said):
+            export.bodies_from_files(nodes(bad), files).collect()
+
+
+def test_export_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([("d", "v1", "D", "f", "p", "h", True), ("d", "v2", "D2", "f", "p", "h", True)], "doc_id string, source_version string, title string, source_file string, source_path string, doc_hash string, is_active boolean")
+    rows = [("d", v, f"n{k}", "chunk", "l", "t", "r", k, f"n{k}.md", True, True, f"text {k}\n", "") for v in ("v1", "v2") for k in (2, 1)]
+    nodes_ = spark.createDataFrame(rows, "doc_id string, source_version string, node_id string, kind string, label string, title string, parent_id string, ordinal int, ref_path string, is_leaf boolean, is_active boolean, body_md string, body_plain string").withColumns({"prev_id": F.lit(None).cast("string"), "next_id": F.lit(None).cast("string")})
+    edges = spark.createDataFrame([("d", "v1", "next", "n1", "n2", True, 1.0)], "doc_id string, source_version string, edge_type string, from_node_id string, to_node_id string, is_active boolean, confidence double")
+    aliases = spark.createDataFrame([("d", "v1", "A", "a", "n1", "exact", 1.0, "title", True)], "doc_id string, source_version string, alias string, normalized_alias string, target_node_id string, alias_level string, confidence double, source string, is_active boolean")
+    texts = export.leaf_texts(nodes_)
+    assert {x.text for x in texts.collect()} == {"text 1\n\ntext 2\n"}
+    parts = export.sections(docs, nodes_, edges, aliases, export.manifest_rows(docs, texts))
+    writers.export_contract(parts, f"file://{tmp_path}/e")
+    back = writers.read_contract(spark, f"file://{tmp_path}/e", parts)
+    assert {k: v.count() for k, v in back.items()} == {"documents": 2, "nodes": 4, "edges": 1, "aliases": 1, "locators": 4}
+    assert [x.source_version for x in export.latest_documents(back["documents"]).collect()] == ["v2"]
+    assert [(x.pos, x.node_id) for x in export.children(back["nodes"], back["documents"]).orderBy("pos").collect()] == [(1, "n1"), (2, "n2")]
+    writers.write_canonical_texts(texts, f"file://{tmp_path}/t")
+    found = sorted(p.read_text() for p in (tmp_path / "t").rglob("part-*.txt"))
+    assert found == ["text 1\n\ntext 2\n"] * 2
+    digest = lambda df: export.binding_digest(df, F.col("node_id"), ["doc_id", "source_version", "node_id"]).first().sha256
+    assert digest(nodes_) == digest(nodes_.repartition(3)) != digest(nodes_.where("ordinal = 1"))
+    assert export.audit_markdown(spark.createDataFrame([("b", "1"), ("a", "2")], "name string, value string"), "Run").first().markdown == "# Run\n\n- a: `2`\n- b: `1`\n"
+    assert export.alias_fingerprints(aliases).count() == 1
+
+
+def test_chunks_decode_and_docx_errors():
+
+    assert A.decode(("a" * 2_000_000 + "é").encode("cp1252")).endswith("é")
+    with pytest.raises(A.ExtractError, match="DOCX"):
+        A.read_file("x.docx", b"no zip")
 
 
 def test_shards(spark, tmp_path):

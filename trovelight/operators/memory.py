@@ -15,15 +15,28 @@ def clamp_step(weight: Column, delta: Column) -> Column:
     return F.when(delta >= 0, F.least(weight + delta, F.lit(K.WEIGHT_CAP))).otherwise(F.greatest(weight + delta, F.lit(K.WEIGHT_FLOOR)))
 
 
-def fold_weights(deltas: DataFrame, keys: list[str], order: list[str], delta: str = "delta", time: str = "ts") -> DataFrame:
-    """keys, weight, pos_count, neg_count, last_used: deltas folded in order, from 0.
+def _then(a: Column, b: Column) -> Column:
+    """Two moves (shift, then clamp to low and high), one after the other, as one move."""
+    clamp = lambda x: F.least(F.greatest(x, b["low"]), b["high"])
+    return F.struct((a["shift"] + b["shift"]).alias("shift"), clamp(a["low"] + b["shift"]).alias("low"), clamp(a["high"] + b["shift"]).alias("high"))
 
-    Clamping doesn't commute, so order has to be total. Rows of a key are gathered in one array; a key with
-    very many events should first be cut to the last few hundred, which decide its weight: pass a window.
+
+def fold_weights(deltas: DataFrame, keys: list[str], order: list[str], delta: str = "delta", time: str = "ts", block: int = 1000) -> DataFrame:
+    """keys, weight, pos_count, neg_count, last_used: deltas folded in order, from 0, as clamp_step() moves them.
+
+    Clamping doesn't commute, so order has to be total. A step is a shift and a clamp, and steps in a row are one
+    such move, so blocks of events are folded by themselves, and then their moves: no array holds all of a key's events.
     """
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("double").alias("_d"))))
-    weight = F.aggregate(F.transform(steps, lambda s: s["_d"]), F.lit(0.0), clamp_step)
-    return deltas.groupBy(*keys).agg(weight.alias("weight"), F.sum(F.when(F.col(delta) > 0, 1).otherwise(0)).alias("pos_count"), F.sum(F.when(F.col(delta) < 0, 1).otherwise(0)).alias("neg_count"), F.max(time).alias("last_used"))
+    d = F.col(delta).cast("double")
+    far = F.lit(float("inf"))
+    move = F.struct(d.alias("shift"), F.when(d < 0, F.lit(float(K.WEIGHT_FLOOR))).otherwise(-far).alias("low"), F.when(d < 0, far).otherwise(F.lit(float(K.WEIGHT_CAP))).alias("high"))
+    none = F.struct(F.lit(0.0).alias("shift"), (-far).alias("low"), far.alias("high"))
+    at = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / block)
+    rows = deltas.select(*keys, F.struct(*order).alias("o"), F.col(time).alias("t"), d.alias("d"), move.alias("m"), at.alias("at"))
+    fold = lambda items: F.aggregate(F.transform(F.array_sort(items), lambda x: x["m"]), none, _then)
+    blocks = rows.groupBy(*keys, "at").agg(fold(F.collect_list(F.struct("o", "m"))).alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("pos"), F.sum((F.col("d") < 0).cast("int")).alias("neg"), F.max("t").alias("t"))
+    whole = blocks.groupBy(*keys).agg(fold(F.collect_list(F.struct("at", "m"))).alias("m"), F.sum("pos").alias("pos_count"), F.sum("neg").alias("neg_count"), F.max("t").alias("last_used"))
+    return whole.select(*keys, F.least(F.greatest(F.col("m.shift"), F.col("m.low")), F.col("m.high")).alias("weight"), "pos_count", "neg_count", "last_used")
 
 
 def log_deltas(log: DataFrame) -> DataFrame:
@@ -106,6 +119,13 @@ def stats(log: DataFrame, weights: DataFrame, feedback: DataFrame, now: Column,
     return counts, log.groupBy("query_norm").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query_norm").limit(top)
 
 
+def cache_put(cache: DataFrame, rows: DataFrame, now: Column, seconds: int = 300, most: int = 50, key: str = "query_norm") -> DataFrame:
+    """The cache with rows put in, over entries of the same key, and without what cache_live() lets go."""
+    stamped = rows.withColumn("cached_at", now.cast("timestamp")).select(*cache.columns)
+    others = cache.join(stamped.select(key).distinct(), key, "left_anti").select(*cache.columns)
+    return cache_live(others.unionByName(stamped), now, seconds, most, key)
+
+
 def cache_live(cache: DataFrame, now: Column, seconds: int = 300, most: int = 50, key: str = "query_norm") -> DataFrame:
     """The newest entry of each key that is at most seconds old, and of these the newest most."""
     alive = first_by(cache.where(F.col("cached_at") > now - F.make_dt_interval(secs=F.lit(seconds))), [key], F.desc("cached_at"))

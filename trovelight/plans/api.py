@@ -1,4 +1,4 @@
-"""The verbs: bundle, triage, search, files, docs, get_node, history, feedback, vacuum. Each takes and gives DataFrames."""
+"""The verbs: bundle, answer, triage, search_lines, files, docs, get_node, history, feedback, vacuum. Each takes and gives DataFrames."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import graph, grep, history, memory, rank, render, search
+from ..operators import export, graph, grep, memory, rank, render, search
+from ..operators import history as versions
+from ..operators.common import broadcast_if_small, materialize
 from ..operators.index import doc_stats, postings
 
 
@@ -109,7 +111,7 @@ def bundle(corpus: Corpus, queries: DataFrame, options: BundleOptions = PRESETS[
         keyed = queries.select("query_id", T.query_key("text").alias("query_norm")).join(weights, "query_norm")
         order = rank.learned_boost(order, keyed).select("query_id", "node_id", F.col("boosted").alias("rank"))
     # At most limit rows a query, read by three branches below.
-    order = order.where(F.col("rank") <= options.limit).persist()
+    order = materialize(order.where(F.col("rank") <= options.limit), "order")
     missed = queries.join(order.select("query_id").distinct(), "query_id", "left_anti")
     fallback = search.like_fallback(missed, corpus.leaves, options.limit)
     if options.exclude:
@@ -129,6 +131,65 @@ def bundle(corpus: Corpus, queries: DataFrame, options: BundleOptions = PRESETS[
     return render.bundle(blocks, facts, options.max_chars)
 
 
+@dataclass
+class Answer:
+    """bundles (query_id, markdown, node_ids, exhausted, cached), the cache as it is now, and rows for the query log."""
+
+    bundles: DataFrame
+    cache: DataFrame
+    log: DataFrame
+
+
+CACHE_SCHEMA = "cache_key string, cached_at timestamp, markdown string, node_ids array<string>, exhausted boolean"
+
+
+def answer(corpus: Corpus, queries: DataFrame, options: BundleOptions, cache: DataFrame, now: F.Column) -> Answer:
+    """bundle() for what the result cache doesn't hold, with rewrite suggestions, and what is to be written afterwards.
+
+    cache has the columns of CACHE_SCHEMA. Its key is the query's text, mode and must terms, and the options.
+    """
+    asked = F.to_json(F.struct("mode", "must", F.lit(repr(options)).alias("options")))
+    keyed = materialize(queries.withColumn("cache_key", T.cache_key("text", asked)), "asked")
+    live = materialize(memory.cache_live(cache, now, key="cache_key"), "cache")  # 50 rows at most
+    columns = ["query_id", "cache_key", "markdown", "node_ids", "exhausted"]
+    known = keyed.join(F.broadcast(live.drop("cached_at")), "cache_key").select(*columns, F.lit(True).alias("cached"))
+    missing = keyed.join(F.broadcast(live.select("cache_key")), "cache_key", "left_anti")
+    made = bundle(corpus, missing, options, now).join(keyed.select("query_id", "cache_key"), "query_id")
+    if corpus.log is not None and corpus.feedback is not None:
+        hits = made.select("query_id", F.posexplode("node_ids").alias("pos", "node_id")).join(missing.select("query_id", T.query_key("text").alias("query_norm")), "query_id").select("query_id", "query_norm", "node_id", (F.col("pos") + 1).alias("rank"))
+        better = memory.suggest_rewrites(hits, memory.query_weights(corpus.log, corpus.feedback), corpus.log)
+        lines = better.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))).alias("s"))
+        said = F.concat(F.lit("\n## Related queries\n\n"), F.array_join(F.transform("s", lambda x: F.concat(F.lit("- "), x["suggestion"], F.lit("\n"))), ""))
+        made = made.join(lines, "query_id", "left").withColumn("markdown", F.concat("markdown", F.coalesce(said, F.lit("")))).drop("s")
+    made = materialize(made.select(*columns, F.lit(False).alias("cached")), "bundles")
+    bundles = known.unionByName(made)
+    fresh = made.select("cache_key", "markdown", "node_ids", "exhausted").dropDuplicates(["cache_key"])
+    text = queries.select("query_id", F.col("text").alias("query_text"))
+    log = bundles.join(text, "query_id").select(F.col("query_id").cast("string").alias("query_id"), "query_text", F.lit("bundle").alias("cmd"), F.size("node_ids").alias("hits_count"), F.col("node_ids").alias("top_node_ids"), F.lit(options.neighbors).alias("neighbors"), T.query_key("query_text").alias("query_norm"), now.cast("timestamp").alias("timestamp"))
+    return Answer(bundles.drop("cache_key"), memory.cache_put(cache, fresh, now, key="cache_key"), log)
+
+
+def docs(listed: DataFrame, query: str = "", limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, title, source_file, as of a manifest) whose title or file holds the query: the rows, and one row of Markdown."""
+    from pyspark.sql import Window
+
+    found = grep.catalogue(listed, query, limit).select("doc_id", "title", "source_file")
+    placed = found.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("title", "doc_id")))
+    return found, export.docs_markdown(placed, query)
+
+
+def files(paths: DataFrame, pattern: str, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Paths whose last part matches a regex: the rows, and one row of Markdown."""
+    found = grep.locate(paths, pattern, limit)
+    return found, export.files_markdown(found, pattern)
+
+
+def history(log: DataFrame, substring: str = "", limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Newest logged queries: the rows, and one row of Markdown."""
+    found = memory.history(log, substring, limit)
+    return found, export.history_markdown(found)
+
+
 def triage(corpus: Corpus, queries: DataFrame, paths: DataFrame, options: BundleOptions = PRESETS["quick"], grep_limit: int = 50, file_limit: int = 50, top: int = 30) -> DataFrame:
     """Three engines fused by file: (query_id, item, score, rank). queries may have file_pattern, a regex for paths."""
     found = search.ranked(search.cascade(queries, corpus.posts, corpus.stats), corpus.leaves, queries, options.limit)
@@ -140,7 +201,7 @@ def triage(corpus: Corpus, queries: DataFrame, paths: DataFrame, options: Bundle
     lists = one.unionByName(two)
     if "file_pattern" in queries.columns:
         name = F.regexp_extract("path", r"([^/]*)/*$", 1)
-        named = paths.select("path").distinct().join(F.broadcast(queries.select("query_id", "file_pattern")), F.call_function("rlike", name, F.col("file_pattern")))
+        named = paths.select("path").distinct().join(broadcast_if_small(queries.select("query_id", "file_pattern")), F.call_function("rlike", name, F.col("file_pattern")))
         from pyspark.sql import Window
 
         placed = named.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("path")) - 1).where(F.col("pos") < file_limit)
@@ -149,7 +210,7 @@ def triage(corpus: Corpus, queries: DataFrame, paths: DataFrame, options: Bundle
 
 
 def get_node(nodes: DataFrame, ids: list[str], with_body: bool = True) -> DataFrame:
-    found = history.point_lookup(nodes, ids)
+    found = versions.point_lookup(nodes, ids)
     return found if with_body else found.drop("body_md", "body_plain")
 
 
@@ -167,12 +228,12 @@ def vacuum(tables: dict[str, DataFrame], keep_days: int | None = None, now: F.Co
 
     Tables that break an invariant are refused.
     """
-    broken = history.violations(tables["nodes"], tables["edges"]).limit(5).collect()
+    broken = versions.violations(tables["nodes"], tables["edges"]).limit(5).collect()
     if broken:
         raise ValueError("not consistent: " + ", ".join(f"{r['check']} {r.id}" for r in broken))
-    kept = {name: history.vacuum(t, keep_days, now) if name != "node_text" else t for name, t in tables.items()}
+    kept = {name: versions.vacuum(t, keep_days, now) if name != "node_text" else t for name, t in tables.items()}
     if "node_text" in kept:
-        kept["node_text"] = history.drop_orphans(kept["node_text"], kept["nodes"], "node_key")
+        kept["node_text"] = versions.drop_orphans(kept["node_text"], kept["nodes"], "node_key")
     counts = None
     for name in tables:
         row = tables[name].agg(F.lit(name).alias("table"), F.count("*").alias("before")).withColumn("after", kept[name].agg(F.count("*").alias("n")).scalar())

@@ -13,7 +13,9 @@ from ..operators import corpus, graph, grep, history, index, memory, rank, rende
 from ..operators.common import scratch_path
 from ..sources import readers, writers
 from . import api
+from .catalogue_more import MORE
 from .oracles import ORACLES
+from .oracles_more import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,7 +111,7 @@ def occurrences(spark: SparkSession, sf: str) -> DataFrame:
 def keyword_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Words by language, stop words out: count and documents."""
     rows = _read(spark, sf, "documents").select("lang", "doc_id", F.explode(T.fts_tokens("text")).alias("word"))
-    return rows.groupBy("lang", "word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n >= 5")
+    return rows.groupBy("lang", "word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @_query
@@ -275,8 +277,8 @@ def passage_mention_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _read(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.lit("current").alias("source_version"), F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ordinal"), F.lit(True).alias("is_active"), F.col("text").alias("body_plain"))
-    return graph.cooccurrence_edges(rows).select("doc_id", "from_node_id", "to_node_id", "confidence")
+    """Turns of a conversation that share tokens; the caps of a document are those of a conversation."""
+    return graph.cooccurrence_edges(_turns(spark, sf), min_shared=2).select("doc_id", "from_node_id", "to_node_id", "confidence")
 
 
 @_query
@@ -309,7 +311,7 @@ def _lists(spark: SparkSession, sf: str) -> DataFrame:
     rows = None
     for k, column in enumerate(("n_chars", "n_lines", "doc_id")):
         pos = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(column), "doc_id")) - 1
-        part = docs.select(F.col("lang").alias("query_id"), F.lit(k).alias("list_id"), pos.alias("pos"), F.col("doc_id").alias("item")).where("pos < 50")
+        part = docs.select(F.col("lang").alias("query_id"), F.lit(k).alias("list_id"), pos.alias("pos"), F.col("doc_id").alias("item"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
@@ -343,7 +345,7 @@ def proximity_bucket(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def learned_boost_order(spark: SparkSession, sf: str) -> DataFrame:
     hits = _log(spark, sf).groupBy(F.col("query_norm").alias("query_id"), "node_id").agg(F.max("timestamp").alias("t"))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("t")))).where("rank <= 20")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("t"), "node_id")))
     learned = memory.learned_weights(memory.fold_weights(_deltas(spark, sf), ["query_norm", "node_id"], ["ts", "seq"]), _now()).withColumnRenamed("query_norm", "query_id")
     return rank.learned_boost(hits, learned).select("query_id", "node_id", F.col("boosted").cast("long").alias("boosted"))
 
@@ -529,4 +531,6 @@ def triage(spark: SparkSession, sf: str) -> DataFrame:
     return api.triage(_corpus(spark, sf), _queries(spark, sf).withColumn("file_pattern", F.lit("^[0-9]+$")), paths)
 
 
+QUERIES |= MORE
+ORACLES |= SQL
 __all__ = ["ORACLES", "QUERIES"]

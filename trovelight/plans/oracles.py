@@ -27,7 +27,7 @@ SELECT id, coalesce(array_to_string(flatten(list_transform(runs, lambda r: list_
        CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i::INT, 2)) END))), ' '), '') AS tokens FROM v
 """
 ORACLES["occurrences"] = "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::BIGINT AS n_the, ((length(text) - length(replace(text, 'onon', ''))) // 4)::BIGINT AS n_onon FROM documents"
-ORACLES["keyword_frequency"] = f"SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT lang, doc_id, unnest({_tokens('text')}) AS word FROM documents) GROUP BY ALL HAVING count(*) >= 5"
+ORACLES["keyword_frequency"] = f"SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT lang, doc_id, unnest({_tokens('text')}) AS word FROM documents) GROUP BY ALL"
 
 
 def _bm25(optional: str, required: str, tail: str) -> str:
@@ -117,15 +117,15 @@ SELECT a.node_id AS from_node_id, b.node_id AS to_node_id FROM t a JOIN t b ON a
 WHERE b.w <> '' AND contains(a.form, lower(b.w)) AND regexp_matches(a.text, '(?i)(^|[^A-Za-z0-9_])' || b.w || '($|[^A-Za-z0-9_])')
 """
 ORACLES["cooccurrence_edges"] = f"""
-WITH d AS (SELECT * FROM (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 200),
-t AS (SELECT source, doc_id, unnest(range(len(x))) AS pos, unnest(x) AS token FROM (SELECT source, doc_id, {_tokens('text')} AS x FROM d)),
-c AS (SELECT source, doc_id, token, count(*) AS n, min(pos) AS f FROM t WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS r FROM c) WHERE r <= 12),
-z AS (SELECT doc_id, count(*) AS size FROM k GROUP BY doc_id HAVING count(*) >= 3),
-m AS (SELECT k.source, k.doc_id, token, size FROM k JOIN z USING (doc_id)),
-p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, round(count(*) / greatest(any_value(a.size), any_value(b.size)), 4) AS conf FROM m a JOIN m b ON a.source = b.source AND a.token = b.token AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3),
-w AS (SELECT source, a AS f, b AS t, conf FROM p UNION ALL SELECT source, b, a, conf FROM p)
-SELECT source AS doc_id, f AS from_node_id, t AS to_node_id, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY conf DESC, f, t) AS r FROM w) WHERE r <= 5000
+WITH d AS (SELECT * FROM (SELECT conv_id, {_NODE} AS node, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 200),
+t AS (SELECT conv_id, node, unnest(range(len(x))) AS pos, unnest(x) AS token FROM (SELECT conv_id, node, {_tokens('text')} AS x FROM d)),
+c AS (SELECT conv_id, node, token, count(*) AS n, min(pos) AS f FROM t WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, f) AS r FROM c) WHERE r <= 12),
+z AS (SELECT node, count(*) AS size FROM k GROUP BY node HAVING count(*) >= 2),
+m AS (SELECT k.conv_id, k.node, token, size FROM k JOIN z USING (node)),
+p AS (SELECT a.conv_id, a.node AS a, b.node AS b, round(count(*) / greatest(any_value(a.size), any_value(b.size)), 4) AS conf FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.token = b.token AND a.node < b.node GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT conv_id, a AS f, b AS t, conf FROM p UNION ALL SELECT conv_id, b, a, conf FROM p)
+SELECT conv_id AS doc_id, f AS from_node_id, t AS to_node_id, conf AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY conf DESC, f, t) AS r FROM w) WHERE r <= 5000
 """
 ORACLES["alias_extraction"] = """
 WITH a AS (SELECT DISTINCT p_type, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS alias FROM part),
@@ -146,11 +146,11 @@ l AS (SELECT lang AS query_id, 0 AS list_id, row_number() OVER (PARTITION BY lan
       UNION ALL SELECT lang, 2, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) - 1, doc_id FROM d)
 """
 ORACLES["rrf_fusion"] = f"""
-WITH {_LISTS}, s AS (SELECT query_id, item, sum(1.0::DOUBLE / (61 + pos)) AS score, min(struct_pack(a := list_id, b := pos)) AS f FROM l WHERE pos < 50 GROUP BY ALL)
+WITH {_LISTS}, s AS (SELECT query_id, item, sum(1.0::DOUBLE / (61 + pos)) AS score, min(struct_pack(a := list_id, b := pos)) AS f FROM l GROUP BY ALL)
 SELECT query_id, item, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, f.a, f.b) AS rank FROM s) WHERE rank <= 30
 """
 ORACLES["route_merge"] = f"""
-WITH {_LISTS}, s AS (SELECT query_id, item, min(CASE list_id WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END * 1000 + pos) AS place FROM l WHERE pos < 50 GROUP BY ALL)
+WITH {_LISTS}, s AS (SELECT query_id, item, min(CASE list_id WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END * 1000000000 + pos) AS place FROM l GROUP BY ALL)
 SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY place, item) AS rank FROM s
 """
 ORACLES["merge_dedupe"] = f"""
@@ -179,7 +179,7 @@ ORACLES["weights_fold"] = f"SELECT q AS query_norm, weight, pos_count, neg_count
 ORACLES["decayed_weights"] = f"SELECT q AS query_norm, node AS node_id, round(weight, 6) AS weight FROM ({_DECAY}) WHERE weight > 0.01"
 _HITS = "SELECT user_id::VARCHAR AS q, 'n' || json_extract_string(props, '$.k') AS node, max(ts) AS t FROM events GROUP BY ALL"
 ORACLES["learned_boost_order"] = f"""
-WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC) AS rank FROM ({_HITS})) WHERE rank <= 20),
+WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC, node) AS rank FROM ({_HITS}))),
 w AS (SELECT * FROM ({_DECAY}) WHERE weight > 0.01),
 j AS (SELECT h.*, CASE WHEN w.weight IS NOT NULL THEN row_number() OVER (PARTITION BY h.q ORDER BY w.weight DESC NULLS LAST, rank) END AS n FROM h LEFT JOIN w ON w.q = h.q AND w.node = h.node)
 SELECT q AS query_id, node AS node_id, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN n <= 5 THEN n END NULLS LAST, rank) AS boosted FROM j
@@ -224,7 +224,7 @@ SELECT q AS query_id, CASE WHEN score > 0 THEN n ELSE 1 END::BIGINT AS neighbors
 ORACLES["query_stats_top5"] = "SELECT user_id::VARCHAR AS query_norm, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, query_norm LIMIT 5"
 ORACLES["queries_last_7d"] = "SELECT count(*) AS queries, count(*) FILTER (ts >= TIMESTAMP '2024-02-01' - INTERVAL 7 DAY) AS queries_7d, count(*) FILTER (event_type IN ('purchase', 'error', 'view')) AS weights, count(*) AS feedback FROM events"
 ORACLES["rewrite_suggestions"] = f"""
-WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC) AS rank FROM ({_HITS})) WHERE rank <= 20),
+WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC, node) AS rank FROM ({_HITS}))),
 w AS (SELECT q, node, weight FROM ({_fold('q, node')}) WHERE weight > 0),
 b AS (SELECT h.q, w.q AS other, max(weight) AS weight FROM h JOIN w USING (node) WHERE h.q <> w.q GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY weight DESC, other) AS rank FROM b),

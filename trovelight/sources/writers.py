@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import broadcast_if_small
+from ..operators.export import SECTIONS, canonical_path
 from ..operators.render import node_markdown
 
 
@@ -17,51 +19,85 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in any store that Spark reaches: written beside its place, then renamed over it."""
+def create_text_file(spark: SparkSession, path: str, text: str) -> bool:
+    """A small new file in any store that Spark reaches, whole or not at all; False if the path is taken."""
     fs, target, jvm = _fs(spark, path)
+    if fs.exists(target):
+        return False
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"cannot put {path} in place")
+    try:  # a rename that doesn't overwrite lets one of several writers win
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(part, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:  # noqa: BLE001  what Java throws
+        fs.delete(part, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
 
 
 class SnapshotStore:
-    """Tables in versioned folders; CURRENT names the live one. A build is complete before the pointer moves, so readers see the old or the new."""
+    """Tables in versioned folders. Pointers are numbered files that never change: the largest number holds.
+
+    A pointer maps each table to the version that has it. It is created once its tables are complete, so readers
+    see the old state or the new, and a publisher whose base has moved on meanwhile is refused.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _pointers(self) -> list[int]:
+        fs, folder, _ = _fs(self.spark, f"{self.root}/pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _tables(self, number: int) -> dict[str, str]:
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/pointers/{number:08d}").collect()))
+
     def current(self) -> str | None:
-        fs, pointer, _ = _fs(self.spark, f"{self.root}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first().value.strip()
+        found = self._pointers()
+        return f"{found[-1]:08d}" if found else None
+
+    def has(self, table: str) -> bool:
+        found = self._pointers()
+        return bool(found) and table in self._tables(found[-1])
 
     def read(self, table: str) -> DataFrame:
-        version = self.current()
-        if version is None:
+        found = self._pointers()
+        if not found:
             raise FileNotFoundError(f"{self.root} holds no snapshot")
-        return self.spark.read.parquet(f"{self.root}/{version}/{table}")
+        return self.spark.read.parquet(f"{self.root}/{self._tables(found[-1])[table]}/{table}")
+
+    def publish(self, tables: dict[str, DataFrame], check=None, keep: int = 2, keep_others: bool = False) -> str:  # noqa: ANN001
+        """Write the tables, let check(read) refuse them, then switch. With keep_others the other tables stay as they are.
 
-    def publish(self, tables: dict[str, DataFrame], check=None, keep: int = 2) -> str:  # noqa: ANN001
-        """Write all tables to a new version, let check(read) refuse it, then switch. The newest keep versions stay."""
-        fs, root, jvm = _fs(self.spark, self.root)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")) if fs.exists(root) else []
-        version = f"v={int(names[-1][2:]) + 1 if names else 1:08d}"
+        The states of the newest keep pointers stay readable; folders that none of them names go.
+        """
+        before = self._pointers()
+        base = before[-1] if before else 0
+        version = f"v={base + 1:08d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
+            df.write.parquet(f"{self.root}/{version}/{name}")
         if check is not None:
             check(lambda table: self.spark.read.parquet(f"{self.root}/{version}/{table}"))
-        write_text_file(self.spark, f"{self.root}/CURRENT", version)
-        for old in [*names, version][:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{old}"), True)
+        listed = (self._tables(base) if keep_others and base else {}) | dict.fromkeys(tables, version)
+        if not create_text_file(self.spark, f"{self.root}/pointers/{base + 1:08d}", json.dumps(listed, sort_keys=True)):
+            self._drop(version)
+            raise RuntimeError(f"{self.root} has a newer state than the one that this build began with")
+        held = [*before, base + 1]
+        named = {v for n in held[-keep:] for v in self._tables(n).values()}
+        gone = {v for n in held[:-keep] for v in self._tables(n).values()} - named
+        for old in [*sorted(gone), *(f"pointers/{n:08d}" for n in held[:-keep])]:
+            self._drop(old)
         return version
 
+    def _drop(self, name: str) -> None:
+        fs, path, _ = _fs(self.spark, f"{self.root}/{name}")
+        fs.delete(path, True)
+
 
 def write_markdown_tree(nodes: DataFrame, path: str) -> None:
     """Each node's Markdown with frontmatter, in folders by document."""
@@ -71,16 +107,21 @@ def write_markdown_tree(nodes: DataFrame, path: str) -> None:
 
 
 def prefix_shards(rows: DataFrame, name: str, max_rows: int = 200, max_len: int = 4) -> DataFrame:
-    """rows with shard: the shortest prefix of name, up to max_len characters, that max_rows rows at most share."""
+    """rows with shard: the shortest prefix of name, up to max_len characters, that max_rows rows at most share.
+
+    Prefixes that more rows share are counted map-side in one pass; they are few, and broadcast if they are.
+    """
     clean = F.trim(F.coalesce(F.col(name), F.lit("")))
+    prefixes = F.array(*[F.substring(clean, 1, n) for n in range(1, max_len)])
+    counts = rows.select(F.posexplode(prefixes).alias("n", "prefix")).groupBy("n", "prefix").agg(F.count("*").alias("rows")).where(F.col("rows") > max_rows)
+    large = broadcast_if_small(counts.select((F.col("n") + 1).alias("n"), "prefix"))
     out = rows.withColumns({f"_p{n}": F.substring(clean, 1, n) for n in range(1, max_len + 1)})
     for n in range(1, max_len):
-        sizes = out.groupBy(f"_p{n}").agg(F.count("*").alias(f"_c{n}")).withColumnRenamed(f"_p{n}", f"_k{n}")
-        out = out.join(sizes, F.col(f"_p{n}") == F.col(f"_k{n}")).drop(f"_k{n}")
+        out = out.join(large.where(F.col("n") == n).select(F.col("prefix").alias(f"_k{n}")), F.col(f"_p{n}") == F.col(f"_k{n}"), "left")
     shard = F.col(f"_p{max_len}")
     for n in range(max_len - 1, 0, -1):
-        shard = F.when(F.col(f"_c{n}") <= max_rows, F.col(f"_p{n}")).otherwise(shard)
-    return out.withColumn("shard", shard).drop(*[f"_p{n}" for n in range(1, max_len + 1)], *[f"_c{n}" for n in range(1, max_len)])
+        shard = F.when(F.col(f"_k{n}").isNull(), F.col(f"_p{n}")).otherwise(shard)
+    return out.withColumn("shard", shard).drop(*[f"_p{n}" for n in range(1, max_len + 1)], *[f"_k{n}" for n in range(1, max_len)])
 
 
 #: Names that some file systems keep for devices.
@@ -102,14 +143,31 @@ def write_sharded_index(rows: DataFrame, path: str, name: str, **limits: int) ->
     placed.groupBy("shard").agg(F.count("*").alias("rows")).coalesce(1).orderBy("shard").write.mode("overwrite").option("sep", "\t").option("header", "true").csv(f"{path}/_shards")
 
 
-def export_contract(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
-    """One folder of JSON lines per section (documents, nodes, edges, aliases, locators), each globally sorted by its keys."""
-    for section, (rows, keys) in tables.items():
-        rows.orderBy(*keys).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{section}")
+def export_contract(sections: dict[str, DataFrame], path: str) -> None:
+    """One folder of JSON lines per section of operators.export.sections(), each globally sorted by its keys."""
+    for section, rows in sections.items():
+        rows.orderBy(*SECTIONS[section]).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{section}")
 
 
-def read_contract(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    return {section: spark.read.schema(schema).json(f"{path}/{section}") for section, schema in schemas.items()}
+def read_contract(spark: SparkSession, path: str, like: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The sections of an export, with the schemas of `like`."""
+    return {section: spark.read.schema(df.schema).json(f"{path}/{section}") for section, df in like.items()}
+
+
+def write_canonical_texts(texts: DataFrame, path: str) -> None:
+    """Canonical texts (doc_id, source_version, text), one file each, in a folder named by canonical_path()."""
+    rows = texts.select(canonical_path().alias("file"), F.regexp_replace("text", r"\n\z", "").alias("value"))
+    rows.write.mode("overwrite").partitionBy("file").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_manifest(manifest: DataFrame, path: str, title: str) -> None:
+    """Manifest rows as JSON lines, sorted, with the corpus title in each."""
+    manifest.withColumn("corpus_title", F.lit(title)).orderBy("doc_id", "source_version", F.desc("active_version")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_build_state(state: DataFrame, path: str) -> None:
+    """One JSON line per document and version, sorted; a complete new folder takes the place of the old one."""
+    state.orderBy("doc_id", "source_version").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def canonical_json(value: object) -> str:
@@ -123,9 +181,3 @@ def canonical_json(value: object) -> str:
         return [rounded(x) for x in v] if isinstance(v, (list, tuple)) else v
 
     return json.dumps(rounded(value), ensure_ascii=False, sort_keys=True, indent=2) + "\n"
-
-
-def corpus_manifest(docs: DataFrame, title: str) -> dict:
-    """Title and one entry per document, sorted: small enough for a person to read, so for a file too."""
-    rows = docs.select("doc_id", "title", "source_file", "source_version", "text_fingerprint").orderBy("doc_id", "source_version")
-    return {"title": title, "docs": [r.asDict() for r in rows.toLocalIterator()]}

@@ -62,8 +62,8 @@ def upsert_sink(store, table: str, key: list[str]):  # noqa: ANN001, ANN201
     from ..operators.graph import upsert
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fresh = store.current() is None
-        store.publish({table: batch if fresh else upsert(store.read(table), batch, key)})
+        fresh = store.current() is None or not store.has(table)
+        store.publish({table: batch if fresh else upsert(store.read(table), batch, key)}, keep_others=True)
 
     return apply
 
