@@ -1,6 +1,7 @@
 """Chunks, search, graph, history, memory, storage and streams on small tables."""
 
 import io
+import json
 import math
 import random
 import sqlite3
@@ -445,3 +446,60 @@ def test_stream_equals_batch(spark, tmp_path):
         last[r.node_id] = (r.weight, r.pos_count, r.neg_count)
     want = {r.node_id: (r.weight, r.pos_count, r.neg_count) for r in memory.fold_weights(df, ["query_norm", "node_id"], ["ts", "seq"]).collect()}
     assert {k: v for k, v in last.items() if k != "z"} == want
+
+
+def test_pages_of_a_tree(spark):
+    from trovelight.operators import tree
+
+    chunks_ = spark.createDataFrame([("d", f"chunk-{k}", k, s) for k, s in enumerate([[], ["T"], ["T", "A"], ["T", "A"], ["T", "B"]])] + [("e", "chunk-0", 0, [])], "doc_id string, chunk_id string, ordinal int, stack array<string>")
+    toc = corpus.chapter_toc(chunks_)
+    pages = {x.doc_id: x.markdown for x in tree.contents_page(toc, spark.createDataFrame([("d", "D"), ("f", "F")], "doc_id string, title string")).collect()}
+    assert pages["f"] == "# F 章节目录\n\n> 无章节信息。\n"
+    assert pages["d"] == "# D 章节目录\n\n| 章节 | Chunk 范围 |\n|---|---|\n| (未分类) | chunk-0 ~ chunk-0 |\n| T | chunk-1 ~ chunk-1 |\n| A | chunk-2 ~ chunk-3 |\n| B | chunk-4 ~ chunk-4 |\n\n共 4 章，5 个 chunks。\n"
+    docs = spark.createDataFrame([("d", "D", "f.md", "/p/f.md", "v1", "h", "x")], "doc_id string, title string, source_file string, source_path string, source_version string, doc_hash string, active_parser string")
+    md = tree.metadata_page(docs).first().markdown
+    read = readers.metadata_lines(spark.createDataFrame([(md,)], "text string")).first()
+    assert (read.source_file, read.source_path, read.source_version, read.doc_hash, read.active_parser) == ("f.md", "/p/f.md", "v1", "h", "x")
+    stats = corpus.chunk_statistics(spark.createDataFrame([("d", "abc"), ("d", "abcde")], "doc_id string, text string"))
+    report = json.loads(tree.structure_report(docs, stats).first().json)
+    assert report["selected_report"]["stats"] == {"chunk_count": 2, "avg_chunk_chars": 4.0, "min_chunk_chars": 3, "max_chunk_chars": 5} and report["runner_ups"] == []
+
+
+def test_text_of_a_tree(spark):
+    from trovelight.operators import tree
+
+    rows = [
+        ("c1", "chapter", None, 2, "intro\n\nfirst\nmore"), ("s1", "section", "c1", 1, "first\nmore"), ("s2", "section", "c1", 2, "head\n\nleaf line\nx"),
+        ("l1", "block", "s2", 1, "leaf line\nother"), ("i1", "item", "c1", 3, "item"), ("u1", "block", "i1", 1, "under item"), ("c0", "chapter", "", 1, "  zero \n"), ("lost", "block", "nowhere", 1, "lost"),
+    ]
+    nodes_ = spark.createDataFrame([("d", "v", i, k, p, o, f"{i}.md", True, b) for i, k, p, o, b in rows], "doc_id string, source_version string, node_id string, kind string, parent_id string, ordinal int, ref_path string, is_active boolean, body_md string")
+    assert tree.tree_texts(nodes_).first().text == "zero\n\nintro\n\nfirst\nmore\n\nhead\n\nleaf line\nother\n"
+    by = tree.ids_by_content(spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "path string, text string"))
+    ids = {x.path: x.doc_id for x in by.collect()}
+    assert ids["b"] == ids["a"] + "-2" and len(set(ids.values())) == 3
+
+
+def test_names_paths_errors_hooks():
+    from trovelight import errors
+    from trovelight.operators import tree
+
+    assert tree.safe_name("my-books") == "my-books" and tree.below("/r/", "a/../b") == "/r/b"
+    for bad in ("", "-a", "a--b", "A", "a" * 65):
+        with pytest.raises(errors.ConfigError):
+            tree.safe_name(bad)
+    for bad in ("../x", "/x", "a/../../x", "C:/x", "", "keep"):
+        with pytest.raises(errors.ConfigError):
+            tree.below("/r", bad, ("keep",))
+    try:
+        raise KeyError("x") from errors.IntegrityError("y")
+    except KeyError as e:
+        assert errors.exit_code(e) == 4
+    assert errors.exit_code(KeyError()) == 1
+
+    def known(df):
+        return df
+
+    hooks = api.Hooks(allowed=("known",))
+    hooks.add("pre_search", known)
+    with pytest.raises(errors.ConfigError):
+        hooks.add("pre_search", lambda df: df)

@@ -237,9 +237,9 @@ def title_keywords(title: Column | str) -> Column:
 
 
 def chunk_title(chunk_id: Column | str, text: Column | str) -> Column:
-    """The id and the first line that isn't blank, without heading and quote marks, of 80 characters at most."""
+    """The id and the first line that isn't blank, without heading marks and double quotes, of 80 characters at most."""
     lines = F.filter(F.split(F.coalesce(_col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    line = F.trim(F.regexp_replace(F.trim(F.get(lines, F.lit(0))), r"^[#>\s]+", ""))
+    line = F.trim(F.replace(F.regexp_replace(F.trim(F.get(lines, F.lit(0))), r"^#{1,6}\s+", ""), F.lit('"'), F.lit("")))
     cut = F.when(F.char_length(line) > 80, F.concat(F.rtrim(F.substring(line, 1, 80)), F.lit("…"))).otherwise(line)
     return F.when(F.coalesce(cut, F.lit("")) == "", _col(chunk_id)).otherwise(F.concat_ws(" ", _col(chunk_id), cut))
 

@@ -83,10 +83,13 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def chapter_toc(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chapter, first, last, chunks): chunks by outermost heading, or by the next level where there is only one outermost."""
+    """(doc_id, chapter, first, last, chunks): chunks by outermost heading, or by the next level where there is only one outermost.
+
+    Chunks under no heading are one chapter, (未分类).
+    """
     levels = chunks.groupBy("doc_id").agg(F.countDistinct(F.get("stack", F.lit(0))).alias("tops"))
-    level = F.when(F.col("tops") == 1, F.lit(1)).otherwise(F.lit(0))
-    named = chunks.join(levels, "doc_id").withColumn("chapter", F.coalesce(F.get("stack", level), F.get("stack", F.lit(0)), F.lit("")))
+    level = F.when(F.col("tops") <= 1, F.lit(1)).otherwise(F.lit(0))
+    named = chunks.join(levels, "doc_id").withColumn("chapter", F.coalesce(F.get("stack", level), F.get("stack", F.lit(0)), F.lit("(未分类)")))
     return named.groupBy("doc_id", "chapter").agg(F.min_by("chunk_id", "ordinal").alias("first"), F.max_by("chunk_id", "ordinal").alias("last"), F.count("*").alias("chunks"))
 
 

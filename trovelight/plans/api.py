@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError, IntegrityError
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import export, graph, grep, memory, rank, render, search
@@ -48,19 +49,26 @@ def parse_edge_types(text: str | None) -> tuple[str, ...]:
     names = tuple(dict.fromkeys((text or "").replace(",", " ").split()))
     unknown = [n for n in names if n not in K.EDGE_TYPES]
     if unknown:
-        raise ValueError(f"no such edge type: {', '.join(unknown)}")
+        raise ConfigError(f"no such edge type: {', '.join(unknown)}")
     return names or K.DEFAULT_WALK
 
 
 class Hooks:
-    """Functions DataFrame -> DataFrame at named stages of a query; nothing runs that wasn't registered by the caller."""
+    """Functions DataFrame -> DataFrame at named stages of a query; nothing runs that wasn't registered by the caller.
+
+    With allowed, only functions of these names can be registered.
+    """
 
     STAGES = ("pre_search", "post_search", "pre_expand", "pre_render")
 
-    def __init__(self) -> None:
+    def __init__(self, allowed: tuple[str, ...] | None = None) -> None:
+        self.allowed = allowed
         self.at: dict[str, list[Callable[[DataFrame], DataFrame]]] = {s: [] for s in self.STAGES}
 
     def add(self, stage: str, hook: Callable[[DataFrame], DataFrame]) -> None:
+        name = getattr(hook, "__name__", "")
+        if stage not in self.at or self.allowed is not None and name not in self.allowed:
+            raise ConfigError(f"{name or hook} can't be a hook of {stage}")
         self.at[stage].append(hook)
 
     def run(self, stage: str, df: DataFrame) -> DataFrame:
@@ -217,7 +225,7 @@ def get_node(nodes: DataFrame, ids: list[str], with_body: bool = True) -> DataFr
 def search_lines(docs: DataFrame, pattern: str = "", query: str = "", fixed: bool = False, per_file: int = 0) -> DataFrame:
     """Exact line search: a pattern (regex, or fixed text with punctuation taken either way), or any word of a query."""
     if bool(pattern) == bool(query):
-        raise ValueError("give a pattern or a query")
+        raise ConfigError("give a pattern or a query")
     if query:
         return grep.grep_any(docs, query.split(), per_file)
     return grep.grep_tolerant(docs, pattern, per_file) if fixed else grep.grep(docs, pattern, per_file=per_file)
@@ -230,7 +238,7 @@ def vacuum(tables: dict[str, DataFrame], keep_days: int | None = None, now: F.Co
     """
     broken = versions.violations(tables["nodes"], tables["edges"]).limit(5).collect()
     if broken:
-        raise ValueError("not consistent: " + ", ".join(f"{r['check']} {r.id}" for r in broken))
+        raise IntegrityError("not consistent: " + ", ".join(f"{r['check']} {r.id}" for r in broken))
     kept = {name: versions.vacuum(t, keep_days, now) if name != "node_text" else t for name, t in tables.items()}
     if "node_text" in kept:
         kept["node_text"] = versions.drop_orphans(kept["node_text"], kept["nodes"], "node_key")
@@ -250,7 +258,7 @@ def log_rows(spark: SparkSession, query_text: str, cmd: str, node_ids: list[str]
 
 def feedback_rows(spark: SparkSession, query_id: str, node_id: str, feedback_type: str, context: str = "") -> DataFrame:
     if feedback_type not in K.FEEDBACK_STEP:
-        raise ValueError(f"feedback is one of {', '.join(K.FEEDBACK_STEP)}")
+        raise ConfigError(f"feedback is one of {', '.join(K.FEEDBACK_STEP)}")
     row = (uuid.uuid4().hex[:16], query_id, node_id, feedback_type, context)
     return spark.createDataFrame([row], "feedback_id string, query_id string, node_id string, feedback_type string, context string").withColumn("timestamp", F.current_timestamp())
 
@@ -261,7 +269,7 @@ def run_policy(state: dict, actions: dict[str, Callable[[dict], dict]], budget:
     now = dict(state)
     while len(trace) < budget and (name := now.pop("next", None)):
         if name not in actions:
-            raise ValueError(f"no such action: {name}")
+            raise ConfigError(f"no such action: {name}")
         now = {**now, **actions[name](dict(now))}
         trace.append(name)
     return now, trace

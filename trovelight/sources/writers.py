@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import BuildError
 from ..operators.common import broadcast_if_small
 from ..operators.export import SECTIONS, canonical_path
 from ..operators.render import node_markdown
@@ -86,7 +87,7 @@ class SnapshotStore:
         listed = (self._tables(base) if keep_others and base else {}) | dict.fromkeys(tables, version)
         if not create_text_file(self.spark, f"{self.root}/pointers/{base + 1:08d}", json.dumps(listed, sort_keys=True)):
             self._drop(version)
-            raise RuntimeError(f"{self.root} has a newer state than the one that this build began with")
+            raise BuildError(f"{self.root} has a newer state than the one that this build began with")
         held = [*before, base + 1]
         named = {v for n in held[-keep:] for v in self._tables(n).values()}
         gone = {v for n in held[:-keep] for v in self._tables(n).values()} - named
