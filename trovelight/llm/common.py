@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/trovelight/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/trovelight/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -45,7 +45,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.held_at = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more. Others are left alone."""
+    for df in tables:
+        if path := getattr(df, "held_at", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bound_batches(spark: SparkSession, most: str = "8m") -> None:

@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join on the node; a hub's rows are pre-aggregated map-side in the
-one and split by adaptive execution in the other. Each round is written to the shared folder.
+one and split by adaptive execution in the other. Each round is written to the shared folder, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = mark
+        before, old = mark, now
         now = materialize(_star(_star(now, large=True), large=False), "edges")
+        release(old)
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize
+from .common import as_bytes, bound_batches, materialize, release
 from .components import connected_components
 from .simhash import links as simhash_links
 
@@ -229,9 +229,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filled = dealt.join(sets, "node").select(*task, "second", "node", "shingles").repartition(*task).sortWithinPartitions(*task, "second", "node")
     more = materialize(filled.mapInArrow(_settle(tenths), "a bigint, b bigint"), "links")
 
-    nodes = connected_components(links.unionByName(more)).distinct()
+    nodes = materialize(connected_components(links.unionByName(more)).distinct(), "nodes")
     merged = classes.join(nodes.select(F.col("node").alias("h1"), "component"), "h1", "left").select(*key, "rep", "rep_hash", F.coalesce("component", "h1").alias("component"))
     merged = materialize(merged, "merged")
+    release(nodes, more, label, links, sets, pairs, buckets, of_fp, classes)
     first = F.min_by(F.struct(F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash")), F.struct(F.col("rep").isNull(), "rep", "rep_hash"))
     smallest = merged.groupBy("component").agg(first.alias("first"))
     told = merged.join(smallest, "component").select(*key, "first")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize
+from .common import as_bytes, bound_batches, materialize, release
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
@@ -369,7 +369,9 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int | None = None, b
         raise ValueError("grams are shorter than the strings, and not empty")
     # Splitters are sampled from whole suffixes, so fewer of them for each bucket go to the driver than Spark's 100.
     docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", 20)
-    marks = materialize(_marks(materialize(anchor_rows(docs, length, gram), "anchors"), heavy_grams), "marks")
+    found = materialize(anchor_rows(docs, length, gram), "anchors")
+    marks = materialize(_marks(found, heavy_grams), "marks")
+    release(found)
     settled = marks.where(F.col("twice") & (F.col("high") - F.col("low") >= length)).select("doc_id", "key", F.col("low").alias("start"), F.col("high").alias("end"))
     asks = marks.where("asks")
     tie = F.xxhash64("doc_id", "key", "pos")

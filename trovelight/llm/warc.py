@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, release
 
 _RECORD = "urn:trovelight:page:"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # of Spark's conv
@@ -71,6 +71,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if largest[str(low)] is not None or low == 0:
             most = max(1, min(max_records, archive_bytes // max(largest[str(low)] or 1, 1)))
             _write_class(rows.where(F.col("size").between(low, high - 1)), revisits, f"{path}/size-from={low}", most)
+    release(slim)
 
 
 def _classes() -> list[tuple[int, int]]:
