@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm.common import materialize
+from trovelight.llm.common import materialize, release
 from trovelight.llm.line_dedup import apply_bitmaps, line_bitmaps
 from trovelight.llm.near_dedup import near_representatives
 from trovelight.llm.packing import PACKING_WEIGHTS, pack_sequences
@@ -92,5 +92,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs, done = materialize(stage(spark, docs, sf_dir), name), docs
+        release(done)
     return STAGES[-1][1](spark, docs, sf_dir)
