@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import materialize
+
+
+def _terms(nodes: DataFrame, key: str, body: str) -> DataFrame:
+    """(node_key, terms). Bodies are dealt out by node ahead of the cutting, so large row groups are no single task's."""
+    dealt = nodes.select(F.col(key).alias("node_key"), F.col(body).alias("body")).repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node_key")
+    return dealt.select("node_key", T.index_terms(T.fts_tokens("body")).alias("terms"))
+
+
+def _folded(terms: DataFrame) -> DataFrame:
+    placed = terms.select("node_key", F.size("terms").cast("long").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    return placed.groupBy("node_key", "dl", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("at")).select("node_key", "term", "tf", "at", "dl")
 
 
 def postings(nodes: DataFrame, key: str = "node_key", body: str = "body_plain") -> DataFrame:
     """(node_key, term, tf, at, dl): occurrences of a term in a node, their positions, and the node's terms in all.
 
-    A node's terms are folded inside its row (sorted, then cut into runs), so nothing is shuffled.
+    A node's rows are one task's, so they are folded there without another shuffle.
     """
-    terms = F.transform(T.index_terms(T.fts_tokens(body)), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    placed = nodes.select(F.col(key).alias("node_key"), F.array_sort(terms).alias("s")).where(F.size("s") > 0)
-    s = F.col("s")
-    opens = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-    cut = placed.select("node_key", "s", opens.alias("opens"))
-
-    def run(first, k):  # noqa: ANN001, ANN202
-        n = F.coalesce(F.get(F.col("opens"), k + 1), F.size(s)) - first
-        return F.struct(F.get(s, first)["term"].alias("term"), n.alias("tf"), F.transform(F.slice(s, first + 1, n), lambda x: x["pos"]).alias("at"))
-
-    runs = cut.select("node_key", F.size(s).cast("long").alias("dl"), F.explode(F.transform("opens", run)).alias("x"))
-    return runs.select("node_key", "x.term", F.col("x.tf").cast("long").alias("tf"), "x.at", "dl")
+    return _folded(_terms(nodes, key, body))
 
 
 def doc_stats(nodes: DataFrame, key: str = "node_key", body: str = "body_plain") -> DataFrame:
     """(node_key, dl): terms of each node, nodes without any among them."""
-    return nodes.select(F.col(key).alias("node_key"), F.size(T.index_terms(T.fts_tokens(body))).cast("long").alias("dl"))
+    return _terms(nodes, key, body).select("node_key", F.size("terms").cast("long").alias("dl"))
 
 
 def token_stats(posts: DataFrame) -> DataFrame:
@@ -37,15 +38,23 @@ def token_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def batch_index(nodes: DataFrame, key: str = "node_key", body: str = "body_plain") -> tuple[DataFrame, DataFrame]:
+    """(postings, doc_stats) for one batch of queries, folded once and not sorted: such a batch reads most of it anyway."""
+    terms = materialize(_terms(nodes, key, body), "terms")
+    return materialize(_folded(terms), "postings"), terms.select("node_key", F.size("terms").cast("long").alias("dl"))
+
+
 def build_index(nodes: DataFrame, path: str, partitions: int = 64, key: str = "node_key", body: str = "body_plain") -> None:
     """Write postings, by hash of term and sorted by term, and doc_stats: later queries read only their terms' row groups.
 
-    A frequent term fills several files of its shard, so its postings are no single task's.
+    A frequent term fills several files of its shard, so its postings are no single task's. Bodies are cut into terms
+    once; what samples the range and what writes it reads these.
     """
-    posts = postings(nodes, key, body).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int"))
+    terms = materialize(_terms(nodes, key, body), "terms")
+    posts = _folded(terms).withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int"))
     spread = posts.repartitionByRange("shard", "term", "node_key")
     spread.sortWithinPartitions("shard", "term", "node_key").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    doc_stats(nodes, key, body).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    terms.select("node_key", F.size("terms").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import corpus, graph, grep, history, index, memory, rank, render, search
-from ..operators.common import scratch_path
 from ..sources import readers, writers
 from . import api
 from .catalogue_more import MORE
@@ -124,9 +123,7 @@ def keywords_greedy(spark: SparkSession, sf: str) -> DataFrame:
 
 def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The index of documents, built once for a query and read by each of its steps."""
-    path = scratch_path(spark, "index")
-    index.build_index(_nodes(spark, sf), path)
-    return index.read_index(spark, path)
+    return index.batch_index(_nodes(spark, sf))
 
 
 def _topk(spark: SparkSession, sf: str, mode: str, must: bool, limit: int = 20) -> DataFrame:
