@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trovelight.functions import arrow as A
 from trovelight.functions import constants as K
 from trovelight.operators import corpus, export, graph, grep, history, index, memory, rank, render, search
-from trovelight.plans import api
+from trovelight.plans import api, catalogue
 from trovelight.sources import readers, writers
 
 
@@ -503,3 +503,11 @@ def test_names_paths_errors_hooks():
     hooks.add("pre_search", known)
     with pytest.raises(errors.ConfigError):
         hooks.add("pre_search", lambda df: df)
+
+
+def test_rewrites_from_every_node(spark, tmp_path):
+    # One user looked at 30 nodes; the other learned only the oldest of them.
+    rows = [(i, f"2024-01-01 00:00:{i:02}", 1, "click", f'{{"k": {i}}}') for i in range(30)] + [(30, "2024-01-02 00:00:00", 2, "view", '{"k": 0}')]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["rewrite_suggestions"](spark, str(tmp_path)).collect()] == [("1", "User 2 view", 1)]

@@ -86,12 +86,13 @@ def latest_text(log: DataFrame) -> DataFrame:
     return log.groupBy("query_norm").agg(F.max_by("query_text", F.struct("timestamp", "query_id")).alias("query_text"))
 
 
-def suggest_rewrites(hits: DataFrame, weights: DataFrame, log: DataFrame, nodes: int = 20, limit: int = 3) -> DataFrame:
+def suggest_rewrites(hits: DataFrame, weights: DataFrame, log: DataFrame, nodes: int | None = 20, limit: int = 3) -> DataFrame:
     """(query_id, suggestion, rank): other queries that learned one of a query's first nodes, the strongest first.
 
-    hits: query_id, query_norm, node_id, rank.
+    hits: query_id, query_norm, node_id, rank. Without nodes all of them count, and rank isn't read.
     """
-    top = hits.where(F.col("rank") <= nodes).select("query_id", F.col("query_norm").alias("own"), "node_id").distinct()
+    first = hits if nodes is None else hits.where(F.col("rank") <= nodes)
+    top = first.select("query_id", F.col("query_norm").alias("own"), "node_id").distinct()
     found = top.join(weights.where("weight > 0").select("node_id", "query_norm", "weight"), "node_id").where("query_norm <> own")
     best = found.groupBy("query_id", "query_norm").agg(F.max("weight").alias("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "query_norm")
