@@ -425,6 +425,19 @@ def plain_merges(model, unit, skips):
     return tuple(out)
 
 
+def test_pieces_held_in_arrays():
+    """What is remembered lies in arrays, which grow and are dropped without changing an id."""
+    model, r = PieceModel(model_path()), random.Random(8)
+    words = ["".join(r.choice("etaoinshrdlué\U0001f642") for _ in range(r.randint(1, 40))) for _ in range(70_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)] + ["", "  ", words[0]]
+    documents = list(range(len(texts)))
+    first = model.encode_many(texts, documents, 0.1, 3)
+    assert model.made.ids.dtype == np.int32 and len(model.made) > 1 << 16
+    assert all(np.array_equal(a, b) for a, b in zip(first, model.encode_many(texts, documents, 0.1, 3, remember=1000), strict=True))
+    for t, ids in zip(texts[:20], model.encode_many(texts[:20], documents[:20]), strict=True):
+        assert ids.tolist() == [i for w in t.split(" ") for i in model.segment("▁" + w)]
+
+
 @pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
 def test_merges_of_many_units(rate):
     """Units segmented at once, one by one by agenda, and by a plain loop give the same ids under the same skips."""

@@ -41,6 +41,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 #: Longer units are rare and are segmented one by one.
 LONG = 32
+#: Beyond all candidates of an agenda.
+_NONE = np.int32(1 << 30)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +65,49 @@ def skip_gaps(keys: np.ndarray, nth: int | np.ndarray, rate: float) -> np.ndarra
     return np.minimum(np.log(share) / np.log1p(-rate), 2.0**31).astype(np.int64)
 
 
+class Results:
+    """Ids of nodes, one behind the other, in arrays that grow. An item is a node's ids as bytes."""
+
+    def __init__(self) -> None:
+        self.begin, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.nodes = self.used = 0
+
+    def __len__(self) -> int:
+        return self.nodes
+
+    def __getitem__(self, node: int) -> bytes:
+        return self.ids[self.begin[node] : self.begin[node] + self.count[node]].tobytes()
+
+    def extend(self, nodes: int) -> None:
+        """More nodes, without ids so far."""
+        self.nodes += nodes
+        if self.nodes > len(self.begin):
+            self.begin, self.count = np.resize(self.begin, 2 * self.nodes), np.resize(self.count, 2 * self.nodes)
+
+    def put(self, nodes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        ends = self.used + np.cumsum(counts)
+        self.begin[nodes], self.count[nodes] = ends - counts, counts
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def joined(self, nodes: np.ndarray, others: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all nodes in turn, and how many each has; others gives those at some places."""
+        counts = self.count[nodes]
+        for i, ids in others.items():
+            counts[i] = len(ids)
+        starts = np.cumsum(counts) - counts
+        from_ = np.repeat(self.begin[nodes] - starts, counts)
+        from_ += np.arange(len(from_))
+        for i, ids in others.items():
+            from_[starts[i] : starts[i] + len(ids)] = 0
+        out = self.ids[from_]
+        for i, ids in others.items():
+            out[starts[i] : starts[i] + len(ids)] = ids
+        return out, counts
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -86,11 +131,13 @@ class PieceModel:
         for c in sorted({c for piece in self.ids for c in piece} - set(self.char_id)):
             self.char_id[c] = n + len(self.char_id)
         known = self.ids | self.char_id
-        self.order = np.zeros(n, np.int64)
+        self.of_char = np.full(0x110000, -2, np.int32)
+        self.of_char[[ord(c) for c in self.char_id]] = list(self.char_id.values())
+        self.agenda_key = np.full(n + 1, _NONE, np.int32)  # the last one is that of no piece
         self.slot_key, self.slot_id = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int32)
         for rank, piece in enumerate(sorted((p for p in self.ids), key=lambda p: self.rank[p])):
             made = self.ids[piece]
-            self.order[made] = rank
+            self.agenda_key[made] = rank << 6
             for cut in range(1, len(piece)):
                 a, b = known.get(piece[:cut]), known.get(piece[cut:])
                 if a is not None and b is not None:
@@ -104,7 +151,8 @@ class PieceModel:
     def forget(self) -> None:
         """Drop what is remembered: results (nodes) by unit and skipped candidates. Node 0 stands for long units."""
         self.units, self.skips = [""], [b""]
-        self.made: list[bytes] = [b""]
+        self.made = Results()
+        self.made.extend(1)
         self.popped = np.zeros(1 << 16, np.int64)
         self.root: dict[str, int] = {}
         self.child: dict[int, int] = {}  # by node << 8 | the next candidate that is skipped
@@ -154,7 +202,7 @@ class PieceModel:
         nodes = range(first, first + len(units))
         self.units += units
         self.skips += skips
-        self.made += [b""] * len(units)
+        self.made.extend(len(units))
         if len(self.made) > len(self.popped):
             self.popped = np.resize(self.popped, 2 * len(self.made))
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -163,97 +211,101 @@ class PieceModel:
             for at in range(0, len(rows), 16384):
                 part = rows[at : at + 16384]
                 chosen = part.tolist()
-                self.popped[first + part], lines = self._rounds([units[i] for i in chosen], lengths[part], [skips[i] for i in chosen])
-                for r, ids in zip(chosen, lines, strict=True):
-                    self.made[first + r] = ids
+                self.popped[first + part], symbols = self._rounds([units[i] for i in chosen], lengths[part], [skips[i] for i in chosen])
+                self._spell(first + part, [units[i] for i in chosen], symbols)
         return nodes
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of left and right joined, -1 where they don't join: a look-up by open addressing."""
         wanted = left.astype(np.int64) << 20 | right
-        slot = (wanted.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        found = np.full(len(wanted), -1, np.int32)
-        open_ = np.arange(len(wanted))
+        slot = (wanted.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+        there = self.slot_key[slot]
+        hit = there == wanted
+        found = np.where(hit, self.slot_id[slot], np.int32(-1))
+        open_ = np.flatnonzero(~hit & (there >= 0))
         while len(open_):
+            slot[open_] = (slot[open_] + 1) & 0xFFFFF
             there = self.slot_key[slot[open_]]
             hit = there == wanted[open_]
             found[open_[hit]] = self.slot_id[slot[open_[hit]]]
             open_ = open_[~hit & (there >= 0)]
-            slot[open_] = (slot[open_] + 1) & 0xFFFFF
         return found
 
-    def _rounds(self, units: list[str], lengths: np.ndarray, skips: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Candidates worked off and ids as int32 of each unit. Each round pops one candidate of every agenda."""
+    def _rounds(self, units: list[str], lengths: np.ndarray, skips: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates worked off of each unit, and its symbols in a column. Each round pops one candidate of every agenda.
+
+        The character at place p of unit r is at p * n + r of all arrays, so a round's least candidates are minima
+        of whole lines. A candidate is its rank * 64 + its place.
+        """
         n, wide = len(units), int(lengths.max())
-        none = np.int64(1) << 62
         flat = np.frombuffer(b"".join(skips), np.uint8)
-        skipped = np.zeros((n, 2 + int(flat.max(initial=0))), bool)  # none in the last column
-        skipped[np.repeat(np.arange(n), np.fromiter(map(len, skips), np.int64, n)), flat] = True
+        skipped = np.zeros((2 + int(flat.max(initial=0)), n), bool)  # none in the last line
+        skipped[flat, np.repeat(np.arange(n), np.fromiter(map(len, skips), np.int64, n))] = True
         popped, nth = np.zeros(n, np.int64), 0
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(n), lengths)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        symbol = np.full((n, wide + 1), -1, np.int32)  # the last column stands for the end
-        distinct, back = np.unique(flat, return_inverse=True)
-        symbol[owner, place] = np.array([self.char_id.get(chr(c), -2) for c in distinct], np.int32)[back]
-        after = np.tile(np.arange(1, wide + 2), (n, 1)).astype(np.int16)
-        after[np.arange(n), lengths - 1] = wide
-        before = np.tile(np.arange(-1, wide), (n, 1)).astype(np.int16)
-        joined = np.full((n, wide), -1, np.int32)
-        agenda = np.full((n, wide), none, np.int64)
-
-        def offer(rows: np.ndarray, at: np.ndarray) -> None:
-            left, right = symbol[rows, at], symbol[rows, after[rows, at]]
-            made = np.full(len(rows), -1, np.int32)
-            some = np.nonzero((left >= 0) & (right >= 0))[0]
-            made[some] = self._pairs(left[some], right[some])
-            joined[rows, at] = made
-            agenda[rows, at] = np.where(made >= 0, self.order[made] * 64 + at, none)
-
-        inner = place + 1 < lengths[owner]
-        offer(owner[inner], place[inner])
-        rows = np.arange(n)
+        at = place * n + owner
+        symbol = np.full((wide + 1) * n, -1, np.int32)  # the last line stands for the ends
+        symbol[at] = self.of_char[flat]
+        after = np.arange(n, (wide + 2) * n)
+        after[(lengths - 1) * n + np.arange(n)] = wide * n + np.arange(n)
+        before = np.arange(-n, (wide + 1) * n - n)  # below 0 ahead of the first
+        joined = np.full(wide * n, -1, np.int32)
+        agenda = np.full((wide, n), _NONE, np.int32)
+        line = agenda.reshape(-1)
+
+        def offer(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            known = np.flatnonzero((left >= 0) & (right >= 0))
+            made = np.full(len(at), -1, np.int32)
+            made[known] = self._pairs(left[known], right[known])
+            joined[at] = made
+            line[at] = self.agenda_key[made] + (at // n).astype(np.int32)
+
+        inner = at[place + 1 < lengths[owner]]
+        offer(inner, symbol[inner], symbol[inner + n])
+        rows, every = np.arange(n), agenda
         while len(rows):
-            at = agenda[rows].argmin(axis=1)
-            live = agenda[rows, at] < none
-            rows, at = rows[live], at[live]
-            if not len(rows):
-                break
-            made = joined[rows, at]
-            skip = skipped[rows, min(nth, skipped.shape[1] - 1)]
+            least = every.min(axis=0)
+            live = least < _NONE
+            if not live.all():
+                popped[rows[~live]] = nth
+                rows, least = rows[live], least[live]
+                if not len(rows):
+                    break
+            i = (least & 63) * n + rows
+            line[i] = _NONE
+            if nth < len(skipped) - 1:
+                i = i[~skipped[nth, rows]]
             nth += 1
-            popped[rows] = nth
-            agenda[rows[skip], at[skip]] = none
-            r, i, made = rows[~skip], at[~skip], made[~skip]
-            j = after[r, i].astype(np.int64)
-            k = after[r, j].astype(np.int64)
-            symbol[r, i], symbol[r, j] = made, -1
-            agenda[r, j] = none
-            after[r, i] = k
-            more = k < wide
-            before[r[more], k[more]] = i[more]
-            agenda[r, i] = none
-            offer(r[more], i[more])
-            h = before[r, i].astype(np.int64)
+            j = after[i]
+            k = after[j]
+            made = joined[i]
+            symbol[i], symbol[j] = made, -1
+            line[j] = _NONE
+            after[i], before[k] = k, i
+            h = before[i]
             ahead = h >= 0
-            offer(r[ahead], h[ahead])
-        return popped, self._spell(units, symbol[:, :wide])
-
-    def _spell(self, units: list[str], lines: np.ndarray) -> list[bytes]:
-        plain = (lines >= -1).all(axis=1) & (lines < len(self.pieces)).all(axis=1)
-        shown = lines >= 0
-        ends = (4 * np.cumsum(shown.sum(axis=1))).tolist()
-        ids = lines[shown].astype("<i4").tobytes()
-        out = [ids[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
-        for r in np.nonzero(~plain)[0].tolist():  # characters that are no piece
-            spelt: list[int] = []
-            for ch, x in zip(units[r], lines[r].tolist(), strict=False):
+            h = h[ahead]
+            offer(np.concatenate([i, h]), np.concatenate([made, symbol[h]]), np.concatenate([symbol[k], made[ahead]]))
+            every = agenda if len(rows) == n else agenda[:, rows]
+        return popped, symbol.reshape(wide + 1, n)[:wide]
+
+    def _spell(self, nodes: np.ndarray, units: list[str], symbols: np.ndarray) -> None:
+        """Put the ids of units by their symbols, a column for each."""
+        shown = symbols >= 0
+        self.made.put(nodes, shown.sum(axis=0, dtype=np.int32), np.ascontiguousarray(symbols.T)[np.ascontiguousarray(shown.T)])
+        odd = np.nonzero(((symbols < -1) | (symbols >= len(self.pieces))).any(axis=0))[0]
+        spelt: list[int] = []
+        ends = []
+        for r, line in zip(odd.tolist(), symbols[:, odd].T.tolist(), strict=True):  # characters that are no piece
+            for ch, x in zip(units[r], line, strict=False):
                 if 0 <= x < len(self.pieces):
                     spelt.append(x)
                 elif x != -1:
                     spelt += [self.byte_id[b] for b in ch.replace(_RAW, SPACE).encode("utf-8", "replace")]
-            out[r] = np.array(spelt, "<i4").tobytes()
-        return out
+            ends.append(len(spelt))
+        self.made.put(nodes[odd], np.diff(ends, prepend=0).astype(np.int64), np.array(spelt, np.int32))
 
     def encode_many(self, texts: list[str], documents: list[int], rate: float = 0.0, seed: int = 0, remember: int = 600_000) -> list[np.ndarray]:
         """Ids of each text. Seed, document and place decide the skipped merges of each unit."""
@@ -261,9 +313,12 @@ class PieceModel:
             self.forget()
         cut = [_UNIT.findall(SPACE + t.replace(SPACE, _RAW).replace(" ", SPACE)) if t else [] for t in texts]
         units = list(chain.from_iterable(cut))
-        wanted = [u for u in set(units).difference(self.root) if len(u) <= LONG]
-        self.root.update(zip(wanted, self.remember(wanted, [b""] * len(wanted)), strict=True))
         node = np.fromiter(map(self.root.get, units, repeat(0)), np.int64, len(units))
+        new = np.nonzero(node == 0)[0]
+        unknown = [units[i] for i in new.tolist()]
+        wanted = [u for u in set(unknown) if len(u) <= LONG]
+        self.root.update(zip(wanted, self.remember(wanted, [b""] * len(wanted)), strict=True))
+        node[new] = np.fromiter(map(self.root.get, unknown, repeat(0)), np.int64, len(unknown))
         keys = np.concatenate([unit_keys(d, seed, len(c)) for d, c in zip(documents, cut, strict=True)]) if cut else np.zeros(0, np.uint64)
         at, nth = np.full(len(units), -1, np.int64), 0
         still = np.nonzero(node)[0] if rate > 0 else np.zeros(0, np.int64)
@@ -277,12 +332,13 @@ class PieceModel:
             skips = [self.skips[s >> 8] + bytes((s & 255,)) for s in new]
             self.child.update(zip(new, self.remember([self.units[s >> 8] for s in new], skips), strict=True))
             node[still] = np.fromiter(map(self.child.__getitem__, steps), np.int64, len(steps))[back]
-        parts = list(map(self.made.__getitem__, node.tolist()))
+        others = {}
         for i in np.nonzero(node == 0)[0].tolist():
             skips = np.cumsum(1 + skip_gaps(keys[i], np.arange(3 * len(units[i])), rate)) - 1 if rate > 0 else np.zeros(0, np.int64)
-            parts[i] = np.array(self.segment(units[i], set(skips.tolist())), "<i4").tobytes()
-        ends = np.cumsum([len(c) for c in cut]).tolist()
-        return [np.frombuffer(b"".join(parts[end - len(c) : end]), "<i4") for c, end in zip(cut, ends, strict=True)]
+            others[i] = np.array(self.segment(units[i], set(skips.tolist())), np.int32)
+        flat, counts = self.made.joined(node, others)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, cut)])]
+        return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, document: int = 0) -> list[int]:
         return self.encode_many([text], [document], rate, seed)[0].tolist()
