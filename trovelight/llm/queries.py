@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .decontamination import item_matches
 from .exact_dedup import exact_dedup
+from .importance import resample
 from .line_dedup import apply_bitmaps, line_bitmaps
 from .packing import PACKING_WEIGHTS, pack_sequences
 from .pieces import decode_pieces, encode_pieces, model_path
 from .quality import apply_cascade, plan_cascade
+from .ranked_search import ranked_search
 from .secrets import secret_spans
 from .simhash import simhash_components
 from .suffix import remove_repeats
@@ -90,6 +93,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = item_matches(docs, items, length=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    return resample(docs, items, percent=5, min_words=20, longest=3, seed=42)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -101,6 +120,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_warc": op10_warc,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _OP4 = r"""
@@ -151,4 +173,32 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = latest THEN '
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op10_warc": _OP10, "op1_quality_rules": _OP1, "op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_words FROM n),
+m AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_words AS m FROM n, a),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), a),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+i AS (SELECT item_id, l, least(10, len(l)) AS m
+      FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark) WHERE len(l) > 0),
+wins AS (SELECT DISTINCT item_id, m, array_to_string(l[k:k + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(l) - m + 2)) AS k FROM i)),
+grams AS (SELECT doc_id, m, k, array_to_string(l[k:k + m - 1], ' ') AS g FROM (SELECT doc_id, l, m, unnest(range(1, len(l) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM wins))),
+occ AS (SELECT doc_id, m, k, item_id FROM grams JOIN wins USING (m, g)),
+hit AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS word FROM (SELECT DISTINCT doc_id, m, k FROM occ)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS told FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(told, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op11_ranked_search": _OP11, "op12_decontamination": _OP12, "op10_warc": _OP10, "op1_quality_rules": _OP1, "op4_exact_dedup": _OP4, "op8_line_dedup": _OP8}
