@@ -247,8 +247,8 @@ def test_simhash_components(docs, rows, none):
     assert simhash_components(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_links_in_crowded_buckets(spark, block):
+@pytest.mark.parametrize(("block", "refined"), [(3, None), (2048, None), (2048, 1.0), (3, 1.0), (2048, 0.4)])
+def test_links_in_crowded_buckets(spark, block, refined):
     from trovelight.llm.components import connected_components
     from trovelight.llm.simhash import links
 
@@ -263,7 +263,7 @@ def test_links_in_crowded_buckets(spark, block):
             fps.add(x)
     fps = sorted(fps | {r.getrandbits(64) for _ in range(200)})
     df = spark.createDataFrame([(x - (1 << 64) * (x >> 63),) for x in fps], "fp long")
-    found = {x.node % (1 << 64): x.component for x in connected_components(links(df, len(fps), 4, block)).collect()}
+    found = {x.node % (1 << 64): x.component for x in connected_components(links(df, len(fps), 4, block, refined)).collect()}
     labels = brute_components(fps, 4)
     groups, ours = defaultdict(set), defaultdict(set)
     for x, c in zip(fps, labels, strict=True):
@@ -272,6 +272,31 @@ def test_links_in_crowded_buckets(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
+def test_refined_buckets_step_by_step(spark):
+    """Rows of a fingerprint: 24 as long as buckets are small, five times as many at last, no jump between; refined buckets keep all links."""
+    from trovelight.llm.simhash import bucket_rows, refined_share
+
+    r = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        x = r.getrandbits(64)
+        pairs.append((x, x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4)))))
+    df = spark.createDataFrame([(x - (1 << 64) * (x >> 63),) for p in pairs for x in p], "fp long").distinct()
+    rows = {}
+    for n in (1 << 20, 1 << 26, 3 << 25, 1 << 27, 3 << 26, 1 << 28, 1 << 36):
+        rows[n] = bucket_rows(df, n, 4).count() / df.count()
+        assert 0 <= refined_share(n, 21) <= 1
+    told = list(rows.values())
+    assert told[0] == told[1] and 23 < told[0] < 25 and told == sorted(told) and 115 < told[-1] < 121
+    assert all(b < a + 41 for a, b in zip(told, told[1:-1], strict=False))
+    for refined in (0.0, 0.5, 1.0):
+        held = defaultdict(lambda: ([], []))
+        for x in bucket_rows(df, 1, 4, refined).collect():
+            held[x.key][x.probe].append(x.fp % (1 << 64))
+        met = {frozenset((a, b)) for table, probes in held.values() for a in table for b in [*table, *probes]}
+        assert all(frozenset(p) in met for p in pairs)
+
+
 def test_segments_cover():
     for distance, count in ((4, 3), (4, 2), (4, 5), (8, 3)):
         parts = segments(distance, count)

@@ -141,8 +141,10 @@ def test_odd_rows_in_each_stage(spark, odd, bpe):
     for i, t in rows:
         want[i] += len(bpe.encode(t or "", add_special_tokens=False).ids) + 1
     assert packed == want
-    for name in ("quality_rules", "near_dedup", "secret_scans"):
+    for name in ("quality_rules", "line_dedup", "near_dedup", "secret_scans"):
         assert out[name].columns == odd.columns
+        for own in ("_kept_text", "_n_lines", "runs"):
+            assert {r[0] for r in out[name].select(own).distinct().collect()} <= {own}
 
 
 def test_blocks_of_a_bucket():

@@ -4,10 +4,13 @@ import base64
 import gzip
 import hashlib
 import random
+import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from trovelight.llm.warc import LoserTree, capture_histories, parse_records, url_key, write_archives
+from trovelight.llm.warc import LoserTree, capture_histories, parse_records, read_archives, url_key, write_archives
 
 
 def test_loser_tree():
@@ -47,6 +50,22 @@ def test_round_trip(spark, pages, least):
     assert keys == sorted(keys)
 
 
+def test_null_times(spark, pages):
+    """A page without a capture time is there all the same, at its id's time."""
+    timed = pages.withColumn("at", F.when(F.col("page_id") % 2 == 0, F.lit("2024-05-06 07:08:09").cast("timestamp")))
+    found = capture_histories(timed, time_col="at").collect()
+    want = Counter((repr(r.page_id), "2024-05-06T07:08:09Z" if r.page_id is not None and r.page_id % 2 == 0 else time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(r.page_id or 0))) for r in pages.collect())
+    assert Counter((repr(r.page_id), r.time) for r in found) == want
+
+
+def test_lost_records_are_an_error(spark, pages, monkeypatch):
+    from trovelight.llm import warc
+
+    monkeypatch.setattr(warc, "read_archives", lambda spark, path: read_archives(spark, path).where("page_id <> 7"))
+    with pytest.raises(ValueError, match="67 records were written"):
+        capture_histories(pages)
+
+
 def test_no_pages(pages):
     assert capture_histories(pages.where("page_id < 0")).count() == 0
 

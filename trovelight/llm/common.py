@@ -54,9 +54,13 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote, once nothing reads them any more. Others are left alone."""
     for df in tables:
         if path := getattr(df, "held_at", None):
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            discard(df.sparkSession, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bound_batches(spark: SparkSession, most: str = "8m") -> None:

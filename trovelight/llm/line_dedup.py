@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, strip_ascii
+from .common import lower_ascii, materialize, strip_ascii, unused
 
 #: The key is 128 bits: two xxhash64 of different seeds.
 _KEY = ["h1", "h2"]
@@ -69,12 +69,17 @@ def _runs(at) -> F.Column:  # noqa: ANN001
     return F.flatten(F.transform(islands, lambda x: F.array(x["a"] - x["before"] - 1, x["b"] - x["a"] + 1)))
 
 
+def line_columns(docs: DataFrame) -> tuple[str, str, str]:
+    """What apply_bitmaps() names its columns: _n_lines, _n_dropped, _kept_text, each with as many more underscores ahead as docs' own names need."""
+    return tuple(unused(docs, name) for name in ("_n_lines", "_n_dropped", "_kept_text"))
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with three more columns: _n_lines, _n_dropped, _kept_text (lines kept, joined by LF), in place of any of these names.
+    """docs, all its columns among it, with the three of line_columns(): lines, lines dropped, and the lines kept, joined by LF.
 
     Every row of docs comes back once. The bitmaps are the hashed side of the join, so texts are moved but not sorted.
     """
-    names = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped", "_kept_text") or c == text_col]
+    names, own = docs.columns, line_columns(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
     right = bitmaps.select(F.col("doc_id").alias("_rid"), F.col("row_hash").alias("_rhash"), "runs").hint("shuffle_hash")
@@ -84,4 +89,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     parted = joined.select("row", "runs", lines.alias("lines"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("flags"))
     kept = F.when(F.col("runs").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.coalesce(F.get(F.col("flags"), i), F.lit(False))), "\n"))
     n_dropped = F.size(F.filter("flags", lambda f: f)).cast("long")
-    return parted.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.size("lines").cast("long").alias("_n_lines"), n_dropped.alias("_n_dropped"), kept.alias("_kept_text"))
+    return parted.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.size("lines").cast("long").alias(own[0]), n_dropped.alias(own[1]), kept.alias(own[2]))

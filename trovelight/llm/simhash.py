@@ -6,6 +6,9 @@ The tables hold each distinct fingerprint once per segment; every fingerprint en
 its own segments, fetches what the tables hold there, and complete distances are verified. Of two
 segments that differ, only the one with a 0 at the lowest differing place enumerates, which halves the work.
 
+With more fingerprints than keys, buckets fill up with strangers. Then more and more of them are refined: their rows go
+by one more part of the fingerprint, of which linked ones share at least one. So work follows the number of fingerprints without a step.
+
 Equal fingerprints are one entry, so copies cost nothing. A bucket yields the edges of a spanning forest
 of its verified links, never all its pairs. Buckets with many table entries (few enough to name, by a
 bounded sketch) are dealt out in blocks, so that none is one task's.
@@ -64,9 +67,16 @@ def segments(distance: int, count: int) -> list[tuple[int, int, int]]:
     return [x for x in found if x[2] >= 0]
 
 
-def segment_count(n: int, distance: int) -> int:
-    """As few segments as keep a table's buckets at about one entry: wider keys meet fewer strangers but have larger balls."""
-    return max(2 if n > 1 << 24 else 3, distance // 4)
+def segment_count(distance: int) -> int:
+    return max(3, distance // 4)
+
+
+def refined_share(n: int, width: int) -> float:
+    """The share of a segment's buckets that are refined, for n fingerprints and keys of so many bits.
+
+    None up to 32 table entries a bucket, all from 128 on, and in between as many more as there are more fingerprints.
+    """
+    return min(1.0, max(0.0, (n / (1 << width) / 32 - 1) / 3))
 
 
 def _ball(value, width: int, radius: int) -> F.Column:  # noqa: ANN001
@@ -87,14 +97,39 @@ def _prober(segment: int):  # noqa: ANN202
     return lambda x: _entry(segment, x, True)
 
 
-def links(distinct: DataFrame, n: int, distance: int = 4, block: int = 2048) -> DataFrame:
-    """Edges (a, b) that connect exactly what links of at most distance bits connect. distinct: fp, each once; n rows."""
-    count = segment_count(n, distance)
-    entries = []
-    for k, (shift, width, radius) in enumerate(segments(distance, count)):
+def _refined(fp, shift: int, width: int, key, distance: int) -> F.Column:  # noqa: ANN001
+    """Keys of a bucket's parts: of distance + 1 parts of the bits outside of the segment two linked fingerprints share one.
+
+    Keys are hashes; those that meet by chance only put strangers together, which complete distances tell apart.
+    """
+    rest, edges = 64 - width, [k * (64 - width) // (distance + 1) for k in range(distance + 2)]
+    turned = fp if not shift + width else F.shiftrightunsigned(fp, (shift + width) % 64).bitwiseOR(F.shiftleft(fp, (64 - shift - width) % 64))
+    parts = [F.shiftrightunsigned(turned, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    assert edges[-1] == rest
+    return F.array(*[F.xxhash64(key, F.lit(k), part) for k, part in enumerate(parts)])
+
+
+def bucket_rows(distinct: DataFrame, n: int, distance: int, refined: float | None = None) -> DataFrame:
+    """fp, key, probe: every fingerprint once in the tables and as often as its balls ask among the probes.
+
+    refined is the share of buckets whose keys are refined, by default what n asks for.
+    """
+    rows = None
+    for k, (shift, width, radius) in enumerate(segments(distance, segment_count(distance))):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        entries += [F.array(_entry(k, value, False)), F.transform(_ball(value, width, radius), _prober(k))]
-    rows = distinct.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", "e.key", "e.probe")
+        entries = F.concat(F.array(_entry(k, value, False)), F.transform(_ball(value, width, radius), _prober(k)))
+        own = distinct.select("fp", F.explode(entries).alias("e")).select("fp", "e.key", "e.probe")
+        share = refined_share(n, width) if refined is None else refined
+        if share:
+            chosen = F.pmod(F.xxhash64("key", F.lit(k)), F.lit(1 << 20)) < int(share * (1 << 20))
+            own = own.select("fp", F.explode(F.when(chosen, _refined(F.col("fp"), shift, width, F.col("key"), distance)).otherwise(F.array("key"))).alias("key"), "probe")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def links(distinct: DataFrame, n: int, distance: int = 4, block: int = 2048, refined: float | None = None) -> DataFrame:
+    """Edges (a, b) that connect exactly what links of at most distance bits connect. distinct: fp, each once; n rows."""
+    rows = bucket_rows(distinct, n, distance, refined)
     spark = distinct.sparkSession
     # Table buckets of more than a block: the sketch names candidates (1000 at most), an exact count decides.
     tables = rows.where(~F.col("probe"))

@@ -3,8 +3,8 @@
 write_archives() turns pages into WARC 1.1 records (responses, and revisits of equal payloads) and lets
 Spark's writer put them, gzip-compressed, wherever Spark can write. read_archives() parses them again and
 gives one locally sorted capture run per archive. merge_runs() range-partitions the runs by URL key,
-timestamp and record, and merges each partition's share of the k runs with a loser tree, so that
-partitions in order are the global capture history.
+timestamp and record, and merges each partition's share of the k runs, as they are, with a loser tree, so that
+partitions in order are the global capture history. Nothing sorts a run again.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from urllib.parse import urlsplit
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, release
+from .common import discard, fresh_path, materialize, release
 
 _RECORD = "urn:trovelight:page:"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # of Spark's conv
@@ -50,28 +50,31 @@ def base32(digest) -> F.Column:  # noqa: ANN001
     return F.translate(F.concat(*parts), _DIGITS, _ALPHABET)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, max_records: int = 20000) -> None:
-    """Write one WARC record per row of pages, in archives of at most max_records.
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, max_records: int = 20000) -> int:
+    """Write one WARC record per row of pages, in archives of at most max_records; the number of records.
 
     Of records with equal payloads of at least min_revisit_bytes bytes the one with the largest id is a
     response and the others, rows without an id among them, are revisits of it; if none has an id, all
-    are responses. Repeated rows are records each. Null payloads are empty, null URLs too. Without time_col,
-    capture times are id seconds after 1970. White space and control characters in a URL come
+    are responses. Repeated rows are records each. Null payloads are empty, null URLs too. Without time_col, and
+    where it is null, capture times are id seconds after 1970 (1970 itself without an id). White space and control characters in a URL come
     percent-encoded. Large payloads are written apart, fewer to an archive, so an archive holds
     archive_bytes of payload at most, or one record. No pages give an empty folder of archives.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"), (F.col(time_col) if time_col else F.timestamp_seconds(F.coalesce(F.col(id_col), F.lit(0)))).alias("at"))
+    at = F.timestamp_seconds(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    at = F.coalesce(F.col(time_col).cast("timestamp"), at) if time_col else at
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size"), at.alias("at"))
     slim = materialize(rows.select("id", "digest", "size"), "digests")
     same = slim.where(F.col("size") >= min_revisit_bytes)
     latest = same.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "refers_to")
     revisits = same.join(latest, F.col("digest") == F.col("d")).where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("rid"), "d", "refers_to").distinct()
-    largest = slim.agg(*[F.max(F.when(F.col("size").between(low, high - 1), F.col("size"))).alias(str(low)) for low, high in _classes()]).first()
+    largest = slim.agg(*[F.max(F.when(F.col("size").between(low, high - 1), F.col("size"))).alias(str(low)) for low, high in _classes()], F.count("*").alias("records")).first()
     for low, high in _classes():
         if largest[str(low)] is not None or low == 0:
             most = max(1, min(max_records, archive_bytes // max(largest[str(low)] or 1, 1)))
             _write_class(rows.where(F.col("size").between(low, high - 1)), revisits, f"{path}/size-from={low}", most)
     release(slim)
+    return largest["records"]
 
 
 def _classes() -> list[tuple[int, int]]:
@@ -209,22 +212,22 @@ class LoserTree:
             self.winner = won
 
 
-def merge_runs(index: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
-    """index in global order: partitions in order, and rows in each, by URL key, time, id, run and offset.
+def merge_runs(index: DataFrame, rows_per_partition: int = 250_000, n: int | None = None) -> DataFrame:
+    """index (n rows, counted if not given) in global order: partitions in order, and rows in each, by URL key, time, id, run and offset.
 
-    Each partition gets its share of the runs one after the other, every one in order (Spark's sorter, which
-    spills, puts the blocks of a shuffle in turn), and holds them as Arrow columns; the loser tree reads them
-    a slice at a time. Rows without an id come last of their time. No rows give none.
+    Each partition gets its share of the sorted runs as the shuffle hands them on, block by block, and holds them as
+    Arrow columns. Whatever stretch of them ascends is a run to the loser tree, which reads the runs a slice at a
+    time; so an order that a shuffle breaks costs more runs and no rows. Rows without an id come last of their time. No rows give none.
     """
-    n = index.count()
+    n = index.count() if n is None else n
     names = INDEX_FIELDS.names
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), INDEX_FIELDS)
         if not table.num_rows:
             return
-        code = table["run"].combine_chunks().dictionary_encode().indices.to_numpy()
-        edges = [0, *(np.nonzero(np.diff(code))[0] + 1).tolist(), len(code)]
+        keys = map(_order, _slices(table, 0, table.num_rows))
+        edges = [0, *(k for k, (a, b) in enumerate(pairwise(keys), 1) if b < a), table.num_rows]
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -241,8 +244,7 @@ def merge_runs(index: DataFrame, rows_per_partition: int = 250_000) -> DataFrame
 
     parts = max(1, -(-n // rows_per_partition), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = ["url_key", "time", F.col("page_id").asc_nulls_last()]
-    dealt = index.select(*names).repartitionByRange(parts, *by, "run", "offset").sortWithinPartitions("run", *by, "offset")
-    return dealt.mapInArrow(merge, INDEX_TYPE)
+    return index.select(*names).repartitionByRange(parts, *by, "run", "offset").mapInArrow(merge, INDEX_TYPE)
 
 
 def _slices(table: pa.Table, first: int, end: int, step: int = 1024) -> Iterator[tuple]:
@@ -252,8 +254,16 @@ def _slices(table: pa.Table, first: int, end: int, step: int = 1024) -> Iterator
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, **options: object) -> DataFrame:
-    """Write pages as archives, read them back, and give their capture index in global order (see merge_runs)."""
+    """Write pages as archives, read them back, and give their capture index in global order (see merge_runs).
+
+    Archives that hold more or fewer records than there are pages are an error. Without a path they are deleted once they are read.
+    """
     spark = pages.sparkSession
-    path = path or fresh_path(spark, "warc")
-    write_archives(pages, path, **options)
-    return merge_runs(materialize(read_archives(spark, path), "capture-runs"))
+    archives = path or fresh_path(spark, "warc")
+    written = write_archives(pages, archives, **options)
+    runs = materialize(read_archives(spark, archives), "capture-runs")
+    if (found := runs.count()) != written:
+        raise ValueError(f"{written} records were written to {archives} and {found} are there")
+    if not path:
+        discard(spark, archives)
+    return merge_runs(runs, n=written)
