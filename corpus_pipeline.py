@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.llm.common import materialize, release
-from trovelight.llm.line_dedup import apply_bitmaps, line_bitmaps
+from trovelight.llm.line_dedup import apply_bitmaps, line_bitmaps, line_columns
 from trovelight.llm.near_dedup import near_representatives
 from trovelight.llm.packing import PACKING_WEIGHTS, pack_sequences
 from trovelight.llm.quality import kept_documents, plan_cascade
@@ -44,10 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their text and come first. A null text becomes an empty one. An empty table stays empty. Columns stay, whatever
     their names; n_chars is counted again.
     """
-    stripped = docs.drop("_kept_text", "_n_lines", "_n_dropped")
-    lined = apply_bitmaps(stripped, line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True))
-    kept = [F.col("_kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in stripped.columns]
-    return _with_lengths(lined.select(*kept))
+    *_, kept = line_columns(docs)
+    lined = apply_bitmaps(docs, line_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True))
+    return _with_lengths(lined.select(*[F.col(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
