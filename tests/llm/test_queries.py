@@ -1,6 +1,8 @@
 """The registered queries: those with SQL against it, the others' whole results against plain Python that doesn't use the library."""
 
 import hashlib
+import os
+import random
 import re
 import struct
 import zlib
@@ -171,3 +173,36 @@ def test_sentencepiece(spark, tables, rows):
     found = QUERIES["op9_sentencepiece"](spark, tables).collect()
     assert Counter((r.doc_id, r.decoded_sha256) for r in found) == Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
     assert all(r.n_pieces >= 1 for r in found if r.decoded_sha256 != hashlib.sha256(b"").hexdigest())
+
+
+def test_planted_passages(spark, tmp_path):
+    """Passages of 51 to 80 words put into two documents each: all that reach 400 bytes are removed, shorter ones can't be; others stay as they were.
+
+    PLANT_SF_DIR is the table to plant into. Prints what README says of it.
+    """
+    r = random.Random(51)
+    docs = spark.read.parquet(f"{os.environ.get('PLANT_SF_DIR', '/root/testdata/sf0.01')}/documents.parquet").select("doc_id", "text").where("text is not null")
+    before = [(x.doc_id, x.text) for x in docs.collect()]
+    vocabulary = [w for _, t in r.sample(before, 400) for w in t.split()]  # as often as they occur, so passages are as long as the documents' own
+    texts, planted, hosts = dict(before), {}, r.sample([i for i, _ in before], len(before) // 5 * 2)
+    for a, b in zip(hosts[::2], hosts[1::2], strict=True):
+        passage = " ".join(r.choice(vocabulary) for _ in range(r.randint(51, 80)))
+        for i in (a, b):
+            words = texts[i].split(" ")
+            at = r.randint(0, len(words))
+            texts[i] = " ".join([*words[:at], f"<{i}", passage, f"{i}>", *words[at:]])  # what is around it differs
+            planted[i] = len(passage.encode())
+    found = {}
+    for name, rows in (("before", before), ("after", list(texts.items()))):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found[name] = {x.doc_id: x for x in QUERIES["op7_suffix_dedup"](spark, f"{tmp_path}/{name}").collect()}
+    was, now = found["before"], found["after"]
+    long = [i for i, n in planted.items() if n >= 400]
+    caught = [i for i in long if now[i].n_removed >= planted[i]]
+    short = [i for i, n in planted.items() if n < 400 and now[i].n_removed > was[i].n_removed]
+    clean = [i for i in texts if i not in planted]
+    touched = [i for i in clean if now[i].n_removed]
+    print(f"\n{len(planted)} documents with a planted passage, {len(long)} of 400 bytes or more, {len(caught)} of these caught, {len(short)} shorter ones lost more; {len(clean)} clean documents, {len(touched)} touched, {sum(was[i].n_removed > 0 for i in clean)} before")
+    assert long and len(caught) == len(long) and not short
+    # A document that a passage now cuts in two may stop repeating another one, so some lose less; none loses more.
+    assert all(now[i].n_removed <= was[i].n_removed for i in clean)
