@@ -123,13 +123,18 @@ def extract_window(text: Column | str, terms: Column, max_chars: int) -> Column:
     t = F.coalesce(_col(text), F.lit(""))
     n = F.char_length(t)
     places = F.filter(F.transform(terms, lambda w: F.when(F.char_length(w) > 0, F.instr(t, w)).otherwise(0)), lambda p: p > 0)
-    first = F.array_min(places)
-    start = F.greatest(F.lit(0), first - 1 - max_chars // 3)
-    end = F.least(n, start + max_chars)
-    start = F.when(end - start < max_chars, F.greatest(F.lit(0), end - max_chars)).otherwise(start)
-    cut = F.substring(t, start + 1, end - start)
-    marked = F.concat(F.when(start > 0, F.lit("… ")).otherwise(F.lit("")), cut, F.when(end < n, F.lit(" …")).otherwise(F.lit("")))
-    return F.when(first.isNull(), F.substring(t, 1, max_chars)).otherwise(marked)
+
+    def around(first: Column) -> Column:
+        wanted = F.greatest(F.lit(0), first - 1 - max_chars // 3)
+        end = F.least(n, wanted + max_chars)
+        start = F.when(end - wanted < max_chars, F.greatest(F.lit(0), end - max_chars)).otherwise(wanted)
+        return F.when(first.isNotNull(), _let(F.struct(start.alias("start"), end.alias("end")), marked)).otherwise(F.substring(t, 1, max_chars))
+
+    def marked(at: Column) -> Column:
+        cut = F.substring(t, at["start"] + 1, at["end"] - at["start"])
+        return F.concat(F.when(at["start"] > 0, F.lit("… ")).otherwise(F.lit("")), cut, F.when(at["end"] < n, F.lit(" …")).otherwise(F.lit("")))
+
+    return _let(F.array_min(places), around)
 
 
 def markdown_to_plain(md: Column | str) -> Column:
@@ -269,36 +274,43 @@ def escape_inline(text: Column | str) -> Column:
 
 
 def cn_number(text: Column | str) -> Column:
-    """A number of digits or of Chinese numerals with 十, 百 and 千."""
-    digits = "零一二三四五六七八九"
-    unit = F.create_map(*[F.lit(x) for pair in (("十", 10), ("百", 100), ("千", 1000)) for x in pair])
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("digit"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        place = F.instr(F.lit(digits), ch)
-        size = F.try_element_at(unit, ch)
-        total = F.when(size.isNotNull(), acc["total"] + F.when(acc["digit"] == 0, 1).otherwise(acc["digit"]) * size).otherwise(acc["total"])
-        digit = F.when(size.isNotNull(), F.lit(0)).when(place > 0, place - 1).otherwise(acc["digit"])
-        return F.struct(total.alias("total"), digit.alias("digit"))
-
-    chars = F.filter(F.split(_col(text), ""), lambda c: c != "")
-    counted = F.aggregate(chars, start, step, lambda acc: acc["total"] + acc["digit"])
+    """A number of digits, or of Chinese numerals: cut behind each unit, a part counts its last digit (one, if it has none) times its unit."""
+    units = "".join(K.NUMERAL_UNITS)
+    parts = F.regexp_extract_all(_col(text), F.lit(f"[^{units}]*[{units}]|[^{units}]+$"), F.lit(0))
+
+    def value(part: Column) -> Column:
+        size = F.try_element_at(F.create_map(*[F.lit(x) for pair in K.NUMERAL_UNITS.items() for x in pair]), F.substring(part, -1, 1))
+        digit = F.greatest(F.instr(F.lit(K.NUMERALS), F.regexp_extract(part, f"([{K.NUMERALS}])[^{K.NUMERALS}]*$", 1)) - 1, F.lit(0))
+        return F.when(size.isNull(), digit).otherwise(F.greatest(digit, F.lit(1)) * size)
+
+    counted = F.aggregate(F.transform(parts, value), F.lit(0), lambda a, b: a + b)
     return F.when(_col(text).rlike(r"^\d+$"), _col(text).try_cast("int")).otherwise(counted)
 
 
 def normalized_query(nfkc: Column | str) -> Column:
-    """A query in NFKC with ASCII lower-cased, white space and punctuation brought to one form."""
-    t = F.translate(F.trim(_col(nfkc)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.translate(F.regexp_replace(t, r"\s+", " "), *K.QUERY_PUNCTUATION)
-    t = F.regexp_replace(t, r"\s+([?!,:;.%)\]}])", "$1")
-    return F.regexp_replace(t, r"([(\[{])\s+", "$1")
+    """A query in NFKC with ASCII lower-cased and punctuation in one form; its words are set apart by one space, or none where marks need none."""
+    lower = F.translate(_col(nfkc), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(F.translate(lower, *K.QUERY_PUNCTUATION), r"\s+"), lambda w: w != "")
+    ahead, behind = list(K.TIGHT_MARKS + K.CLOSING_MARKS), list(K.OPENING_MARKS)
+
+    def join(done: Column, word: Column) -> Column:
+        close = (done == "") | F.substring(word, 1, 1).isin(ahead) | F.substring(done, -1, 1).isin(behind)
+        return F.concat(done, F.when(close, F.lit("")).otherwise(F.lit(" ")), word)
+
+    return F.aggregate(words, F.lit(""), join)
 
 
 def article_terms(query: Column | str) -> Column:
     """Articles that a normalised query names, as 第<number>条."""
-    found = F.regexp_extract_all(_col(query), F.lit(r"第\s*([0-9一二三四五六七八九十百千]+)\s*[条條]"), F.lit(1))
-    named = F.transform(found, lambda x: F.struct(cn_number(x).alias("n")))
-    return F.array_distinct(F.transform(F.filter(named, lambda x: x["n"] > 0), lambda x: F.concat(F.lit("第"), x["n"].cast("string"), F.lit("条"))))
+    numbers = F.transform(F.regexp_extract_all(_col(query), F.lit(K.ARTICLE_PATTERN), F.lit(1)), cn_number)
+    return F.array_distinct(F.transform(F.filter(numbers, lambda n: n > 0), lambda n: F.format_string("第%d条", n)))
+
+
+def title_terms(query: Column | str) -> Column:
+    """What a normalised query holds besides articles, question words and linking words; the whole query if that is nothing."""
+    between = "|".join((K.ARTICLE_PATTERN, *K.QUESTION_WORDS, f"[{K.LINKING_WORDS}]", r"\s+"))
+    found = F.filter(F.split(_col(query), between), lambda t: t != "")
+    return F.when((F.size(found) > 0) | (_col(query) == ""), found).otherwise(F.array(_col(query)))
 
 
 def neighbor_heuristic(query: Column | str) -> Column:

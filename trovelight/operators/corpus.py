@@ -12,16 +12,14 @@ from ..functions import text as T
 
 def block_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, reading_order, char_start, char_end): runs of lines that aren't blank, their line feeds included."""
-    line_end = F.when(F.col("last"), 0).otherwise(1)
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    rows = docs.select(F.col(key).alias("doc_id"), F.size(lines).alias("n"), F.posexplode(lines).alias("i", "line")).withColumn("last", F.col("i") == F.col("n") - 1)
-    rows = rows.withColumn("size", F.char_length("line") + line_end).withColumn("blank", F.trim(F.regexp_replace("line", r"\s", " ")) == "")
+    t = F.coalesce(F.col(text), F.lit(""))
+    blank = r"(?<![^\n])\s*(?:\n|\z)"  # blank lines in a row, from the start of a line to the end of one
+    lengths = lambda parts: F.transform(parts, lambda x: F.char_length(x))
+    parts = F.arrays_zip(lengths(F.split(t, blank, -1)).alias("size"), lengths(F.regexp_extract_all(t, F.lit(blank), F.lit(0))).alias("gap"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(parts).alias("i", "p")).select("doc_id", "i", "p.size", (F.col("p.size") + F.coalesce("p.gap", F.lit(0))).alias("step"))
     order = Window.partitionBy("doc_id").orderBy("i")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("stop", F.sum("size").over(running)).withColumn("island", F.sum(F.when(F.col("blank"), 1).otherwise(0)).over(running)).where(~F.col("blank"))
-    spans = placed.groupBy("doc_id", "island").agg(F.min(F.col("stop") - F.col("size")).alias("char_start"), F.max("stop").alias("char_end"))
-    ordered = F.row_number().over(Window.partitionBy("doc_id").orderBy("char_start")) - 1
-    return spans.select("doc_id", ordered.alias("reading_order"), F.col("char_start").cast("long"), F.col("char_end").cast("long"))
+    placed = rows.withColumn("char_start", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("step")).where("size > 0")
+    return placed.select("doc_id", (F.row_number().over(order) - 1).alias("reading_order"), F.col("char_start").cast("long"), (F.col("char_start") + F.col("size")).cast("long").alias("char_end"))
 
 
 def chunk_rows(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = 0, separators: tuple[str, ...] = K.CHUNK_SEPARATORS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
+from ..functions import constants as K
 from ..functions import text as T
 from .common import broadcast_if_small, first_by
 
+# Names of the export's sections and columns.
 KEY = ["doc_id", "source_version"]
 #: Sections in order, and what each is sorted by.
 SECTIONS = {
@@ -141,9 +143,9 @@ def source_fingerprint(content: Column | str, fallback: Column | str) -> Column:
 
 def active_parser(nodes: DataFrame) -> DataFrame:
     """(doc_id, source_version, active_parser): which parser the kinds of a document's active nodes tell of."""
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds).cast("int")) == 1
-    found = F.when(has("clause", "table", "figure"), "outline").when(has("chapter", "section"), "markdown_headings").when(has("block"), "block_fallback").otherwise("")
-    return nodes.where("is_active").groupBy(*KEY).agg(found.alias("active_parser"))
+    place = F.coalesce(*[F.when(F.col("kind").isin(*kinds), k) for k, (_, kinds) in enumerate(K.PARSER_KINDS)], F.lit(len(K.PARSER_KINDS)))
+    names = F.array(*[F.lit(name) for name, _ in K.PARSER_KINDS], F.lit(""))
+    return nodes.where("is_active").groupBy(*KEY).agg(F.get(names, F.min(place)).alias("active_parser"))
 
 
 def binding_digest(rows: DataFrame, line: Column, order: list[str], blocks: int = 4096) -> DataFrame:
@@ -186,13 +188,8 @@ def history_markdown(rows: DataFrame) -> DataFrame:
 
 def normalized_terms(queries: DataFrame) -> DataFrame:
     """queries (query_id, text in NFKC) with normalized, article_terms, title_terms and alias_terms."""
-    rows = queries.withColumn("normalized", T.normalized_query("text"))
-    bare = F.regexp_replace("normalized", r"第\s*[0-9一二三四五六七八九十百千]+\s*[条條]", " ")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, "是什么|什么", " "), r"[的与和]\s*", " "))
-    words = T.query_terms(bare)
-    title = F.when(F.size(words) > 0, words).when(F.col("normalized") != "", F.array("normalized")).otherwise(T.empty_strings())
-    rows = rows.withColumns({"article_terms": T.article_terms("normalized"), "title_terms": title})
-    return rows.withColumn("alias_terms", F.filter(F.array_distinct(F.concat(F.array("normalized"), "title_terms")), lambda t: t != ""))
+    rows = queries.withColumn("normalized", T.normalized_query("text")).withColumns({"article_terms": T.article_terms("normalized"), "title_terms": T.title_terms("normalized")})
+    return rows.withColumn("alias_terms", F.array_distinct(F.filter(F.array_prepend("title_terms", F.col("normalized")), lambda t: t != "")))
 
 
 def structural_hits(queries: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from .common import first_by
+from .common import cap_by, first_by
 
 
 def clamp_step(weight: Column, delta: Column) -> Column:
@@ -25,14 +25,16 @@ def fold_weights(deltas: DataFrame, keys: list[str], order: list[str], delta: st
     """keys, weight, pos_count, neg_count, last_used: deltas folded in order, from 0, as clamp_step() moves them.
 
     Clamping doesn't commute, so order has to be total. A step is a shift and a clamp, and steps in a row are one
-    such move, so blocks of events are folded by themselves, and then their moves: no array holds all of a key's events.
+    such move. Events are range-partitioned by key and order, so a key's events lie in as many tasks as they need; runs
+    of block events in a row are folded where they lie, and then the moves of a key.
     """
-    d = F.col(delta).cast("double")
     far = F.lit(float("inf"))
-    move = F.struct(d.alias("shift"), F.when(d < 0, F.lit(float(K.WEIGHT_FLOOR))).otherwise(-far).alias("low"), F.when(d < 0, far).otherwise(F.lit(float(K.WEIGHT_CAP))).alias("high"))
     none = F.struct(F.lit(0.0).alias("shift"), (-far).alias("low"), far.alias("high"))
-    at = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / block)
-    rows = deltas.select(*keys, F.struct(*order).alias("o"), F.col(time).alias("t"), d.alias("d"), move.alias("m"), at.alias("at"))
+    told = deltas.select(*keys, *[c for c in order if c not in keys], F.col(time).alias("t"), F.col(delta).cast("double").alias("d"))
+    move = F.struct(F.col("d").alias("shift"), F.when(F.col("d") < 0, F.lit(float(K.WEIGHT_FLOOR))).otherwise(-far).alias("low"), F.when(F.col("d") < 0, far).otherwise(F.lit(float(K.WEIGHT_CAP))).alias("high"))
+    spread = told.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    at = F.floor(F.monotonically_increasing_id() / block)  # ascends with the ranges, so with a key's order
+    rows = spread.select(*keys, F.struct(*order).alias("o"), "t", "d", move.alias("m"), at.alias("at"))
     fold = lambda items: F.aggregate(F.transform(F.array_sort(items), lambda x: x["m"]), none, _then)
     blocks = rows.groupBy(*keys, "at").agg(fold(F.collect_list(F.struct("o", "m"))).alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("pos"), F.sum((F.col("d") < 0).cast("int")).alias("neg"), F.max("t").alias("t"))
     whole = blocks.groupBy(*keys).agg(fold(F.collect_list(F.struct("at", "m"))).alias("m"), F.sum("pos").alias("pos_count"), F.sum("neg").alias("neg_count"), F.max("t").alias("last_used"))
@@ -93,7 +95,9 @@ def suggest_rewrites(hits: DataFrame, weights: DataFrame, log: DataFrame, nodes:
     """
     first = hits if nodes is None else hits.where(F.col("rank") <= nodes)
     top = first.select("query_id", F.col("query_norm").alias("own"), "node_id").distinct()
-    found = top.join(weights.where("weight > 0").select("node_id", "query_norm", "weight"), "node_id").where("query_norm <> own")
+    # Who is among a query's first limit is among the first limit + 1 of the node that gives it its weight: ahead of it there are only others of these, and the query itself.
+    heads = cap_by(weights.where("weight > 0").select("node_id", "query_norm", "weight"), ["node_id"], limit + 1, F.desc("weight"), F.col("query_norm"))
+    found = top.join(heads, "node_id").where("query_norm <> own")
     best = found.groupBy("query_id", "query_norm").agg(F.max("weight").alias("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "query_norm")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).join(latest_text(log), "query_norm").select("query_id", F.col("query_text").alias("suggestion"), "rank")
@@ -103,8 +107,9 @@ def similar_queries(queries: DataFrame, log: DataFrame, now: Column, days: int =
     """(query_id, log_id, rank): the newest logged queries of the same key, at most days old."""
     asked = queries.select("query_id", T.query_key("text").alias("query_norm"))
     past = log.where(F.col("timestamp") >= now - F.make_dt_interval(F.lit(days))).select(F.col("query_id").alias("log_id"), "query_norm", "timestamp")
-    order = Window.partitionBy("query_id").orderBy(F.desc("timestamp"), F.desc("log_id"))
-    return asked.join(past, "query_norm").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "log_id", "rank")
+    order = Window.partitionBy("query_norm").orderBy(F.desc("timestamp"), F.desc("log_id"))
+    newest = past.join(asked.select("query_norm").distinct(), "query_norm", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(newest, "query_norm").select("query_id", "log_id", "rank")
 
 
 def history(log: DataFrame, substring: str = "", limit: int = 20) -> DataFrame:

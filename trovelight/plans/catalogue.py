@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as T
-from ..operators import corpus, graph, grep, history, index, memory, rank, render, search
+from ..operators import corpus, graph, grep, history, index, memory, rank, render, search, segments
+from ..operators.common import materialize, scratch_path
 from ..sources import readers, writers
 from . import api
 from .catalogue_more import MORE
@@ -121,14 +122,24 @@ def keywords_greedy(spark: SparkSession, sf: str) -> DataFrame:
 # --- search --------------------------------------------------------------------
 
 
-def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The index of documents, built once for a query and read by each of its steps."""
-    return index.batch_index(_nodes(spark, sf))
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> segments.TokenIndex:
+    """The stored index of documents: built by the first query of an application that asks for it, and anew if the table's files change."""
+    state = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf}/documents.parquet").select("path", "length", "modificationTime")
+    mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    key = (spark.sparkContext.applicationId, f"{sf}:{mark[0]}:{mark[1]}")
+    if key not in _STORED:
+        made = segments.TokenIndex(spark, scratch_path(spark, "index"))
+        made.build(_nodes(spark, sf))
+        _STORED[key] = made.root
+    return segments.TokenIndex(spark, _STORED[key])
 
 
 def _topk(spark: SparkSession, sf: str, mode: str, must: bool, limit: int = 20) -> DataFrame:
     nodes, asked = _nodes(spark, sf), _queries(spark, sf, mode, must)
-    found = search.scores(search.compile_queries(asked), *_indexed(spark, sf))
+    found = _index(spark, sf).hits(asked, limit)
     return search.ranked(found, nodes, asked, limit).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -149,8 +160,35 @@ def bm25_must_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def search_cascade_level(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.cascade(_queries(spark, sf, "and", True), *_indexed(spark, sf))
-    return found.groupBy("query_id").agg(F.first("level").cast("long").alias("level"), F.count("*").alias("n_hits"))
+    return _index(spark, sf).cascade(_queries(spark, sf, "and", True), None).select("query_id", F.col("level").cast("long").alias("level"), "n_hits")
+
+
+def _updated(spark: SparkSession, sf: str) -> tuple[segments.TokenIndex, DataFrame]:
+    """An index of documents as they were, brought up to date by their change set, and the nodes as they are."""
+    before, after = _versions(spark, sf)
+    as_nodes = lambda d: d.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("node_key"), "doc_id", F.col("text").alias("body_plain"))
+    held = segments.TokenIndex(spark, scratch_path(spark, "index"))
+    held.build(as_nodes(before))
+    held.update(as_nodes(before), as_nodes(after), history.change_set(before, after))
+    return held, as_nodes(after)
+
+
+@_query
+def index_update_df(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies of an index after an update: those of a fresh build."""
+    return _updated(spark, sf)[0].token_stats()
+
+
+@_query
+def index_update_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best five documents of an index after an update and after it is compacted."""
+    held, _ = _updated(spark, sf)
+    asked = _queries(spark, sf)
+    once = materialize(held.hits(asked, 5), "hits")
+    held.compact()
+    again = held.hits(asked, 5)
+    told = lambda df, name: df.select(F.lit(name).alias("state"), "query_id", F.substring("node_key", 2, 8).cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    return told(once, "updated").unionByName(told(again, "compacted"))
 
 
 @_query
@@ -191,6 +229,13 @@ def grep_terms_or(spark: SparkSession, sf: str) -> DataFrame:
     return grep.grep_any(_files(spark, sf), ["password", "token", "license", "the onon"])
 
 
+@_query
+def grep_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten lines of each benchmark text's tokens."""
+    asked = _queries(spark, sf).select("query_id", T.grep_tokens("text").alias("tokens"))
+    return grep.grep_queries(_files(spark, sf), asked, 10).select("query_id", "file", "line_number", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("pos").cast("long").alias("pos"))
+
+
 @_query
 def grep_punct_tolerant(spark: SparkSession, sf: str) -> DataFrame:
     return grep.grep_tolerant(_files(spark, sf), "the，")

@@ -73,6 +73,35 @@ def normalized_queries(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "normalized", *[F.array_join(c, "|").alias(c) for c in ("article_terms", "title_terms", "alias_terms")])
 
 
+def _as_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as questions: an article by number, spaces and marks of both widths, question and linking words."""
+    p = _read(spark, sf, "part")
+    number = F.concat(F.lit("第"), F.translate(F.col("p_size").cast("string"), "123456789", "一二三四五六七八九"), F.lit("條"))
+    text = F.concat(F.when(F.col("p_partkey") % 3 > 0, number).otherwise(F.lit("")), F.lit("的 "), F.upper("p_name"), F.lit(" ， （ "), F.col("p_partkey"), F.lit(" ） 是什么"))
+    return p.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+
+
+@_query
+def normalized_questions(spark: SparkSession, sf: str) -> DataFrame:
+    found = export.normalized_terms(_as_questions(spark, sf))
+    return found.select("query_id", "normalized", *[F.array_join(c, "|").alias(c) for c in ("article_terms", "title_terms", "alias_terms")])
+
+
+@_query
+def cjk_tokens_of_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts in Chinese characters, letter by letter: their tokens."""
+    name = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余")
+    return _read(spark, sf, "part").select("p_partkey", F.array_join(T.cjk_tokens(name), " ").alias("tokens"))
+
+
+@_query
+def shard_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts as file names of shards: letters alone, marks, devices, and nothing."""
+    p = _read(spark, sf, "part")
+    shard = F.when(F.col("p_partkey") % 4 == 0, F.substring("p_name", 1, 5)).when(F.col("p_partkey") % 4 == 1, F.substring("p_brand", 1, 6)).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("com"), F.col("p_partkey") % 12)).otherwise("")
+    return p.select("p_partkey", writers.shard_file_name(shard).alias("file"))
+
+
 @_query
 def shard_names(spark: SparkSession, sf: str) -> DataFrame:
     rows = [("con",), ("ab",), ("a b",), ("",), ("x/y",), ("LPT1",), ("é.",)]
@@ -155,8 +184,8 @@ def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def structural_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Articles that a query names by number or title, merged by route."""
-    nodes = _articles(spark, sf).where("doc_id = 'Brand#11'")
-    sizes = _read(spark, sf, "part").where("p_brand = 'Brand#11'").select(F.concat(F.lit("第"), F.col("p_size"), F.lit("条")).alias("text")).distinct()
+    nodes = _articles(spark, sf)
+    sizes = _read(spark, sf, "part").select(F.concat(F.lit("第"), F.col("p_size"), F.lit("条")).alias("text")).distinct()
     asked = sizes.select(F.col("text").alias("query_id"), "text")
     return rank.merge_routes(export.structural_hits(asked, nodes)).select("query_id", "item", F.col("rank").cast("long").alias("rank"))
 

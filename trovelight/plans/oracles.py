@@ -86,6 +86,12 @@ _LINES = "SELECT doc_id AS file, unnest(range(1, len(l) + 1)) AS line_number, un
 ORACLES["grep_lines_regex"] = f"SELECT * FROM ({_LINES}) WHERE regexp_matches(line_text, '[Tt]ion [a-z]{{2}}\\.')"
 ORACLES["grep_lines_fixed"] = f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_number) AS n FROM ({_LINES}) WHERE contains(line_text, 'and the')) WHERE n <= 3"
 ORACLES["grep_terms_or"] = f"SELECT * FROM ({_LINES}) WHERE contains(line_text, 'password') OR contains(line_text, 'token') OR contains(line_text, 'license') OR contains(line_text, 'the onon')"
+ORACLES["grep_queries"] = f"""
+WITH q AS (SELECT item_id, list_slice(list_filter(regexp_split_to_array(translate(text, '/-', '  '), '\\s+'), lambda x: length(x) >= 2), 1, 6) AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, unnest(w) AS token FROM q),
+h AS (SELECT item_id, file, line_number, count(*) AS n_tokens FROM ({_LINES}) JOIN t ON contains(line_text, token) GROUP BY ALL)
+SELECT item_id AS query_id, file, line_number, n_tokens, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n_tokens DESC, file, line_number) AS pos FROM h) WHERE pos <= 10
+"""
 ORACLES["grep_punct_tolerant"] = f"SELECT * FROM ({_LINES}) WHERE contains(line_text, 'the,') OR contains(line_text, 'the，')"
 ORACLES["files_by_pattern"] = "SELECT DISTINCT url AS path FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)/*$', 1), '^[0-9]{2,3}(\\?|$)')"
 ORACLES["catalog_filter"] = "SELECT doc_id, source AS title FROM documents WHERE contains(lower(source || chr(10) || 'Docs/' || lang || '.md'), 'src1')"
@@ -186,6 +192,9 @@ SELECT q AS query_id, node AS node_id, row_number() OVER (PARTITION BY q ORDER B
 """
 _OLD = "SELECT doc_id, CASE WHEN source = 'src5' THEN 'old5' ELSE source END AS source, CASE WHEN source = 'src7' THEN text || '!' ELSE text END AS text FROM documents WHERE source <> 'src3'"
 _NEW = "SELECT doc_id, source, text FROM documents WHERE source <> 'src9'"
+_NEWPOST = f"SELECT doc_id, unnest({_terms('text')}) AS term FROM ({_NEW})"
+ORACLES["index_update_df"] = f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_NEWPOST}) GROUP BY term"
+ORACLES["index_update_topk"] = _bm25(_SOME, "[]::VARCHAR[]", "SELECT state, query_id, doc_id, round(score, 6) AS score FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score) AS place FROM rk), (VALUES ('updated'), ('compacted')) AS v(state) WHERE place <= 5").replace(f"WITH post AS ({_POST})", f"WITH post AS ({_NEWPOST})").replace("AS dl, lang, source FROM documents)", "AS dl, '' AS lang, source FROM (" + _NEW + "))")
 ORACLES["merge_history"] = f"SELECT doc_id, source, true AS is_active FROM ({_NEW}) UNION ALL SELECT doc_id, source, false FROM ({_OLD}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_NEW}))"
 _CHANGE = f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'removed' WHEN o.doc_id IS NULL THEN 'added' WHEN o.source = n.source AND o.text = n.text THEN 'unchanged' WHEN o.text = n.text THEN 'metadata_only' ELSE 'rebuild' END AS change FROM ({_OLD}) o FULL JOIN ({_NEW}) n USING (doc_id)"
 ORACLES["change_set"] = _CHANGE

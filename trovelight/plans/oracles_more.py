@@ -57,8 +57,8 @@ SELECT t AS query_id, alias, n FROM (SELECT *, row_number() OVER (PARTITION BY t
 """.replace("STOP", _STOP)
 SQL["edge_upsert"] = "SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.5 END AS confidence, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders GROUP BY 1"
 SQL["structural_routes"] = """
-WITH p AS (SELECT * FROM part WHERE p_brand = 'Brand#11'), q AS (SELECT DISTINCT p_size FROM p)
-SELECT '第' || q.p_size || '条' AS query_id, 'a' || p_partkey AS item, row_number() OVER (PARTITION BY q.p_size ORDER BY p_partkey) AS rank FROM q JOIN p USING (p_size)
+WITH p AS (SELECT * FROM part), q AS (SELECT DISTINCT p_size FROM p)
+SELECT '第' || q.p_size || '条' AS query_id, 'a' || p_partkey AS item, row_number() OVER (PARTITION BY q.p_size ORDER BY p_brand, p_partkey) AS rank FROM q JOIN p USING (p_size)
 """
 SQL["double_hits"] = "SELECT lang AS query_id, doc_id AS ref_path, row_number() OVER (PARTITION BY lang ORDER BY contains(text, 'license') DESC, doc_id) AS pos FROM documents"
 SQL["candidate_files"] = """
@@ -141,3 +141,18 @@ h AS (SELECT doc_id, i, CASE WHEN bare = '' THEN '' WHEN starts_with(bare, '#')
 p AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start, regexp_extract(t, '^(#{1,6})\s+\S', 1) AS mark FROM h)
 SELECT doc_id, length(mark) AS level, trim(regexp_replace(t, '^#{1,6}\s+', '')) AS title, char_start FROM p WHERE mark <> ''
 """
+SQL["normalized_questions"] = """
+WITH q AS (SELECT p_partkey AS k, lower(p_name) AS name, p_partkey % 3 > 0 AS cited, p_size::VARCHAR AS size FROM part),
+n AS (SELECT *, CASE WHEN cited THEN '第' || translate(size, '123456789', '一二三四五六七八九') || '條' ELSE '' END || '的 ' || name || ', (' || k || ') 是什么' AS normalized,
+             replace(name, ' ', '|') || ',|(' || k || ')' AS title FROM q)
+SELECT k AS query_id, normalized, CASE WHEN cited THEN '第' || right(rtrim(size, '0'), 1) || '条' ELSE '' END AS article_terms, title AS title_terms, normalized || '|' || title AS alias_terms FROM n
+"""
+SQL["cjk_tokens_of_names"] = """
+WITH t AS (SELECT p_partkey, string_split(translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余'), ' ') AS runs FROM part)
+SELECT p_partkey, array_to_string(flatten(list_transform(runs, lambda r: list_concat(CASE WHEN length(r) BETWEEN 2 AND 6 THEN [r] ELSE [] END,
+       CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i::INT, 2)) END))), ' ') AS tokens FROM t
+"""
+SQL["shard_files"] = """
+WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name[1:5] WHEN 1 THEN p_brand[1:6] WHEN 2 THEN 'com' || p_partkey % 12 ELSE '' END AS s FROM part)
+SELECT p_partkey, CASE WHEN s = '' THEN '_EMPTY' WHEN contains(s, ' ') OR regexp_full_match(s, 'com[1-9]') THEN 'U' || array_to_string(list_transform(string_split(s, ''), lambda c: printf('%04X', ascii(c))), '-') ELSE s END AS file FROM s
+"""

@@ -62,9 +62,13 @@ class SnapshotStore:
         found = self._pointers()
         return f"{found[-1]:08d}" if found else None
 
-    def has(self, table: str) -> bool:
+    def tables(self) -> list[str]:
+        """Names of the tables that the newest pointer has."""
         found = self._pointers()
-        return bool(found) and table in self._tables(found[-1])
+        return sorted(self._tables(found[-1])) if found else []
+
+    def has(self, table: str) -> bool:
+        return table in self.tables()
 
     def read(self, table: str) -> DataFrame:
         found = self._pointers()
@@ -72,12 +76,15 @@ class SnapshotStore:
             raise FileNotFoundError(f"{self.root} holds no snapshot")
         return self.spark.read.parquet(f"{self.root}/{self._tables(found[-1])[table]}/{table}")
 
-    def publish(self, tables: dict[str, DataFrame], check=None, keep: int = 2, keep_others: bool = False) -> str:  # noqa: ANN001
+    def publish(self, tables: dict[str, DataFrame], check=None, keep: int = 2, keep_others: bool = False, base: str | None = "") -> str:  # noqa: ANN001
         """Write the tables, let check(read) refuse them, then switch. With keep_others the other tables stay as they are.
 
-        The states of the newest keep pointers stay readable; folders that none of them names go.
+        The states of the newest keep pointers stay readable; folders that none of them names go. base, if given, is what
+        current() told when the caller began to read; a newer state is refused.
         """
         before = self._pointers()
+        if base != "" and base != self.current():
+            raise BuildError(f"{self.root} has a newer state than the one that this build began with")
         base = before[-1] if before else 0
         version = f"v={base + 1:08d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
