@@ -202,8 +202,8 @@ def test_one_of_many_copies_is_packed(spark, bpe, tmp_path):
         assert got[12 * k] == len(bpe.encode(t, add_special_tokens=False).ids) + 1
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_near_copies_of_five_words(spark, block):
+@pytest.mark.parametrize("limits", [{}, {"block": 7}, {"block_bytes": 4000}])
+def test_near_copies_of_five_words(spark, limits):
     """Links are those of exact 5-word similarity 0.8 or more, also where fingerprints of 64 bits are far apart."""
     from trovelight.llm.near_dedup import near_representatives
 
@@ -218,5 +218,17 @@ def test_near_copies_of_five_words(spark, block):
                 w[k] = word()
             texts.append(" ".join(w))
     docs = frame(spark, list(enumerate(texts)))
-    kept = near_representatives(docs, block=block) if block < 1024 else corpus_pipeline.near_dedup(spark, docs, SF)
+    kept = near_representatives(docs, **limits) if limits else corpus_pipeline.near_dedup(spark, docs, SF)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(near_roots([t or "" for t in texts])))
+
+
+def test_near_copies_of_a_table(spark):
+    """Components of all documents of sf0.01 are those of all pairs at 0.8, with long texts' blocks too; none is missed."""
+    from trovelight.llm.near_dedup import near_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((x.doc_id, x.text or "") for x in docs.collect())
+    roots = near_roots([t for _, t in rows])
+    want = {i: rows[root][0] for (i, _), root in zip(rows, roots, strict=True)}
+    for limits in ({}, {"block_bytes": 1 << 14}):
+        assert {x.doc_id: x.component_id for x in near_components(docs, **limits).collect()} == want

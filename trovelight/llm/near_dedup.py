@@ -9,7 +9,8 @@ shingle sets, so nothing below the threshold links. Texts of equal sets are one
 Each class is first compared with its SimHash partners and with one other of each of its segments' buckets.
 Buckets that still hold texts of several components are then settled whole: a matrix product counts the common
 shingles of all texts of two blocks at once, and what it returns is the components of a block, never its pairs.
-A bucket of more than a block is dealt out by pairs of blocks.
+A bucket of more than a block is dealt out by pairs of blocks. A block is bounded by its texts' number and by the
+bytes of their shingle sets, so long texts make more blocks and not larger ones.
 """
 
 from __future__ import annotations
@@ -181,12 +182,14 @@ def _settle(tenths: int):  # noqa: ANN202
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8, seed: int = 42, block: int = 1024) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8, seed: int = 42, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: doc_id, text_hash (xxhash64 of the text), component_id (smallest doc_id reachable over links, itself included), first (struct of the doc_id and text_hash that stand for the component).
 
     Texts link at a similarity (Jaccard, of shingle sets) of tenths / 10 or more. Texts without words are one component.
     Null texts are empty. Null ids come last, so component_id is null where no row of a component has an id. Repeated
-    rows come back as often; an empty table gives none; other columns are not looked at.
+    rows come back as often; an empty table gives none; other columns are not looked at. A block of texts that are
+    compared with each other holds about block texts and block_bytes bytes of shingle hashes (8 a distinct shingle); a
+    text with more than that is a block by itself, give or take how the hash deals it.
     """
     bound_batches(docs.sparkSession, "2m")
     key = ["h1", "h2"]
@@ -205,7 +208,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = lambda name: of_fp.select(F.col("fp").alias(f"{name}_fp"), F.col("node").alias(name))
     fp_pairs = near.select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(named("a"), "a_fp").join(named("b"), "b_fp").select("a", "b")
 
-    banded = classes.select(F.col("h1").alias("node"), F.posexplode("bands").alias("band", "value"))
+    banded = classes.select(F.col("h1").alias("node"), "n", F.posexplode("bands").alias("band", "value"))
     firsts = banded.groupBy("band", "value").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     buckets = materialize(banded.join(firsts, ["band", "value"]), "buckets")
     pairs = materialize(equal.unionByName(fp_pairs).unionByName(buckets.where("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -220,8 +223,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = materialize(connected_components(links).select(F.col("node").alias("labelled"), "component").distinct(), "labels")
 
     # Buckets with several components: all their texts are compared, in blocks.
-    parted = buckets.join(label, F.col("node") == F.col("labelled"), "left").select("band", "value", "node", F.coalesce("component", "node").alias("part"))
-    mixed = parted.groupBy("band", "value").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m")).where("x < y").select("band", "value", F.ceil(F.col("m") / block).alias("blocks"))
+    parted = buckets.join(label, F.col("node") == F.col("labelled"), "left").select("band", "value", "n", F.coalesce("component", "node").alias("part"))
+    mixed = parted.groupBy("band", "value").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("x < y").select("band", "value", F.ceil(F.greatest(F.col("m") / block, F.col("shingles") * 8 / block_bytes)).alias("blocks"))
     opened = buckets.join(mixed, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = opened.select("band", "value", "node", "own", other).select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"), "node")
