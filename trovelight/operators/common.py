@@ -30,7 +30,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written to the scratch folder and read back: what is built on it reads it instead of making it again."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.held_at = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more. Others are left alone."""
+    for df in tables:
+        if path := getattr(df, "held_at", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The verbs: bundle, answer, triage, search_lines, files, docs, get_node, history, feedback, vacuum. Each takes and gives DataFrames."""
+"""The verbs: bundle, answer, triage, search_lines, files, docs, get_node, history, feedback, vacuum, reindex. Each takes and gives DataFrames."""
 
 from __future__ import annotations
 
@@ -9,14 +9,16 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..errors import ConfigError, IntegrityError
+from ..errors import BuildError, ConfigError, IntegrityError
 from ..functions import constants as K
 from ..functions import text as T
-from ..operators import export, graph, grep, memory, rank, render, search
+from ..operators import export, graph, grep, memory, rank, rebuild, render, search
 from ..operators import history as versions
 from ..operators.common import broadcast_if_small, materialize
 from ..operators.index import doc_stats, postings
+from ..sources.writers import SnapshotStore
 
 
 @dataclass(frozen=True)
@@ -148,6 +150,8 @@ class Answer:
     log: DataFrame
 
 
+LOG_SCHEMA = "query_id string, query_text string, cmd string, hits_count int, top_node_ids array<string>, duration_ms int, neighbors int, query_norm string, timestamp timestamp"
+FEEDBACK_SCHEMA = "feedback_id string, query_id string, node_id string, feedback_type string, context string, timestamp timestamp"
 CACHE_SCHEMA = "cache_key string, cached_at timestamp, markdown string, node_ids array<string>, exhausted boolean"
 
 
@@ -177,6 +181,43 @@ def answer(corpus: Corpus, queries: DataFrame, options: BundleOptions, cache: Da
     return Answer(bundles.drop("cache_key"), memory.cache_put(cache, fresh, now, key="cache_key"), log)
 
 
+def answer_stored(corpus: Corpus, queries: DataFrame, options: BundleOptions, store: SnapshotStore, now: F.Column) -> DataFrame:
+    """answer() with cache, log and feedback in store, and what it leaves behind written there. Several callers may do so at once.
+
+    Log rows are added as a part of their own, the cache (50 rows) is put together again where another caller was first.
+    """
+    spark = queries.sparkSession
+    empty = spark.createDataFrame([], CACHE_SCHEMA)
+    log, feedback = stored_log(store), store.read_parts("node_feedback", StructType.fromDDL(FEEDBACK_SCHEMA))
+    held = store.read("result_cache") if store.has("result_cache") else empty
+    made = answer(replace(corpus, log=log, feedback=feedback), queries, options, held, now)
+    store.append("query_log", made.log.withColumn("duration_ms", F.lit(None).cast("int")).select(*StructType.fromDDL(LOG_SCHEMA).names))
+    fresh = materialize(made.cache, "cache")  # 50 rows at most
+    store.update("result_cache", lambda now_held: memory.cache_live((now_held if now_held is not None else empty).unionByName(fresh), now, key="cache_key"))
+    return made.bundles
+
+
+def stored_log(store: SnapshotStore) -> DataFrame:
+    """The query log in store."""
+    return store.read_parts("query_log", StructType.fromDDL(LOG_SCHEMA))
+
+
+def feedback_stored(store: SnapshotStore, query_id: str, node_id: str, feedback_type: str, context: str = "") -> None:
+    """A row of feedback in store; weights follow from it when the next query is answered."""
+    store.append("node_feedback", feedback_rows(store.spark, query_id, node_id, feedback_type, context))
+
+
+def reindex(store: SnapshotStore, sources: DataFrame, extract: Callable[[DataFrame], DataFrame], attempts: int = 3, **options: object) -> rebuild.Rebuilt:
+    """operators.rebuild.rebuild(), once more from the newest state where another writer was first."""
+    for n in range(attempts):
+        try:
+            return rebuild.rebuild(store, sources, extract, **options)
+        except BuildError:
+            if n + 1 == attempts:
+                raise
+    raise ConfigError("no attempts")
+
+
 def docs(listed: DataFrame, query: str = "", limit: int = 0) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, title, source_file, as of a manifest) whose title or file holds the query: the rows, and one row of Markdown."""
     from pyspark.sql import Window

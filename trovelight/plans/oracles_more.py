@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import _STOP
+from .oracles import _CHANGE, _NEW, _STOP
 
 SQL: dict[str, str] = {}
 
@@ -156,3 +156,10 @@ SQL["shard_files"] = """
 WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name[1:5] WHEN 1 THEN p_brand[1:6] WHEN 2 THEN 'com' || p_partkey % 12 ELSE '' END AS s FROM part)
 SELECT p_partkey, CASE WHEN s = '' THEN '_EMPTY' WHEN contains(s, ' ') OR regexp_full_match(s, 'com[1-9]') THEN 'U' || array_to_string(list_transform(string_split(s, ''), lambda c: printf('%04X', ascii(c))), '-') ELSE s END AS file FROM s
 """
+
+_OF_NEW = _CHUNK.replace("FROM documents WHERE text <> ''", f"FROM ({_NEW}) WHERE text <> ''")
+SQL["incremental_rebuild"] = f"""
+WITH ch AS ({_CHANGE}), k AS ({_OF_NEW})
+SELECT ch.doc_id, change, source, count(k.ordinal) AS chunks, coalesce(sum(k.char_end - k.char_start), 0)::BIGINT AS chars, max(sha256(k.text)) FILTER (k.ordinal = m.last) AS last_sha256
+FROM ch LEFT JOIN ({_NEW}) n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, max(ordinal) AS last FROM k GROUP BY doc_id) m USING (doc_id) GROUP BY ALL
+"""

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import BuildError
 from ..operators.common import broadcast_if_small
@@ -92,16 +97,146 @@ class SnapshotStore:
         if check is not None:
             check(lambda table: self.spark.read.parquet(f"{self.root}/{version}/{table}"))
         listed = (self._tables(base) if keep_others and base else {}) | dict.fromkeys(tables, version)
-        if not create_text_file(self.spark, f"{self.root}/pointers/{base + 1:08d}", json.dumps(listed, sort_keys=True)):
+        self._switch(base, listed, version, before, keep)
+        return version
+
+    def _switch(self, base: int, listed: dict[str, str], version: str, before: list[int], keep: int) -> None:
+        """Let the pointer after base tell of listed; the version goes if another writer was first."""
+        if not self._point(base, listed):
             self._drop(version)
             raise BuildError(f"{self.root} has a newer state than the one that this build began with")
-        held = [*before, base + 1]
-        named = {v for n in held[-keep:] for v in self._tables(n).values()}
-        gone = {v for n in held[:-keep] for v in self._tables(n).values()} - named
-        for old in [*sorted(gone), *(f"pointers/{n:08d}" for n in held[:-keep])]:
+        self._clear([*before, base + 1], keep)
+
+    def _point(self, base: int, listed: dict[str, str]) -> bool:
+        return create_text_file(self.spark, f"{self.root}/pointers/{base + 1:08d}", json.dumps(listed, sort_keys=True))
+
+    def _clear(self, held: list[int], keep: int) -> None:
+        """Drop what only pointers ahead of the newest keep name. Several writers may do so at once."""
+
+        def named(numbers: list[int]) -> set[str]:
+            out: set[str] = set()
+            for n in numbers:
+                try:
+                    out |= set(self._tables(n).values())
+                except PySparkException:  # another writer has dropped it
+                    continue
+            return out
+
+        kept = named(held[-keep:])
+        for old in [*sorted(named(held[:-keep]) - kept), *(f"pointers/{n:08d}" for n in held[:-keep])]:
             self._drop(old)
+
+    # --- tables in parts: a pointer names each part's version, as "table/bucket=7" or "table/part=..." ---
+
+    def parts(self, table: str) -> dict[str, str]:
+        """The parts of a table, as the newest pointer has them, and their folders."""
+        found = self._pointers()
+        listed = self._tables(found[-1]) if found else {}
+        return {k: f"{self.root}/{v}/{k}" for k, v in sorted(listed.items()) if k.startswith(f"{table}/")}
+
+    def read_parts(self, table: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
+        """A table in parts, or some buckets of it, without the column bucket; no rows if there is none."""
+        found = self.parts(table)
+        paths = list(found.values()) if buckets is None else [found[k] for b in buckets if (k := f"{table}/bucket={b}") in found]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def publish_parts(self, tables: dict[str, DataFrame], written: dict[str, list[int]] | None, whole: dict[str, DataFrame] | None = None, base: str | None = "", check=None, keep: int = 2) -> str:  # noqa: ANN001
+        """Write parts of tables by their column bucket (and whole small tables), then switch.
+
+        Of the buckets in written (None: all) what is written takes the place of what was there, none where no row is left; other parts stay
+        where they are. check(read) sees the rows just written.
+        """
+        before = self._pointers()
+        if base != "" and base != self.current():
+            raise BuildError(f"{self.root} has a newer state than the one that this build began with")
+        number = before[-1] if before else 0
+        version = f"v={number + 1:08d}-{uuid.uuid4().hex[:8]}"
+        listed = self._tables(number) if number else {}
+        for name, df in tables.items():
+            path = f"{self.root}/{version}/{name}"
+            df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)  # large buckets may be several files
+            fs, folder, _ = _fs(self.spark, path)
+            made = [int(n.split("=")[1]) for x in fs.listStatus(folder) if (n := x.getPath().getName()).startswith("bucket=")]
+            for k in [k for k in listed if k.startswith(f"{name}/bucket=")]:
+                if written is None or int(k.split("=")[1]) in written[name]:
+                    del listed[k]
+            listed |= {f"{name}/bucket={b}": version for b in made}
+        for name, df in (whole or {}).items():
+            df.write.parquet(f"{self.root}/{version}/{name}")
+            listed[name] = version
+        if check is not None:
+            check(lambda table: self.spark.read.schema(tables[table].drop("bucket").schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{version}/{table}"))
+        self._switch(number, listed, version, before, keep)
+        return version
+
+    def _retry(self, once: Callable[[], bool], attempts: int) -> None:
+        for n in range(attempts):
+            if once():
+                return
+            time.sleep(random.uniform(0, 0.02 * 2 ** min(n, 6)))
+        raise BuildError(f"{self.root}: others were first {attempts} times")
+
+    def append(self, table: str, rows: DataFrame, attempts: int = 30, keep: int = 2) -> str:
+        """Add rows to a table in parts. They are written once; only the pointer is tried again where writers meet, so all writers' rows stay."""
+        name = uuid.uuid4().hex
+        version, part = f"v=added-{name}", f"{table}/part={name}"
+        rows.write.parquet(f"{self.root}/{version}/{part}")
+
+        def once() -> bool:
+            before = self._pointers()
+            try:
+                listed = self._tables(before[-1]) if before else {}
+            except PySparkException:  # the pointer was dropped meanwhile
+                return False
+            last = before[-1] if before else 0
+            if not self._point(last, listed | {part: version}):
+                return False
+            self._clear([*before, last + 1], keep)
+            return True
+
+        self._retry(once, attempts)
         return version
 
+    def merge_parts(self, table: str, schema: StructType, keep: int = 2) -> str:
+        """Write the parts there are as one. Parts that others add meanwhile stay beside it."""
+        merged = self.parts(table)
+        name = uuid.uuid4().hex
+        version, part = f"v=added-{name}", f"{table}/part={name}"
+        self.spark.read.schema(schema).parquet(*merged.values()).write.parquet(f"{self.root}/{version}/{part}")
+
+        def once() -> bool:
+            before = self._pointers()
+            try:
+                listed = self._tables(before[-1])
+            except PySparkException:
+                return False
+            if not set(merged) <= set(listed):
+                self._drop(version)
+                raise BuildError(f"{self.root}: the parts of {table} were merged by another writer")
+            if not self._point(before[-1], {k: v for k, v in listed.items() if k not in merged} | {part: version}):
+                return False
+            self._clear([*before, before[-1] + 1], keep)
+            return True
+
+        self._retry(once, 30)
+        return version
+
+    def update(self, table: str, make: Callable[[DataFrame | None], DataFrame], attempts: int = 30, keep: int = 2) -> None:
+        """Replace a table by make(what it holds, or None), made again from the newest state where another writer was first. For bounded tables."""
+
+        def once() -> bool:
+            try:
+                base = self.current()
+                held = self.read(table) if base and self.has(table) else None
+                self.publish({table: make(held)}, keep=keep, keep_others=True, base=base)
+            except (BuildError, PySparkException) as e:
+                if isinstance(e, BuildError) or "NOT_EXIST" in str(e) or "PATH_NOT_FOUND" in str(e):
+                    return False
+                raise
+            return True
+
+        self._retry(once, attempts)
+
     def _drop(self, name: str) -> None:
         fs, path, _ = _fs(self.spark, f"{self.root}/{name}")
         fs.delete(path, True)
