@@ -3,8 +3,10 @@
 import io
 import json
 import math
+import os
 import random
 import sqlite3
+import time
 import zipfile
 
 import pytest
@@ -429,23 +431,88 @@ def test_line_search(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
 
-    rows = [("q", "n", i, d, 1000 + i * 60) for i, d in enumerate([2.0] * 12 + [-3.0, 1.0, 2.0])] + [("q", "m", 99, 1.0, 1010)]
     schema = "query_norm string, node_id string, seq long, delta double, at long"
-    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
-    df.where("seq % 2 = 0").coalesce(1).write.parquet(f"{tmp_path}/in/a")
-    df.where("seq % 2 = 1").coalesce(1).write.parquet(f"{tmp_path}/in/b")
-    spark.createDataFrame([("z", "z", 0, 0.0, 99999)], schema).withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1).write.parquet(f"{tmp_path}/in/c")
-    source = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    run = stream.weights(source, "2 hours").writeStream.format("memory").queryName("weights_stream").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").start()
-    run.processAllAvailable()
-    run.stop()
-    last = {}
-    for r in spark.table("weights_stream").collect():
-        last[r.node_id] = (r.weight, r.pos_count, r.neg_count)
-    want = {r.node_id: (r.weight, r.pos_count, r.neg_count) for r in memory.fold_weights(df, ["query_norm", "node_id"], ["ts", "seq"]).collect()}
-    assert {k: v for k, v in last.items() if k != "z"} == want
+    frame = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    hot = [("q", "n", i, [2.0, 2.0, 2.0, -3.0, 1.0][i % 5], 1000 + i * 600) for i in range(60)]
+    ties = [("q", "m", i, d, 1010) for i, d in [(9, 30.0), (10, -3.0), (11, 30.0)]]
+    first = frame([*hot[:40], *ties, hot[3], (None, "n", 1, 1.0, 1000), ("q", "n", 500, None, 1000)])
+    second = frame([*hot[40:], hot[41], ("q", "n", 600, -9.0, 1005), ("z", "z", 0, 0.0, 200_000)])  # the row of 1005 is behind the watermark by then
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    store = writers.SnapshotStore(spark, f"file://{tmp_path}/store")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = []
+    for name, rows in [("a", first), ("b", second)]:
+        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream.fold_available(source, store, f"file://{tmp_path}/ck", delay="30 minutes", bucket_ms=60_000)
+        got.append({(r.query_norm, r.node_id): (r.weight, r.pos_count, r.neg_count, r.last_used) for r in stream.weights_of(store).collect()})
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    for n, found in zip((36, 60), got, strict=True):  # the buckets of the first 36 end 30 minutes ahead of 24,400 s
+        batch = frame([*hot[:n], *ties])
+        want = {(r.query_norm, r.node_id): (r.weight, r.pos_count, r.neg_count, r.last_used) for r in memory.fold_weights(batch, ["query_norm", "node_id"], ["ts", "seq"]).collect()}
+        assert found == want
+    # A batch applied again changes nothing.
+    move = spark.createDataFrame([("q", "n", 0, 5.0, float("-inf"), 20.0, 1, 0, 7)], stream._MOVES)
+    sink = stream.weights_sink(store)
+    sink(move, 50)
+    once = sorted(stream.weights_of(store).collect())
+    sink(move, 50)
+    assert sorted(stream.weights_of(store).collect()) == once and ("q", "n", 50) in [(r.query_norm, r.node_id, r.batch_id) for r in once]
+
+
+def test_streams_of_the_log(spark, tmp_path):
+    """Repeated ids go, counts by window equal a batch's, and an upsert by batches keeps the last row of a key."""
+    from trovelight.streaming import memory as stream
+
+    rows = [(f"i{k % 50}", f"q{k % 3}", 1000 + 60 * (k % 50)) for k in range(60)]
+    log = spark.createDataFrame(rows, "query_id string, query_norm string, at long").withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+    log.coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("end", "end", 99999)], "query_id string, query_norm string, at long").withColumn("timestamp", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = lambda: stream.arrivals(spark, f"{tmp_path}/in", "query_id string, query_norm string, timestamp timestamp")
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted(r.query_id for r in run(stream.once(source()), "once_only", "append")) == sorted({f"i{k}" for k in range(50)} | {"end"})
+    counted = {(r.start, r.query_norm): r.queries for r in run(stream.counts_by_window(source(), "1 hour"), "counted", "append")}
+    want = log.groupBy(F.window("timestamp", "1 hour").start.alias("start"), "query_norm").count().collect()
+    assert counted == {(r.start, r.query_norm): r["count"] for r in want}
+    store = writers.SnapshotStore(spark, f"file://{tmp_path}/store")
+    sink = stream.upsert_sink(store, "t", ["k"])
+    for batch, (k, v) in enumerate([("a", 1), ("b", 2), ("a", 3), ("a", 3)]):
+        sink(spark.createDataFrame([(k, v)], "k string, v int"), batch)
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == [("a", 3), ("b", 2)]
+
+
+def test_limits_of_extraction(spark, tmp_path):
+    def slow(path, data):
+        if "hang" in path:
+            time.sleep(600)
+        if "die" in path:
+            os._exit(1)
+        return A.read_file(path, data)
+
+    rows = [("a.txt", b"one"), ("hang.txt", b"x"), ("b.md", "Gr\u00fc\u00dfe".encode()), ("die.txt", b"x"), ("long.txt", b"y" * 200), ("c.docx", b"x"), (None, b"x"), ("n.txt", None), ("d.txt", b"")]
+    df = spark.createDataFrame(rows, "path string, content binary").coalesce(1)
+    found = [tuple(r.x) for r in df.select(A.extract_limited(1, 100, slow)("path", "content").alias("x")).collect()]
+    assert [t for t, _ in found] == ["one", None, "Gr\u00fc\u00dfe", None, None, None, None, None, ""]
+    told = [e for _, e in found]
+    assert told[1] == "not read within 1 seconds" and told[3] == "the reader's process ended" and told[4] == "text has more than 100 characters"
+    assert told[5].startswith("not a DOCX document") and told[6] == told[7] == "no path or content" and told[0] is told[2] is told[8] is None
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", b" " * 5_000_000)
+    with pytest.raises(A.ExtractError, match="more than 1000000 bytes"):
+        A.docx_markdown(bomb.getvalue(), 1_000_000)
+    (tmp_path / "ok.md").write_text("# T\n")
+    (tmp_path / "big.md").write_text("z" * 2000)
+    (tmp_path / "no.bin").write_text("x")
+    read = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in readers.extract_folder(spark, f"file://{tmp_path}", most_bytes=1000).collect()}
+    assert read["ok.md"] == ("# T\n", None) and read["big.md"] == (None, "file has 2000 bytes, more than 1000") and read["no.bin"][0] is None and read["no.bin"][1]
 
 
 def test_pages_of_a_tree(spark):

@@ -21,6 +21,18 @@ def _then(a: Column, b: Column) -> Column:
     return F.struct((a["shift"] + b["shift"]).alias("shift"), clamp(a["low"] + b["shift"]).alias("low"), clamp(a["high"] + b["shift"]).alias("high"))
 
 
+def fold_moves(items: Column) -> Column:
+    """Moves of an array of (place, move as m), in order of place, as one move."""
+    far = F.lit(float("inf"))
+    none = F.struct(F.lit(0.0).alias("shift"), (-far).alias("low"), far.alias("high"))
+    return F.aggregate(F.transform(F.array_sort(items), lambda x: x["m"]), none, _then)
+
+
+def moved(weight: Column, move: Column) -> Column:
+    """A weight after a move."""
+    return F.least(F.greatest(weight + move["shift"], move["low"]), move["high"])
+
+
 def fold_weights(deltas: DataFrame, keys: list[str], order: list[str], delta: str = "delta", time: str = "ts", block: int = 1000) -> DataFrame:
     """keys, weight, pos_count, neg_count, last_used: deltas folded in order, from 0, as clamp_step() moves them.
 
@@ -29,16 +41,14 @@ def fold_weights(deltas: DataFrame, keys: list[str], order: list[str], delta: st
     of block events in a row are folded where they lie, and then the moves of a key.
     """
     far = F.lit(float("inf"))
-    none = F.struct(F.lit(0.0).alias("shift"), (-far).alias("low"), far.alias("high"))
     told = deltas.select(*keys, *[c for c in order if c not in keys], F.col(time).alias("t"), F.col(delta).cast("double").alias("d"))
     move = F.struct(F.col("d").alias("shift"), F.when(F.col("d") < 0, F.lit(float(K.WEIGHT_FLOOR))).otherwise(-far).alias("low"), F.when(F.col("d") < 0, far).otherwise(F.lit(float(K.WEIGHT_CAP))).alias("high"))
     spread = told.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     at = F.floor(F.monotonically_increasing_id() / block)  # ascends with the ranges, so with a key's order
     rows = spread.select(*keys, F.struct(*order).alias("o"), "t", "d", move.alias("m"), at.alias("at"))
-    fold = lambda items: F.aggregate(F.transform(F.array_sort(items), lambda x: x["m"]), none, _then)
-    blocks = rows.groupBy(*keys, "at").agg(fold(F.collect_list(F.struct("o", "m"))).alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("pos"), F.sum((F.col("d") < 0).cast("int")).alias("neg"), F.max("t").alias("t"))
-    whole = blocks.groupBy(*keys).agg(fold(F.collect_list(F.struct("at", "m"))).alias("m"), F.sum("pos").alias("pos_count"), F.sum("neg").alias("neg_count"), F.max("t").alias("last_used"))
-    return whole.select(*keys, F.least(F.greatest(F.col("m.shift"), F.col("m.low")), F.col("m.high")).alias("weight"), "pos_count", "neg_count", "last_used")
+    blocks = rows.groupBy(*keys, "at").agg(fold_moves(F.collect_list(F.struct("o", "m"))).alias("m"), F.sum((F.col("d") > 0).cast("int")).alias("pos"), F.sum((F.col("d") < 0).cast("int")).alias("neg"), F.max("t").alias("t"))
+    whole = blocks.groupBy(*keys).agg(fold_moves(F.collect_list(F.struct("at", "m"))).alias("m"), F.sum("pos").alias("pos_count"), F.sum("neg").alias("neg_count"), F.max("t").alias("last_used"))
+    return whole.select(*keys, moved(F.lit(0.0), F.col("m")).alias("weight"), "pos_count", "neg_count", "last_used")
 
 
 def log_deltas(log: DataFrame) -> DataFrame:

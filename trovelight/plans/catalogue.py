@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import corpus, graph, grep, history, index, memory, rank, rebuild, render, search, segments
 from ..operators.common import materialize, scratch_path
 from ..sources import readers, writers
+from ..streaming import memory as stream
 from . import api
 from .catalogue_more import MORE
 from .oracles import ORACLES
@@ -57,17 +58,17 @@ def _turn_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.structure_edges(corpus.sibling_links(_turns(spark, sf)))
 
 
-def _log(spark: SparkSession, sf: str) -> DataFrame:
+def _log(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """events as a query log: the user is the query, k of props the node returned."""
-    e = _read(spark, sf, "events")
+    e = events if events is not None else _read(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(F.col("event_id").cast("string").alias("query_id"), F.concat(F.lit("User "), F.col("user_id"), F.lit(" "), F.col("event_type")).alias("query_text"), F.col("user_id").cast("string").alias("query_norm"), F.col("ts").alias("timestamp"), "event_type", F.array(F.concat(F.lit("n"), k)).alias("top_node_ids"), (k % 3).alias("neighbors"), F.concat(F.lit("n"), k).alias("node_id"))
 
 
-def _deltas(spark: SparkSession, sf: str) -> DataFrame:
+def _deltas(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """purchase +2, error -3, view +1, signup and click nothing; by user and k."""
     delta = F.when(F.col("event_type") == "purchase", 2.0).when(F.col("event_type") == "error", -3.0).when(F.col("event_type") == "view", 1.0)
-    return _log(spark, sf).select("query_norm", "node_id", delta.alias("delta"), F.col("timestamp").alias("ts"), F.col("query_id").cast("long").alias("seq")).where("delta is not null")
+    return _log(spark, sf, events).select("query_norm", "node_id", delta.alias("delta"), F.col("timestamp").alias("ts"), F.col("query_id").cast("long").alias("seq")).where("delta is not null")
 
 
 _NOW = "2024-02-01 00:00:00"
@@ -511,6 +512,16 @@ def weights_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folded.select("query_norm", "weight", F.col("pos_count").cast("long").alias("pos_count"), F.col("neg_count").cast("long").alias("neg_count"))
 
 
+@_query
+def streamed_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights that a stream over events has folded by the time its watermark stands an hour behind the latest event."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")  # a pattern, since a stream's path is a folder or a pattern
+    store = writers.SnapshotStore(spark, scratch_path(spark, "streamed"))
+    stream.fold_available(_deltas(spark, sf, events), store, scratch_path(spark, "stream-state"))
+    return stream.weights_of(store).select("query_norm", "node_id", "weight", "pos_count", "neg_count")
+
+
 @_query
 def decayed_weights(spark: SparkSession, sf: str) -> DataFrame:
     folded = memory.fold_weights(_deltas(spark, sf), ["query_norm", "node_id"], ["ts", "seq"])

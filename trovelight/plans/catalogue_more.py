@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import corpus, export, graph, history, memory, rank, render, search
 from ..sources import writers
@@ -290,3 +296,30 @@ def bodies_from_files(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _tree(spark, sf)[1].withColumn("body_md", F.lit(""))
     files = _read(spark, sf, "supplier").select(F.concat("s_name", F.lit(".md")).alias("ref_path"), F.concat(F.lit("---\nid: x\n---\n\nBody of "), F.col("s_name"), F.lit("  \n\n")).alias("md"))
     return export.bodies_from_files(nodes, files).select("node_id", "body_md")
+
+
+@F.pandas_udf(BinaryType())
+def _docx(levels: pd.Series, titles: pd.Series, texts: pd.Series) -> pd.Series:
+    """The least DOCX there is: a heading and a paragraph."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def packed(level: int, title: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Heading{level}"/></w:pPr><w:r><w:t>{escape(title)}</w:t></w:r></w:p><w:p><w:r><w:t>{escape(text)}</w:t></w:r></w:p></w:body></w:document>')
+        return out.getvalue()
+
+    return pd.Series([packed(*x) for x in zip(levels, titles, texts, strict=True)])
+
+
+@_query
+def extracted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as files: DOCX, text with a mark, a DOCX that is none, and a suffix that isn't read; errors are rows."""
+    parts = _read(spark, sf, "part")
+    kind = F.col("p_partkey") % 4
+    plain = F.encode(F.concat_ws("\n", "p_name", "p_type"), "UTF-8")
+    content = F.when(kind == 0, _docx(F.col("p_size") % 3 + 1, "p_name", "p_type")).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).otherwise(plain)
+    path = F.concat(F.lit("f"), F.col("p_partkey"), F.when(kind.isin(0, 2), ".docx").when(kind == 1, ".txt").otherwise(".bin"))
+    x = A.extract_limited(seconds=60)("path", "content")
+    read = parts.select("p_partkey", path.alias("path"), content.alias("content")).select("p_partkey", x.alias("x"))
+    return read.select("p_partkey", F.col("x.text").alias("text"), F.substring_index("x.error", ":", 1).alias("error"))

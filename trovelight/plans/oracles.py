@@ -183,6 +183,8 @@ def _fold(keys: str) -> str:
 _DECAY = f"SELECT q, node, weight * exp(-0.6931471805599453 * (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last)) / 86400000000.0 / 30) AS weight FROM ({_fold('q, node')})"
 ORACLES["weights_fold"] = f"SELECT q AS query_norm, weight, pos_count, neg_count FROM ({_fold('q')})"
 ORACLES["decayed_weights"] = f"SELECT q AS query_norm, node AS node_id, round(weight, 6) AS weight FROM ({_DECAY}) WHERE weight > 0.01"
+_PASSED = f"date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ({_DELTA})) - INTERVAL 1 HOUR"
+ORACLES["streamed_weights"] = f"SELECT q AS query_norm, node AS node_id, weight, pos_count, neg_count FROM ({_fold('q, node').replace('GROUP BY', f'WHERE {_PASSED} GROUP BY')})"
 _HITS = "SELECT user_id::VARCHAR AS q, 'n' || json_extract_string(props, '$.k') AS node, max(ts) AS t FROM events GROUP BY ALL"
 ORACLES["learned_boost_order"] = f"""
 WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY t DESC, node) AS rank FROM ({_HITS}))),

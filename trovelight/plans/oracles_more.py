@@ -163,3 +163,7 @@ WITH ch AS ({_CHANGE}), k AS ({_OF_NEW})
 SELECT ch.doc_id, change, source, count(k.ordinal) AS chunks, coalesce(sum(k.char_end - k.char_start), 0)::BIGINT AS chars, max(sha256(k.text)) FILTER (k.ordinal = m.last) AS last_sha256
 FROM ch LEFT JOIN ({_NEW}) n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, max(ordinal) AS last FROM k GROUP BY doc_id) m USING (doc_id) GROUP BY ALL
 """
+SQL["extracted_files"] = """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN repeat('#', (p_size % 3 + 1)::INT) || ' ' || p_name || chr(10) || chr(10) || p_type || chr(10) WHEN 1 THEN p_name || chr(10) || p_type END AS text,
+       CASE p_partkey % 4 WHEN 2 THEN 'not a DOCX document' WHEN 3 THEN 'f' || p_partkey || '.bin' END AS error FROM part
+"""

@@ -29,6 +29,22 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "source_fingerprint", A.canonical(F.when(plain, T.inferred_headings("raw")).otherwise(F.col("raw"))).alias("text"))
 
 
+def extract_folder(spark: SparkSession, path: str, seconds: float = 60, most_bytes: int = 1 << 28, most_chars: int = 1 << 28) -> DataFrame:
+    """read_folder() with limits: path, source_fingerprint, text, error, where text or error is null.
+
+    A file that takes longer than seconds, whose text is longer than most_chars, or that can't be read, is a row with an error.
+    Files of more than most_bytes are told by their length and never loaded.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    x = A.extract_limited(seconds, most_chars)("path", "content")
+    rows = files.where(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("source_fingerprint"), x.alias("x"))
+    plain = F.lower("path").endswith(".txt")
+    text = A.canonical(F.when(plain, T.inferred_headings("x.text")).otherwise(F.col("x.text")))
+    read = rows.select("path", "source_fingerprint", F.when(F.col("x.error").isNull(), text).alias("text"), "x.error")
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("source_fingerprint"), F.lit(None).cast("string").alias("text"), F.format_string("file has %d bytes, more than %d", "length", F.lit(most_bytes)).alias("error"))
+    return read.unionByName(large)
+
+
 def documents_of(files: DataFrame) -> DataFrame:
     """files to doc_id, title, source_file, source_version, text and fingerprints. The title is the first heading, else the file's name."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
+from ..operators import memory
+
+_MOVES = "query_norm string, node_id string, bucket long, shift double, low double, high double, pos_count long, neg_count long, last_us long"
+_WEIGHTS = "query_norm string, node_id string, weight double, pos_count long, neg_count long, last_used timestamp, batch_id long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def once(log: DataFrame, delay: str = "1 hour", key: str = "query_id", time: str = "timestamp") -> DataFrame:
@@ -23,38 +30,112 @@ def counts_by_window(log: DataFrame, size: str = "7 days", slide: str | None = N
     return log.withWatermark(time, delay).groupBy(spec, "query_norm").agg(F.count("*").alias("queries")).select("window.start", "window.end", "query_norm", "queries")
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-    """Events wait until the watermark has passed them, so that the clamped fold sees them in order of time."""
-    weight, pos, neg, last, waiting = state.get if state.exists else (0.0, 0, 0, None, "[]")
-    held = pd.read_json(io.StringIO(waiting), orient="records", convert_dates=False, dtype={"seq": str}) if waiting != "[]" else pd.DataFrame(columns=["us", "seq", "delta"])
-    new = [pd.DataFrame({"us": f["ts"].astype("datetime64[us]").astype("int64"), "seq": f["seq"].astype(str), "delta": f["delta"].astype(float)}) for f in frames]
-    rows = pd.concat([x for x in [held, *new] if len(x)], ignore_index=True) if len(held) or any(len(x) for x in new) else held
-    done_ms = state.getCurrentWatermarkMs()
-    ready = rows[rows["us"] < done_ms * 1000].sort_values(["us", "seq"])
-    later = rows[rows["us"] >= done_ms * 1000]
-    for us, delta in zip(ready["us"], ready["delta"], strict=True):
-        weight = min(weight + delta, K.WEIGHT_CAP) if delta >= 0 else max(weight + delta, K.WEIGHT_FLOOR)
-        pos, neg, last = pos + (delta > 0), neg + (delta < 0), int(us)
-    state.update((float(weight), int(pos), int(neg), last, later.to_json(orient="records") if len(later) else "[]"))
-    if len(later):
-        state.setTimeoutTimestamp(int(later["us"].min() // 1000) + 1)
-    if len(ready):
-        yield pd.DataFrame({"query_norm": [key[0]], "node_id": [key[1]], "weight": [weight], "pos_count": [pos], "neg_count": [neg], "last_used": [pd.Timestamp(last, unit="us")]})
-
-
-def weights(deltas: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """deltas (query_norm, node_id, seq, delta, ts) to updated rows of query_node_weights, one per key and batch that changed it."""
-    return (
-        deltas.withWatermark("ts", delay)
-        .groupBy("query_norm", "node_id")
-        .applyInPandasWithState(
-            _fold,
-            "query_norm string, node_id string, weight double, pos_count int, neg_count int, last_used timestamp",
-            "weight double, pos int, neg int, last long, waiting string",
-            "update",
-            "EventTimeTimeout",
-        )
-    )
+class _Bucket(StatefulProcessor):
+    """Events of a key and a stretch of time wait in a list until the watermark has passed the stretch, and leave as one move."""
+
+    def __init__(self, width_ms: int, seq: str):
+        self.width_ms, self.seq = width_ms, seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"us long, seq {self.seq}, delta double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        if not self.waiting.exists():
+            self.handle.registerTimer(int(key[2]) + self.width_ms - 1)
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["us"].tolist(), frame["seq"].tolist(), frame["delta"].tolist(), strict=True)))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        events = sorted(tuple(x) for x in self.waiting.get())
+        self.waiting.clear()
+        shift, low, high, pos, neg, at = 0.0, float("-inf"), float("inf"), 0, 0, None
+        for us, seq, delta in events:
+            if (us, seq) == at:
+                continue
+            at = (us, seq)
+            floor, cap = (K.WEIGHT_FLOOR, float("inf")) if delta < 0 else (float("-inf"), K.WEIGHT_CAP)
+            shift, low, high = shift + delta, min(max(low + delta, floor), cap), min(max(high + delta, floor), cap)
+            pos, neg = pos + (delta > 0), neg + (delta < 0)
+        yield pd.DataFrame([(*key[:2], int(key[2]), shift, float(low), float(high), pos, neg, events[-1][0])], columns=[c.split()[0] for c in _MOVES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def moves(deltas: DataFrame, delay: str = "1 hour", bucket_ms: int = 3_600_000) -> DataFrame:
+    """deltas (query_norm, node_id, seq, delta, ts) to one move (shift, then clamp) per key and bucket, once the watermark has passed its end.
+
+    So what waits is at most the delay and a bucket, a key's events lie in as many states as it has buckets, and a state
+    ends with its bucket. Rows that repeat a key, time and seq in a bucket count once, with the least delta. Rows behind the
+    watermark are late and dropped. Rows without key, time, seq or delta are left out. The sink puts moves in order of buckets.
+    """
+    seq = deltas.schema["seq"].dataType.simpleString()
+    told = deltas.dropna(subset=["query_norm", "node_id", "seq", "delta", "ts"]).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    bucket = (F.floor(F.unix_micros("ts") / (bucket_ms * 1000)) * bucket_ms).cast("long")
+    rows = told.select("query_norm", "node_id", bucket.alias("bucket"), "ts", F.unix_micros("ts").alias("us"), "seq", F.col("delta").cast("double").alias("delta"))
+    return rows.groupBy("query_norm", "node_id", "bucket").transformWithStateInPandas(_Bucket(bucket_ms, seq), _MOVES, "append", "EventTime")
+
+
+def weights_sink(store, table: str = "weights") -> Callable[[DataFrame, int], None]:  # noqa: ANN001
+    """A foreachBatch function that lays each batch's moves over a table of a SnapshotStore; a batch applied twice changes nothing.
+
+    A bucket leaves with the first watermark behind its end, so a later batch has later buckets only. The table is written
+    anew with each batch that has moves.
+    """
+    keys = ["query_norm", "node_id"]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            if rows.isEmpty():
+                return
+            move = F.struct("shift", "low", "high").alias("m")
+            new = rows.select("*", move).groupBy(*keys).agg(memory.fold_moves(F.collect_list(F.struct("bucket", "m"))).alias("m"), F.sum("pos_count").alias("p"), F.sum("neg_count").alias("n"), F.timestamp_micros(F.max("last_us")).alias("t"))
+
+            def merged(held: DataFrame | None) -> DataFrame:
+                base = held if held is not None else batch.sparkSession.createDataFrame([], _WEIGHTS)
+                both = base.join(new, keys, "full_outer")
+                stays = F.col("m").isNull() | (F.coalesce("batch_id", F.lit(-1)) >= batch_id)
+                pick = lambda old, other: F.when(stays, F.col(old)).otherwise(other).alias(old)
+                zero = lambda c: F.coalesce(c, F.lit(0))
+                return both.select(
+                    *keys, pick("weight", memory.moved(F.coalesce("weight", F.lit(0.0)), F.col("m"))), pick("pos_count", zero("pos_count") + F.col("p")),
+                    pick("neg_count", zero("neg_count") + F.col("n")), pick("last_used", F.col("t")), pick("batch_id", F.lit(batch_id).cast("long")),
+                )
+
+            store.update(table, merged)
+        finally:
+            rows.unpersist()
+
+    return apply
+
+
+def weights_of(store, table: str = "weights") -> DataFrame:  # noqa: ANN001
+    """What weights_sink() has written so far; no rows where it has written nothing."""
+    return store.read(table) if store.has(table) else store.spark.createDataFrame([], _WEIGHTS)
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB, as lists and timers need; the session's own setting comes back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def fold_available(deltas: DataFrame, store, checkpoint: str, table: str = "weights", delay: str = "1 hour", bucket_ms: int = 3_600_000) -> None:  # noqa: ANN001
+    """Fold what has arrived since the last call with this checkpoint into the store's table, then end.
+
+    What the watermark (the latest time less the delay) hasn't passed waits in the checkpoint for a later call.
+    """
+    with state_in_rocksdb(deltas.sparkSession):
+        run = moves(deltas, delay, bucket_ms).writeStream.foreachBatch(weights_sink(store, table)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
 
 
 def upsert_sink(store, table: str, key: list[str]):  # noqa: ANN001, ANN201
@@ -68,6 +149,6 @@ def upsert_sink(store, table: str, key: list[str]):  # noqa: ANN001, ANN201
     return apply
 
 
-def arrivals(spark, path: str, schema: str, max_files: int = 1000) -> DataFrame:  # noqa: ANN001
+def arrivals(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
     """Documents as their files arrive; with history.merge_history in foreachBatch they become versions."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
