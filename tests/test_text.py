@@ -1,5 +1,6 @@
 """Text functions against expected values."""
 
+import time
 import unicodedata
 
 import pytest
@@ -116,6 +117,16 @@ def test_inferred_headings(spark, text, md):
     assert one(spark, T.inferred_headings("t"), t=text) == md
 
 
+def test_inferred_headings_of_many_lines(spark):
+    """Work grows with a text's lines, not with their third power: 1500 lines, underlines among them, take a moment."""
+    lines = ["" if k % 2 else f"Line {k}" for k in range(1500)]
+    text = "\n".join([*lines, "Title", "===", "---", "end"])
+    began = time.monotonic()
+    found = one(spark, T.inferred_headings("t"), t=text)
+    assert time.monotonic() - began < 20
+    assert found == "\n".join([*(f"### {x}" if x else "" for x in lines), "## # Title", "end"]) + "\n"
+
+
 def test_keywords(spark):
     assert one(spark, T.keywords("t", 8, 2), t="beam beam column column column the the") == ["column", "beam"]
     assert one(spark, T.keywords("t", 3, 2), t="混凝土混凝土混凝土")[:2] == ["混凝土", "混凝土混凝土"]
