@@ -430,6 +430,15 @@ def test_line_search(spark):
     assert [(r.line_number, r.n_tokens) for r in grep.grep_queries(docs, queries, 5).orderBy("pos").collect()] == [(1, 2), (3, 1)]
 
 
+def test_mentions_broadcast_no_side(spark):
+    """The planner can't tell how many words a text has, so no join may put one side into the driver."""
+    chunks = spark.createDataFrame([("d", "v", "c1", 1, "beam, Beam and load"), ("d", "v", "c2", 2, "a beamer")], "doc_id string, source_version string, node_id string, ordinal int, body_plain string")
+    names = spark.createDataFrame([("d", "v", "beam", "beam", f"n{k}", 0.5) for k in range(2500)] + [("d", "v", "load", "load", "n7", 1.0), ("d", "v", "beam", "beam", "c1", 1.0)], "doc_id string, source_version string, name string, form string, target_node_id string, confidence double")
+    edges = graph.mention_edges(chunks, names, per_doc=None)
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.from_node_id, r.to_node_id, r.confidence) for r in edges.collect()) == sorted(("c1", f"n{k}", 1.0 if k == 7 else 0.5) for k in range(2500))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
