@@ -439,6 +439,14 @@ def test_mentions_broadcast_no_side(spark):
     assert sorted((r.from_node_id, r.to_node_id, r.confidence) for r in edges.collect()) == sorted(("c1", f"n{k}", 1.0 if k == 7 else 0.5) for k in range(2500))
 
 
+def test_title_mentions_are_whole(spark, tmp_path):
+    """A brand with more than a million mentions keeps all of them, as its SQL says."""
+    from trovelight.plans.catalogue_more import MORE
+
+    spark.range(1010).selectExpr("id AS p_partkey", "'hot bolt' AS p_name", "'b' AS p_brand", "5 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert MORE["title_mention_edges"](spark, str(tmp_path)).count() == 1010 * 1010
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
