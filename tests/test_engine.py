@@ -447,6 +447,17 @@ def test_title_mentions_are_whole(spark, tmp_path):
     assert MORE["title_mention_edges"](spark, str(tmp_path)).count() == 1010 * 1010
 
 
+def test_references_are_not_shuffled(spark):
+    """Nodes that cite a label meet its articles in blocks, each pair once, and what comes out of that join isn't grouped again."""
+    rows = [(f"a{k}", "第1条", "参见 第1条") for k in range(2500)] + [("b", "第2条", "依据第1条，参见 第2条，参见第1條"), ("a0", "第2条", "")]
+    nodes = spark.createDataFrame([("d", "v", n, "article", label, True, True, body) for n, label, body in rows], "doc_id string, source_version string, node_id string, kind string, label string, is_active boolean, is_leaf boolean, body_plain string")
+    edges = graph.reference_edges(nodes)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[: plan.index("Join")]
+    found = edges.select("from_node_id", "to_node_id").collect()
+    assert len(found) == len(set(found)) == 2500 * 2499 + 2500
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
