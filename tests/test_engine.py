@@ -491,6 +491,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(stream.weights_of(store).collect()) == once and ("q", "n", 50) in [(r.query_norm, r.node_id, r.batch_id) for r in once]
 
 
+def test_stream_states_are_few(spark, tmp_path):
+    """A state holds a bucket of a share of the keys, not of one key: each state costs a call of Python for its rows and one for its timer."""
+    from trovelight.streaming import memory as stream
+
+    rows = spark.range(400).selectExpr("'q' || id AS query_norm", "'n' AS node_id", "id AS seq", "1.0D AS delta", "timestamp_seconds(1000 + id) AS ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    with stream.state_in_rocksdb(spark):
+        run = stream.moves(source).writeStream.format("memory").queryName("few").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    run.awaitTermination()
+    timers = max(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in run.recentProgress)
+    assert 0 < timers <= 8
+
+
 def test_streams_of_the_log(spark, tmp_path):
     """Repeated ids go, counts by window equal a batch's, and an upsert by batches keeps the last row of a key."""
     from trovelight.streaming import memory as stream
