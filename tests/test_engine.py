@@ -7,8 +7,10 @@ import os
 import random
 import sqlite3
 import time
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +460,18 @@ def test_references_are_not_shuffled(spark):
     assert len(found) == len(set(found)) == 2500 * 2499 + 2500
 
 
+def test_chunks_of_a_batch_are_no_objects(spark):
+    """40,000 chunks of a batch go into Arrow's lists; an object for each would take some hundred bytes more."""
+    texts = pa.array(["x" * 2000] * 2000)
+    cut = A.chunk_document(100, 0, ("",)).func
+    cut(texts[:1])
+    tracemalloc.start()
+    found = cut(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.values) == 40_000 and peak < 6_000_000
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
