@@ -472,6 +472,15 @@ def test_chunks_of_a_batch_are_no_objects(spark):
     assert len(found.values) == 40_000 and peak < 6_000_000
 
 
+def test_files_are_dealt_out(spark, tmp_path):
+    """Files of a table of one split are read in as many tasks as a shuffle has."""
+    from trovelight.plans.catalogue_more import MORE
+
+    spark.range(400).selectExpr("id AS p_partkey", "'hot bolt' AS p_name", "'LARGE' AS p_type", "5 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    told = MORE["extracted_files"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(told) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in told) == 400
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream
