@@ -481,6 +481,12 @@ def test_files_are_dealt_out(spark, tmp_path):
     assert len(told) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in told) == 400
 
 
+def test_word_counts_of_repeated_keys(spark):
+    docs = spark.createDataFrame([("en", 1, "beam beam load"), ("en", 2, "beam"), ("en", 2, "beam load"), ("de", 2, "beam"), ("en", None, "beam"), ("en", 3, None)], "lang string, doc_id long, text string")
+    found = {(r.lang, r.word): (r.n, r.docs) for r in index.word_counts(docs).collect()}
+    assert found == {("en", "beam"): (5, 2), ("en", "load"): (2, 2), ("de", "beam"): (1, 1)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """Files that arrive one by one, with rows that are repeated and rows that are late, over two runs."""
     from trovelight.streaming import memory as stream

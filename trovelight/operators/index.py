@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import materialize
+from .common import broadcast_if_small, materialize
 
 
 def _terms(nodes: DataFrame, key: str, body: str) -> DataFrame:
@@ -66,3 +66,18 @@ def read_postings(spark: SparkSession, path: str, terms: list[str], partitions:
     """Postings of terms alone: their shards are pruned to, and the term filter reaches the scan."""
     shards = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(partitions)).cast("int")).distinct().collect()]
     return spark.read.parquet(f"{path}/postings").where(F.col("shard").isin(shards) & F.col("term").isin(terms))
+
+
+def word_counts(docs: DataFrame, group: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(lang, word, n, docs): occurrences of each word, and how many different documents have it.
+
+    A row counts its words itself. Words of rows whose key no other row has are added up ahead of the shuffle; only
+    those of repeated keys are told apart by key. A row without key is in no document.
+    """
+    repeated = broadcast_if_small(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col(key).alias("_key")))
+    once = docs.join(repeated, F.col(key) == F.col("_key"), "left_anti")
+    again = docs.join(repeated, F.col(key) == F.col("_key"), "left_semi")
+    words = lambda df: df.select(group, key, F.explode(T.counted(T.fts_tokens(text))).alias("c")).select(group, key, F.col("c.token").alias("word"), F.col("c.n").alias("n"))
+    whole = words(once).groupBy(group, "word").agg(F.sum("n").alias("n"), F.count(key).alias("docs"))
+    parts = words(again).groupBy(group, "word").agg(F.sum("n").alias("n"), F.countDistinct(key).alias("docs"))
+    return whole.unionByName(parts).groupBy(group, "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
