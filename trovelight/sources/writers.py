@@ -81,9 +81,11 @@ class SnapshotStore:
             raise FileNotFoundError(f"{self.root} holds no snapshot")
         return self.spark.read.parquet(f"{self.root}/{self._tables(found[-1])[table]}/{table}")
 
-    def publish(self, tables: dict[str, DataFrame], check=None, keep: int = 2, keep_others: bool = False, base: str | None = "") -> str:  # noqa: ANN001
+    def publish(self, tables: dict[str, DataFrame | Callable], check=None, keep: int = 2, keep_others: bool = False, base: str | None = "") -> str:  # noqa: ANN001
         """Write the tables, let check(read) refuse them, then switch. With keep_others the other tables stay as they are.
 
+        A table may be given as a function of read, by which it is made from those written ahead of it.
+
         The states of the newest keep pointers stay readable; folders that none of them names go. base, if given, is what
         current() told when the caller began to read; a newer state is refused.
         """
@@ -92,10 +94,11 @@ class SnapshotStore:
             raise BuildError(f"{self.root} has a newer state than the one that this build began with")
         base = before[-1] if before else 0
         version = f"v={base + 1:08d}-{uuid.uuid4().hex[:8]}"
+        new = lambda table: self.spark.read.parquet(f"{self.root}/{version}/{table}")
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
+            (df(new) if callable(df) else df).write.parquet(f"{self.root}/{version}/{name}")
         if check is not None:
-            check(lambda table: self.spark.read.parquet(f"{self.root}/{version}/{table}"))
+            check(new)
         listed = (self._tables(base) if keep_others and base else {}) | dict.fromkeys(tables, version)
         self._switch(base, listed, version, before, keep)
         return version
