@@ -3,6 +3,7 @@
 import threading
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from trovelight.errors import BuildError, IntegrityError
@@ -137,6 +138,23 @@ def test_writers_at_once(spark, tmp_path):
     assert len(store().parts("log")) == 1 and store().read_parts("log", schema).count() == 61
 
 
+def test_a_pointer_dropped_while_it_is_read(spark, tmp_path):
+    """A pointer that goes between planning and reading is told as one that was gone before, so that writers try again."""
+    store = writers.SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.publish({"t": spark.range(1)})
+    pointer = tmp_path / "s" / "pointers" / "00000001"
+
+    class Read:
+        def text(self, path):
+            df = spark.read.text(path)
+            pointer.unlink()
+            return df
+
+    store.spark = type("Session", (), {"read": Read()})()
+    with pytest.raises(PySparkException, match="NOT_EXIST"):
+        store._tables(1)
+
+
 def test_answers_at_once(spark, tmp_path):
     """Two callers who ask at once leave both log rows and both results; feedback is read by the next."""
     docs = spark.createDataFrame([("a", "T", "steel beam holds", "f"), ("b", "U", "concrete wall", "f")], "doc_id string, title string, text string, source_file string")

@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,13 @@ class SnapshotStore:
         return sorted(int(n) for n in names if n.isdigit())
 
     def _tables(self, number: int) -> dict[str, str]:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/pointers/{number:08d}").collect()))
+        try:
+            rows = self.spark.read.text(f"{self.root}/pointers/{number:08d}").collect()
+        except Py4JJavaError as e:  # it was there when the read was planned
+            if "FILE_NOT_EXIST" in str(e) or "FileNotFoundException" in str(e):
+                raise PySparkException(f"NOT_EXIST: pointer {number} of {self.root} was dropped by another writer") from e
+            raise
+        return json.loads("\n".join(r.value for r in rows))
 
     def current(self) -> str | None:
         found = self._pointers()
