@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
@@ -46,11 +46,14 @@ def heading_stacks(chunks: DataFrame, headings: DataFrame) -> DataFrame:
     A heading closes all open ones of its level and deeper.
     """
     lists = headings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "level", "title"))).alias("heads"))
-    joined = chunks.join(lists, "doc_id", "left")
+    return chunks.join(lists, "doc_id", "left").withColumn("stack", _stack()).drop("heads")
+
+
+def _stack() -> Column:
+    """The titles of heads (char_start, level, title, in order) that char_start stands under."""
     ahead = F.filter(F.coalesce("heads", F.array().cast("array<struct<char_start: bigint, level: int, title: string>>")), lambda h: h["char_start"] <= F.col("char_start"))
     start = F.array().cast("array<struct<level: int, title: string>>")
-    stack = F.aggregate(ahead, start, lambda acc, h: F.concat(F.filter(acc, lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))), lambda acc: F.transform(acc, lambda x: x["title"]))
-    return joined.withColumn("stack", stack).drop("heads")
+    return F.aggregate(ahead, start, lambda acc, h: F.concat(F.filter(acc, lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))), lambda acc: F.transform(acc, lambda x: x["title"]))
 
 
 def sibling_links(nodes: DataFrame) -> DataFrame:
@@ -61,14 +64,20 @@ def sibling_links(nodes: DataFrame) -> DataFrame:
 
 
 def build_nodes(docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = 0) -> DataFrame:
-    """One doc node and its chunk nodes per document (doc_id, title, text, source_file), as the node table."""
+    """One doc node and its chunk nodes per document (doc_id, title, text, source_file; a row each), as the node table.
+
+    A document's chunks, the headings they stand under and their neighbours are told inside its row, so no text is shuffled.
+    """
     version = T.source_version("title", "source_file")
     base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "title", "text", version.alias("source_version"))
-    chunks = heading_stacks(chunk_rows(base, size, overlap), heading_rows(base)).join(base.select("doc_id", F.col("title").alias("doc_title"), "source_version"), "doc_id")
-    chunk_id = F.concat(F.col("doc_id"), F.lit(":chunk:"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))
-    leaf = chunks.select("doc_id", chunk_id.alias("node_id"), "source_version", F.lit("chunk").alias("kind"), T.chunk_title(chunk_id, "text").alias("title"), F.array_join("stack", " > ").alias("heading_path"), F.concat(F.col("doc_id"), F.lit(":doc")).alias("parent_id"), "ordinal", F.lit(True).alias("is_leaf"), "char_start", "char_end", F.col("text").alias("body_md"))
-    roots = base.select("doc_id", F.concat(F.col("doc_id"), F.lit(":doc")).alias("node_id"), "source_version", F.lit("doc").alias("kind"), "title", F.lit("").alias("heading_path"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ordinal"), F.lit(False).alias("is_leaf"), F.lit(0).alias("char_start"), F.char_length(F.coalesce("text", F.lit(""))).alias("char_end"), F.lit("").alias("body_md"))
-    nodes = sibling_links(leaf.unionByName(roots))
+    cut = base.where("doc_id is not null").select("doc_id", "source_version", A.chunk_document(size, overlap, K.CHUNK_SEPARATORS)("text").alias("chunks"), A.heading_list("text").alias("heads"))
+    chunks = cut.select("doc_id", "source_version", "heads", F.size("chunks").alias("last"), F.explode("chunks").alias("c")).select("*", "c.*")
+    id_of = lambda n: F.concat(F.col("doc_id"), F.lit(":chunk:"), F.lpad(n.cast("string"), 6, "0"))
+    near = {"prev_id": F.when(F.col("ordinal") > 1, id_of(F.col("ordinal") - 1)), "next_id": F.when(F.col("ordinal") < F.col("last"), id_of(F.col("ordinal") + 1))}
+    chunk_id = id_of(F.col("ordinal"))
+    leaf = chunks.select("doc_id", chunk_id.alias("node_id"), "source_version", F.lit("chunk").alias("kind"), T.chunk_title(chunk_id, "text").alias("title"), F.array_join(_stack(), " > ").alias("heading_path"), F.concat(F.col("doc_id"), F.lit(":doc")).alias("parent_id"), "ordinal", F.lit(True).alias("is_leaf"), "char_start", "char_end", F.col("text").alias("body_md"), *[c.alias(k) for k, c in near.items()])
+    roots = base.select("doc_id", F.concat(F.col("doc_id"), F.lit(":doc")).alias("node_id"), "source_version", F.lit("doc").alias("kind"), "title", F.lit("").alias("heading_path"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ordinal"), F.lit(False).alias("is_leaf"), F.lit(0).alias("char_start"), F.char_length(F.coalesce("text", F.lit(""))).alias("char_end"), F.lit("").alias("body_md"), *[F.lit(None).cast("string").alias(k) for k in near])
+    nodes = leaf.unionByName(roots)
     return nodes.withColumns({
         "node_key": T.node_key("node_id", "source_version"), "is_active": F.lit(True), "label": F.col("title"), "body_plain": T.markdown_to_plain("body_md"),
         "node_hash": F.sha2("body_md", 256), "confidence": F.lit(1.0), "ref_path": F.concat_ws("/", F.lit("references"), F.col("doc_id"), F.concat(F.regexp_replace("node_id", "[^A-Za-z0-9_-]", "-"), F.lit(".md"))),

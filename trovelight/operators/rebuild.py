@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import IntegrityError
 from ..sources.writers import SnapshotStore
 from . import corpus, graph
-from .common import materialize, release
+from .common import broadcast_if_small, materialize, release
 from .history import change_set, violations
 
 TABLES = ("docs", "nodes", "edges")
@@ -28,6 +28,8 @@ TABLES = ("docs", "nodes", "edges")
 DIRTY = ("rebuild", "added", "removed", "dependent")
 
 Extract = Callable[[DataFrame], DataFrame]
+#: Ids of changed documents that are broadcast at most, so that texts and nodes stay where they are read; more are joined by shuffles.
+MOST_IDS = 1_000_000
 
 
 def toolchain_checksum(config: dict) -> str:
@@ -88,9 +90,10 @@ def _whole(tables: dict[str, DataFrame]) -> None:
         raise IntegrityError("not consistent: " + ", ".join(f"{r['check']} {r.id}" for r in broken))
 
 
-def rebuild(store: SnapshotStore, sources: DataFrame, extract: Extract, config: dict | None = None, depends: DataFrame | None = None, buckets: int = 256, cut: Extract = corpus.build_nodes) -> Rebuilt:
+def rebuild(store: SnapshotStore, sources: DataFrame, extract: Extract, config: dict | None = None, depends: DataFrame | None = None, buckets: int = 256, cut: Extract = corpus.build_nodes, unheld: tuple[str, ...] = ()) -> Rebuilt:
     """Bring the corpus in store up to sources (doc_id, source_fingerprint, whatever else), one row per document.
 
+    Columns of sources in unheld (a text, say) are for extract alone; docs hasn't got them.
     extract makes (doc_id, title, source_file, text) of rows of sources, and is asked for changed documents only; cut makes nodes of
     these. A document whose text stays is metadata_only: its row in docs is new, its nodes are not. Documents that
     depend on dirty ones (depends: doc_id, on_doc_id) are built again though their sources have not changed. Nodes or edges that break an
@@ -102,12 +105,15 @@ def rebuild(store: SnapshotStore, sources: DataFrame, extract: Extract, config:
     sources = sources.withColumn("doc_id", F.col("doc_id").cast("string"))
     held = {r.key: r.value for r in store.read("build").collect()} if base and store.has("build") else {}
     part = held.get("toolchain") == mark
-    with_text = sources.withColumn("text_fingerprint", F.lit(""))
+    with_text = sources.drop(*unheld).withColumn("text_fingerprint", F.lit(""))
     old = store.read_parts("docs", with_text.schema) if part else with_text.limit(0)
     was = old.select("doc_id", F.col("source_fingerprint").alias("s0"), F.col("text_fingerprint").alias("t0"))
     told = materialize(sources.select("doc_id", F.col("source_fingerprint").alias("s1")).join(was, "doc_id", "full_outer"), "compared")
     other = told.where(~F.col("s0").eqNullSafe(F.col("s1")))
-    read = materialize(extract(sources.join(other.where("s1 is not null").select("doc_id"), "doc_id", "left_semi")).select(F.col("doc_id").cast("string").alias("doc_id"), "title", "source_file", "text"), "extracted")
+    few = lambda ids: broadcast_if_small(ids.select("doc_id"), MOST_IDS)
+    # A full build asks for all documents that have a fingerprint.
+    asked = sources.join(few(other.where("s1 is not null")), "doc_id", "left_semi") if part else sources.where("doc_id is not null and source_fingerprint is not null")
+    read = materialize(extract(asked).select(F.col("doc_id").cast("string").alias("doc_id"), "title", "source_file", "text"), "extracted", compression="zstd")
     t1 = read.select("doc_id", text_fingerprint().alias("t1"))
     sides = other.join(t1, "doc_id", "left")
     before = sides.where("s0 is not null").select("doc_id", F.col("s0").alias("source_fingerprint"), F.col("t0").alias("text_fingerprint"))
@@ -132,20 +138,33 @@ def rebuild(store: SnapshotStore, sources: DataFrame, extract: Extract, config:
     if part and not parts["docs"]:
         return Rebuilt("part", None, changes, parts)
 
-    texts = read.join(dirty.select("doc_id"), "doc_id", "left_semi").unionByName(also)
-    made = materialize(cut(texts), "nodes")
-    fresh = {
-        "docs": sources.join(sides.where("s1 is not null").select("doc_id", F.col("t1").alias("text_fingerprint")), "doc_id").select(*with_text.columns),
-        "nodes": made,
-        "edges": document_edges(made),
-    }
+    gone = {"docs": few(sides), "nodes": few(dirty)} if part else {}
+    gone["edges"] = gone.get("nodes")
+    texts = read.join(gone["nodes"], "doc_id", "left_semi").unionByName(also) if part else read
+    docs = sources.drop(*unheld).join(sides.where("s1 is not null").select("doc_id", F.col("t1").alias("text_fingerprint")), "doc_id").select(*with_text.columns)
+
+    def edges(written: Callable[[str], DataFrame]) -> DataFrame:
+        made = written("nodes")
+        return placed("edges", document_edges(made.join(gone["nodes"], "doc_id", "left_semi") if part else made))
+
     # Documents of the parts to be written that stay as they are: nodes and edges of those that aren't dirty, rows of those whose sources haven't changed.
-    gone = {"docs": sides.select("doc_id"), "nodes": dirty.select("doc_id"), "edges": dirty.select("doc_id")}
-    stay = {name: store.read_parts(name, fresh[name].schema, parts[name]).join(gone[name], "doc_id", "left_anti") for name in TABLES} if part else {}
-    tables = {name: (stay[name].unionByName(fresh[name]) if part else fresh[name]).withColumn("bucket", bucket_of("doc_id", buckets)) for name in TABLES}
+    # They lie in their buckets already; only if these have got many small files are they dealt out again.
+    lying: dict[str, DataFrame] = {}
+
+    def placed(name: str, fresh: DataFrame) -> DataFrame:
+        fresh = fresh.withColumn("bucket", bucket_of("doc_id", buckets))
+        if not part:
+            return fresh
+        stay = store.read_parts(name, fresh.drop("bucket").schema, parts[name]).join(gone[name], "doc_id", "left_anti").withColumn("bucket", bucket_of("doc_id", buckets))
+        if store.scattered(name, parts[name]):
+            return fresh.unionByName(stay)
+        lying[name] = stay
+        return fresh
+
+    tables = {"docs": placed("docs", docs), "nodes": placed("nodes", cut(texts)), "edges": edges}
     build = spark.createDataFrame([("toolchain", mark), ("buckets", str(buckets))], "key string, value string")
-    version = store.publish_parts(tables, parts if part else None, whole={"build": build}, base=base, check=lambda read_new: _whole({name: read_new(name) for name in ("nodes", "edges")}))
-    release(read, made)
+    version = store.publish_parts(tables, parts if part else None, whole={"build": build}, base=base, check=lambda read_new: _whole({name: read_new(name) for name in ("nodes", "edges")}), lying=lying)
+    release(read)
     return Rebuilt("part" if part else "full", version, changes, parts)
 
 

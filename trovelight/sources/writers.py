@@ -150,11 +150,19 @@ class SnapshotStore:
         paths = list(found.values()) if buckets is None else [found[k] for b in buckets if (k := f"{table}/bucket={b}") in found]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def publish_parts(self, tables: dict[str, DataFrame], written: dict[str, list[int]] | None, whole: dict[str, DataFrame] | None = None, base: str | None = "", check=None, keep: int = 2) -> str:  # noqa: ANN001
+    def scattered(self, table: str, buckets: list[int], most: int = 8, small: int = 16 << 20) -> bool:
+        """True if these buckets of a table have more than most files each on average, and small ones."""
+        found = self.parts(table)
+        sums = [fs.getContentSummary(p) for b in buckets if (k := f"{table}/bucket={b}") in found for fs, p, _ in [_fs(self.spark, found[k])]]
+        files = sum(x.getFileCount() for x in sums)
+        return files > most * len(sums) and sum(x.getLength() for x in sums) < small * files
+
+    def publish_parts(self, tables: dict[str, DataFrame | Callable], written: dict[str, list[int]] | None, whole: dict[str, DataFrame] | None = None, base: str | None = "", check=None, keep: int = 2, lying: dict[str, DataFrame] | None = None) -> str:  # noqa: ANN001
         """Write parts of tables by their column bucket (and whole small tables), then switch.
 
         Of the buckets in written (None: all) what is written takes the place of what was there, none where no row is left; other parts stay
-        where they are. check(read) sees the rows just written.
+        where they are. A table may be given as a function of read, by which it is made from those written ahead of it. Rows of a table in
+        lying are read from its parts, so they are written where they are read instead of being shuffled. check(read) sees the rows just written.
         """
         before = self._pointers()
         if base != "" and base != self.current():
@@ -162,9 +170,15 @@ class SnapshotStore:
         number = before[-1] if before else 0
         version = f"v={number + 1:08d}-{uuid.uuid4().hex[:8]}"
         listed = self._tables(number) if number else {}
-        for name, df in tables.items():
+        schemas = {}
+        new = lambda table: self.spark.read.schema(schemas[table]).option("recursiveFileLookup", "true").parquet(f"{self.root}/{version}/{table}")
+        for name, given in tables.items():
             path = f"{self.root}/{version}/{name}"
-            df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)  # large buckets may be several files
+            df = given(new) if callable(given) else given
+            schemas[name] = df.drop("bucket").schema
+            dealt = df.hint("rebalance", "bucket")  # large buckets may be several files
+            both = dealt.unionByName(lying[name]) if lying and name in lying else dealt
+            both.write.partitionBy("bucket").parquet(path, compression="zstd")
             fs, folder, _ = _fs(self.spark, path)
             made = [int(n.split("=")[1]) for x in fs.listStatus(folder) if (n := x.getPath().getName()).startswith("bucket=")]
             for k in [k for k in listed if k.startswith(f"{name}/bucket=")]:
@@ -175,7 +189,7 @@ class SnapshotStore:
             df.write.parquet(f"{self.root}/{version}/{name}")
             listed[name] = version
         if check is not None:
-            check(lambda table: self.spark.read.schema(tables[table].drop("bucket").schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{version}/{table}"))
+            check(new)
         self._switch(number, listed, version, before, keep)
         return version
 
