@@ -1,5 +1,6 @@
 """Text functions against expected values."""
 
+import re
 import time
 import unicodedata
 
@@ -39,6 +40,24 @@ def test_fts_tokens(spark, text, tokens):
     assert one(spark, T.fts_tokens("t"), t=text) == tokens
 
 
+@pytest.mark.parametrize("mark", [*T.K.INDEX_PUNCTUATION[0], "\u33ff", "\u3400", "\u9fff", "\U0010ffff", "\U00020000", "é", "K", "İ", ""])
+def test_tokens_at_marks(spark, mark):
+    """Marks that are brought to one form cut tokens as before; characters at the ends of the CJK ranges are seen."""
+    text = f"钢{mark}筋{mark}混凝{mark}ab{mark}C_d{mark}the {mark} x{mark}"
+    plain = text.translate(str.maketrans(*T.K.INDEX_PUNCTUATION))
+    words = [w.lower() for w in re.findall("[A-Za-z0-9_]{2,}", plain)]
+    want = [*one(spark, T.cjk_tokens("t"), t=plain), *words]
+    assert one(spark, T.fts_tokens("t"), t=text) == [w for w in want if w not in T.K.ENGLISH_STOP_WORDS | T.K.CJK_STOP_WORDS]
+
+
+def test_words_are_cut_cheaply(spark):
+    """Texts aren't copied mark by mark, nor tokens sorted by an interpreted comparison; counts are those of the tokens."""
+    docs = spark.createDataFrame([("b a_b b 钢筋 A_B zz b",), ("",), (None,)], "t string").select(T.counted(T.fts_tokens("t")).alias("c"))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "sort_array(" in plan and "array_sort(" not in plan
+    assert [[tuple(x) for x in r.c] for r in docs.collect()] == [[("a_b", 2), ("zz", 1), ("钢筋", 2)], [], []]
+
+
 def test_index_terms(spark):
     assert one(spark, T.index_terms("t"), t=["foo_bar", "_x_", "a"]) == ["foo", "bar", "x", "a"]
 
