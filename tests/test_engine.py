@@ -449,6 +449,25 @@ def test_title_mentions_are_whole(spark, tmp_path):
     assert MORE["title_mention_edges"](spark, str(tmp_path)).count() == 1010 * 1010
 
 
+def test_mentions_meet_in_all_tasks(spark, tmp_path, monkeypatch):
+    """Edges are made by as many tasks as a shuffle has: what the join is dealt out by is what it joins on, so that no second
+    shuffle is put in and made small. Classes of several blocks and shares give each pair once, and none of a node with itself."""
+    from trovelight.plans.catalogue_more import MORE
+
+    spark.range(600).selectExpr("id AS p_partkey", "if(id % 3 = 0, 'hot bolt', 'old hot') AS p_name", "'b' AS p_brand", "5 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(graph, "MEMBERS", 50)
+    edges = MORE["title_mention_edges"](spark, str(tmp_path))
+    found = edges.collect()
+    assert len(found) == len(set(found)) == 600 * 200 + 400 * 400
+    join = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("ShuffledHashJoin")[1].splitlines()
+    side = [line for line in join if "Exchange" in line]
+    assert "REPARTITION_BY_NUM" in side[0]
+    assert edges.rdd.getNumPartitions() == 4
+    nodes = spark.createDataFrame([("d", "v", f"n{k}", "article", "", "Beam", True, True, k, "beam") for k in range(300)], "doc_id string, source_version string, node_id string, kind string, label string, title string, is_active boolean, is_leaf boolean, ordinal int, body_plain string")
+    pairs = [(r.from_node_id, r.to_node_id) for r in graph.title_mention_edges(nodes, nodes, per_doc=None).collect()]
+    assert len(pairs) == len(set(pairs)) == 300 * 299 and all(a != b for a, b in pairs)
+
+
 def test_references_are_not_shuffled(spark):
     """Nodes that cite a label meet its articles in blocks, each pair once, and what comes out of that join isn't grouped again."""
     rows = [(f"a{k}", "第1条", "参见 第1条") for k in range(2500)] + [("b", "第2条", "依据第1条，参见 第2条，参见第1條"), ("a0", "第2条", "")]
